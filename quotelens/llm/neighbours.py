@@ -19,7 +19,7 @@ from .frames import cut
 
 NEAREST, EVERY = 20, 20
 #: Nodes of a shard (about), edges of a node, beam while building and while searching, nodes expanded at once.
-SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, WIDE = 6_000, 24, 48, 96, 4
+SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, WIDE = 6_000, 28, 64, 160, 4
 ALPHA = 1.2
 ENTRIES = 16
 QUERY_BLOCK = 2_048

@@ -1,15 +1,79 @@
-"""A corpus from raw documents to packed sequences, in stages that each write what the next one reads."""
+"""A corpus from raw documents to packed sequences, in stages that each write what the next one reads.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents. A row is
+kept or changed by what an operator says of its doc_id and text, so rows that are equal in both share their fate.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotelens.llm import language, neardup, packing, quality, suffixdedup
+from quotelens.llm.frames import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (null text, or none of its characters a letter) go; the others have the language found as lang."""
+    docs = _columns(docs)
+    return language.label(docs).where(F.col("lang_pred") != "und").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or that the classifier takes for bad, go."""
+    return quality.keep(_columns(docs), table(spark, sf_dir, "labels"))
 
-STAGES: list = []
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; of rows with one id, one. Rows without an id stay, one of each text."""
+    docs = _columns(docs)
+    kept = neardup.link(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; documents of which nothing is left go. What a cut leaves of a character of several bytes is left out."""
+    return suffixdedup.cleaned(_columns(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(_columns(docs))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Trained models, hashing and suffix sorting are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        if shared is None:  # tests without a cluster
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="spark-pipeline-")
+        path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bytesets import LOWER, slices, utf8
 from .frames import fold_of
@@ -23,7 +24,7 @@ from .frames import fold_of
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 64, 32_768, 262_144
 LANE = 256
 _LETTER = re.compile(r"[^\W\d_]")
-_MODELS: dict[int, list] = {}
+_MODELS: dict = {}
 
 
 #: Lower case; whatever ASCII holds besides letters is a space.
@@ -143,11 +144,11 @@ def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.nda
     return out
 
 
-def _tables(model: dict, key: int) -> list[np.ndarray]:
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = [walker(*edges, model["classes"], model["width"]) for edges in model["edges"]]
-    return _MODELS[key]
+def _tables(model: dict) -> list[np.ndarray]:
+    """Made once for each Python worker, which keeps the broadcast model as long as it lives."""
+    if _MODELS.get("of") is not model:
+        _MODELS.update(of=model, tables=[walker(*edges, model["classes"], model["width"]) for edges in model["edges"]])
+    return _MODELS["tables"]
 
 
 def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
@@ -158,12 +159,24 @@ def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
     score is 0.5 where the two best languages need equally many phrases, and nears 1 as the second needs more.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"), "lang")
-    model = fit(sample(docs, F.lit(True) if learn_from is None else learn_from))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    out = _predict(docs.select("doc_id", "text"), sample(docs, F.lit(True) if learn_from is None else learn_from))
+    return out.select("doc_id", "lang_pred", "score")
+
+
+def label(docs: DataFrame, learn_from=None) -> DataFrame:
+    """The rows of docs with lang_pred and score added; learns as identify() does. Columns of those names in docs are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    return _predict(docs, sample(docs.select("doc_id", "text", "lang"), F.lit(True) if learn_from is None else learn_from))
+
+
+def _predict(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
+    """All columns of docs and the prediction from the column text."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(texts))
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        tables = _tables(model, sent.id if hasattr(sent, "id") else id(sent))
+        tables = _tables(model)
         langs = np.array([*model["langs"], "und"], object)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -182,11 +195,11 @@ def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
                     best, score = np.zeros(len(off) - 1, int), np.zeros(len(off) - 1)
                 known = has_letter & bool(tables)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(langs[np.where(known, best, len(langs) - 1)], pa.string()), pa.array(np.where(known, score, 0.0))],
-                    ["doc_id", "lang_pred", "score"],
+                    [*part.columns, pa.array(langs[np.where(known, best, len(langs) - 1)], pa.string()), pa.array(np.where(known, score, 0.0))],
+                    [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -166,6 +166,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np
     return [r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], int)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The classifier as it is sent to the tasks: 3 * 2^BITS single-precision weights at most."""
+    model = train(*labelled_sample(docs, labels))
+    return model and model | {"weights": [w.astype(np.float32) for w in model["weights"]]}
+
+
+def verdicts(model: dict | None, text: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Base counts, whether the base rules fail, and the probability of being good (1 without a model)."""
+    flat, off = utf8(text)
+    c = counts(flat, off)
+    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
+    return c, failed, sigmoid(model["slope"] * logits(model, flat, off) + model["shift"]) if model else np.ones(len(failed))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps."""
+    sent = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, failed, p = verdicts(sent.value, part.column("text"))
+                yield part.filter(pa.array(~failed & (p >= KEEP_FROM)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the probability of being good, for each row of docs.
 
@@ -173,20 +200,13 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     null, or of ids that docs lacks, teach nothing. Without labels of both classes the base rules alone decide (probability null).
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    texts, good = labelled_sample(docs, labels)
-    model = train(texts, good)
-    if model:
-        model["weights"] = [w.astype(np.float32) for w in model["weights"]]  # 3 * 2^BITS numbers: the size of what is sent
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, off = utf8(part.column("text"))
-                c = counts(flat, off)
-                failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
-                p = sigmoid(model["slope"] * logits(model, flat, off) + model["shift"]) if model else np.ones(len(failed))
+                c, failed, p = verdicts(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in c.values()), pa.array(failed), pa.array(~failed & (p >= KEEP_FROM)), pa.array(p if model else [None] * len(failed), pa.float64())],
                     ["doc_id", *c, "base_failed", "kept", "probability"],

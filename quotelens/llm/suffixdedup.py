@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytesets import BASE, mix, utf8
 from .frames import cut, partitions
@@ -367,8 +368,9 @@ def spans_of(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[first], end[np.concatenate([first[1:] - 1, [len(by) - 1]])]
 
 
-def remove(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end) and kept (the remaining bytes), for each row of docs.
+def remove(docs: DataFrame, text: str = "text", beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end) and kept (the remaining bytes), for each row of docs; the
+    columns named in `beside` come along.
 
     Null text is empty: nothing removed, digest of the empty string. Texts shorter than LENGTH bytes stay whole. A null id comes before
     all others. Rows with one id but different texts are different documents, in the order of a hash of the text; rows equal in both
@@ -381,6 +383,7 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
+        *beside,
     )
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = count * max(1, min(4, -(-total // (count << 22))), -(-total // (count << 25)))
@@ -388,7 +391,8 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = keyed.repartition(count, "doc", "text_hash")
     look = verdicts.where("anchor IS NOT NULL").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "pos", "n", "hot")).alias("units"))
     again = verdicts.where("anchor IS NULL").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pos", "n")).alias("whole"))
-    found = fetched(texts.join(look.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "units"))
+    # Both joins read the texts with the same columns, so that they are shuffled once.
+    found = fetched(texts.join(look.hint("shuffle_hash"), ["doc", "text_hash"]))
     in_shard = in_shards(found.repartition(count, "key").sortWithinPartitions("key"))
     parts = in_shard.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pos", "n")).alias("partly"))
     joined = texts.join(again.hint("shuffle_hash"), ["doc", "text_hash"], "left").join(parts.hint("shuffle_hash"), ["doc", "text_hash"], "left")
@@ -421,10 +425,30 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
                 kept.append(rest)
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(off)), pa.array(removed), pa.array(n_spans), pa.array(digests, pa.string()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+                [*(batch.column(c) for c in ("doc_id", *beside)), pa.array(np.diff(off)), pa.array(removed), pa.array(n_spans), pa.array(digests, pa.string()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                [f.name for f in schema],
             )
 
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "whole", "partly").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>, kept binary"
-    )
+    joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *beside, "text", "whole", "partly")
+    results = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>, kept binary")
+    schema = StructType([joined.schema["doc_id"], *(joined.schema[c] for c in beside), *results.fields])
+    return joined.mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, and what remove() leaves of their texts; rows of which nothing but white space is left go.
+
+    What a cut leaves of a character of several bytes is left out, and n_chars, if there, is counted again.
+    """
+    beside = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    rest = remove(docs, beside=beside).select("doc_id", *beside, "kept")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")]
+            columns = {c: batch.column(c) for c in ("doc_id", *beside)} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
+
+    return rest.mapInArrow(run, docs.schema)
+

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import BASE, grams, hashes, mix, slices, utf8, words
@@ -21,8 +21,8 @@ SHINGLE = 5
 PERCENT = 75
 #: 64 permutations give 128 values: 32 bands of two minima and two maxima. A pair at 0.75 is missed by all with (1 - 0.75 ** 4) ** 32 < 6e-6.
 PERMUTATIONS, BANDS = 64, 32
-#: Pairs that one bucket may add in a round of leftover().
-ROUND_PAIRS = 4096
+#: Shingles of the sets that a task of leftover() holds together.
+CHUNK = 500_000
 _RNG = np.random.Generator(np.random.PCG64(19990923))
 _FACTORS = _RNG.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -102,22 +102,56 @@ def _fitting(one: str, two: str):
     return 100 * F.least(one, two) >= PERCENT * F.greatest(one, two)
 
 
-def leftover(buckets: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs not yet tried within buckets whose rows are in several components.
+def leftover(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components that the stars have left apart though they share a bucket.
 
-    Rows outside the largest component of their bucket are held against its rows of other components, a few rows of a bucket in a round; rows
-    that have become connected need no pair, so a bucket of near copies adds none.
+    Each such bucket goes to its largest component C; the bucket's other rows become queries of C, and are held against all of C and
+    against each other. So whatever shares a bucket is compared unless it is connected already, once for all buckets, and
+    no pairs are made: a task gets whole sets, of queries and of targets, in chunks of about CHUNK shingles.
     """
     at = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = per.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = at.join(largest, "bucket").select("bucket", "node", "n", "component", F.col("top.component").alias("top"), "all")
-    outside = open_.where("component <> top").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "all")
-    pairs = outside.join(open_.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy")), "bucket")
-    pairs = pairs.where((F.col("cx") != F.col("cy")) & _fitting("nx", "ny")).withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
-    fresh = pairs.select("bucket", "x", "all", "a", "b").join(tried, ["a", "b"], "left_anti")
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("x"))
-    return fresh.withColumn("rank", rank).where(F.col("rank") <= F.greatest(F.lit(1), (F.lit(ROUND_PAIRS) / F.col("all")).cast("int"))).select("a", "b").distinct()
+    open_ = per.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1 AND all > 2")
+    queries = at.join(open_.select("bucket", F.col("top.component").alias("owner")), "bucket").where("component <> owner").select("owner", "node", "component", "n").distinct()
+    queries = cut(queries)
+    everyone = at.select("node", "component", "n").distinct()
+    targets = everyone.join(queries.select(F.col("owner").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("owner"), "node", "component", "n")
+    sizes = queries.groupBy("owner").agg(F.sum("n").alias("asked")).join(targets.groupBy("owner").agg(F.sum("n").alias("held")), "owner")
+    chunks = sizes.select("owner", F.ceil(F.col("asked") / CHUNK).cast("int").alias("q_chunks"), F.ceil((F.col("asked") + F.col("held")) / CHUNK).cast("int").alias("t_chunks"))
+
+    def dealt(rows: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        """Rows in their own chunk, once for each chunk of the other role."""
+        here = rows.join(chunks, "owner").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"{own}_chunks")).cast("int"))
+        return here.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_chunks") - 1))).select("owner", "q", "t", F.lit(role).alias("role"), "node", "component")
+
+    rows = dealt(queries, "q", "t", 0).unionByName(dealt(targets.unionByName(queries), "t", "q", 1))
+
+    def compare(group: pa.Table) -> pa.Table:
+        role, node, component = (group.column(c).to_numpy() for c in ("role", "node", "component"))
+        lists = group.column("shingles").combine_chunks()
+        values, off = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        _, code = np.unique(values, return_inverse=True)
+        sizes = np.diff(off)
+        t, q = np.flatnonzero((role == 1) & (sizes > 0)), np.flatnonzero(role == 0)
+        at = np.concatenate([np.arange(off[i], off[i + 1]) for i in t] or [off[:0]])
+        heads = np.cumsum(sizes[t]) - sizes[t]
+        held, mark = code[at], np.zeros(len(code) + 1, np.int32)
+        links: list[tuple[int, int]] = []
+        for i in q.tolist():
+            if not len(t):
+                break
+            own = code[off[i] : off[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[held], heads)
+            mark[own] = 0
+            near = (100 * common >= PERCENT * (len(own) + sizes[t] - common)) & (component[t] != component[i])
+            if near.any():  # one link to each component is enough
+                _, first = np.unique(component[t][near], return_index=True)
+                links += [(min(a, b), max(a, b)) for a, b in zip([int(node[i])] * len(first), node[t][near][first].tolist(), strict=True)]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    whole = rows.join(texts, "node")
+    return whole.groupBy("owner", "q", "t").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -127,31 +161,24 @@ def link(docs: DataFrame, text: str = "text") -> DataFrame:
     are followed. Null ids are linked with nothing but take their copies' component. Empty table: no rows.
 
     Equal sets are one node from the start (the smallest doc_id), so thousands of copies are one row in the search. In each bucket the
-    smallest node is held against the others; then, until no bucket holds rows of two components with a pair untried, the rest.
+    node with most bucket mates, mostly the text that the others were made from, is held against the others; leftover() sees to the rest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = cut(signed(docs))
     full = base.where("n_shingles > 0")
     nodes = full.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("rows")).where("rows > 1")
-    buckets = cut(rows.join(shared.select("bucket", "centre"), "bucket").select("bucket", "centre", "node", "n"))
-    sizes = buckets.groupBy("node").agg(F.max("n").alias("n"))
-    wanted = cut(sets(docs.join(sizes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")))
-    centre_size = sizes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
-    pairs = buckets.where("node <> centre").select("centre", "node", "n").distinct().join(centre_size, "centre").where(_fitting("n", "m"))
-    tried = cut(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
-    edges = cut(confirm(tried, wanted))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(rows.join(shared, "bucket").select("bucket", "node", "n", "size"))
+    mates = cut(buckets.groupBy("node").agg(F.max("n").alias("n"), F.sum("size").alias("mates")))
+    wanted = cut(sets(docs.join(mates.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")))
+    centres = buckets.join(mates.select("node", "mates"), "node").groupBy("bucket").agg(F.max(F.struct("mates", F.negative("node").alias("minus"), "n")).alias("top"))
+    pairs = buckets.join(centres.select("bucket", F.negative("top.minus").alias("centre"), F.col("top.n").alias("m")), "bucket").where((F.col("node") != F.col("centre")) & _fitting("n", "m"))
+    edges = cut(confirm(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), wanted))
     labels = components(edges)
-    while True:
-        more = cut(leftover(buckets.select("bucket", "node", "n"), labels, tried))
-        if not more.limit(1).count():
-            break
-        tried = tried.unionByName(more)
-        found = cut(confirm(more, wanted))
-        if found.limit(1).count():
-            edges = edges.unionByName(found)
-            labels = components(edges)
+    found = cut(leftover(buckets.select("bucket", "node", "n"), labels, wanted))
+    if found.limit(1).count():
+        labels = components(edges.unionByName(found))
     classes = full.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     linked = full.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
     alone = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -118,8 +118,13 @@ _REPEATS = ("doc", "text_hash", "pos", "n")
 
 
 def _firsts(u: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by anchor, digest and place, and which in that order are the first of equal units."""
+    """Order by anchor, digest and place, and which in that order are the first of equal units. A place that repeated rows name again is left out."""
     order = np.lexsort((u["pos"], u["text_hash"], u["doc"], u["digest"], u["anchor"]))
+    own = np.ones(len(order), bool)
+    own[1:] = False
+    for k in ("anchor", "digest", "doc", "text_hash", "pos"):
+        own[1:] |= u[k][order[1:]] != u[k][order[:-1]]
+    order = order[own]
     anchor, digest = u["anchor"][order], u["digest"][order]
     first = np.ones(len(order), bool)
     first[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])

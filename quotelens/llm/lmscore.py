@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import LOWER, hashes, slices, utf8, words
+from .bytesets import LOWER, hashes, mix, slices, utf8, words
 from .frames import cut, fold_of, partitions
 
 WORDS, RARE, SIZE = 896, 127, 32
@@ -322,11 +322,23 @@ def rare_words(docs: DataFrame, sent, buckets: int) -> DataFrame:
         doc, text = doc[order], text[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])[: len(doc)])
         add_up = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
-        return pa.table({"doc": doc[first], "text_hash": text[first], "logs": add_up(n * np.log10(c + 1)), "known": add_up(np.where(c > 0, n, 0).astype(np.int64)), "rows": add_up((~word).astype(np.int64))})
+        sums = (doc[first], text[first], add_up(n * np.log10(c + 1)), add_up(np.where(c > 0, n, 0).astype(np.int64)), add_up((~word).astype(np.int64)))
+        # What a bucket knows of the documents goes to their owners as blobs too, not as a row for each document.
+        order, cuts = by_bucket(mix(sums[0].view(np.uint64) + sums[1].view(np.uint64)), buckets)
+        used = np.flatnonzero(np.diff(cuts))
+        return pa.table({"owner": pa.array(used.astype(np.int32))} | {k: pa.array([x[order[cuts[b] : cuts[b + 1]]].astype(t).tobytes() for b in used], pa.binary()) for (k, t), x in zip(parts, sums, strict=True)})
+
+    def merge(group: pa.Table) -> pa.Table:
+        doc, text, logs, known, rows = (np.frombuffer(b"".join(group.column(k).to_pylist()), t) for k, t in parts)
+        order = np.lexsort((text, doc))
+        doc, text = doc[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])[: len(doc)])
+        return pa.table({"doc": doc[first], "text_hash": text[first]} | {k: np.add.reduceat(x[order], first) if len(first) else x[:0] for k, x in (("logs", logs), ("known", known), ("rows", rows))})
 
+    parts = (("doc", np.int64), ("text_hash", np.int64), ("logs", np.float64), ("known", np.int64), ("rows", np.int64))
     blobs = docs.mapInArrow(run, "bucket int, hashes binary, counts binary, learnt binary, docs binary, texts binary")
-    sums = blobs.groupBy("bucket").applyInArrow(add, "doc long, text_hash long, logs double, known long, rows long")
-    return sums.groupBy("doc", "text_hash").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("rows").alias("rows"))
+    sums = blobs.groupBy("bucket").applyInArrow(add, "owner int, " + ", ".join(f"{k} binary" for k, _ in parts))
+    return sums.groupBy("owner").applyInArrow(merge, "doc long, text_hash long, logs double, known long, rows long")
 
 
 _TABLES: dict = {}

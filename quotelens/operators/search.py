@@ -11,36 +11,40 @@ from .verify import found_at
 RUN = 3
 
 
-def runs(norm: Column) -> Column:
-    """Distinct runs of RUN consecutive letter-and-digit words of a normalised text.
+def words(norm: Column) -> Column:
+    return F.filter(F.split(norm, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+
+def runs(found: Column, size: int) -> Column:
+    """Distinct runs of `size` consecutive words, hashed.
 
     A found quote begins and ends at word ends, so the runs of a quote are runs of every text that holds it.
     """
-    words = F.filter(F.split(norm, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    n = F.size(words)
+    n = F.size(found)
     # Shifted copies side by side: one pass, where slices at each place would read the words again and again.
-    side_by_side = F.arrays_zip(*(F.slice(words, F.lit(k + 1), F.greatest(n - RUN + 1, F.lit(0))).alias(f"w{k}") for k in range(RUN)))
-    return F.array_distinct(F.transform(side_by_side, lambda x: F.xxhash64(*(x[f"w{k}"] for k in range(RUN)))))
+    side_by_side = F.arrays_zip(*(F.slice(found, F.lit(k + 1), F.greatest(n - size + 1, F.lit(0))).alias(f"w{k}") for k in range(size)))
+    return F.array_distinct(F.transform(side_by_side, lambda x: F.xxhash64(*(x[f"w{k}"] for k in range(size)))))
 
 
-def locate_in_corpus(quotes: DataFrame, documents: DataFrame, broadcast_most: int = 1000) -> DataFrame:
+def locate_in_corpus(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     """item_id, doc_id, position (from 1, in the normalised text) of every document that holds a quote.
 
-    quotes (item_id, text), documents (doc_id, text). Each quote is looked up by its rarest run, one row for each; how often runs
-    occur is counted for the runs of quotes only. Quotes of fewer words have no run: they are held against all documents,
-    in a broadcast if they are no more than broadcast_most and by a shuffled nested loop over blocks of documents otherwise.
+    quotes (item_id, text), documents (doc_id, text). Each quote is looked up by its rarest run of RUN words (of all its words, if they
+    are fewer), one row for each; how often runs occur is counted for the runs of quotes only. A quote without a word is in no document.
     """
-    asked = quotes.select("item_id", normalize(clean_quote(F.col("text"))).alias("search")).where("search <> ''")
+    asked = quotes.select("item_id", normalize(clean_quote(F.col("text"))).alias("search")).withColumn("words", words(F.col("search"))).where(F.size("words") > 0)
+    asked = asked.withColumn("size", F.least(F.size("words"), F.lit(RUN)))
     corpus = documents.select("doc_id", normalize(F.col("text")).alias("norm"))
-    asked = asked.withColumn("runs", runs(F.col("search")))
-    wanted = asked.where(F.size("runs") > 0).select("item_id", F.explode("runs").alias("run"))
-    held = corpus.select("doc_id", F.explode(runs(F.col("norm"))).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
-    often = held.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "run").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "run"))).where("rank = 1").select("item_id", "run")
-    pairs = held.join(rarest, "run").select("item_id", "doc_id")
-    near = pairs.join(corpus, "doc_id").join(asked.select("item_id", "search"), "item_id")
-    few = asked.where(F.size("runs") == 0).select("item_id", "search")
-    small = few.limit(broadcast_most + 1).count() <= broadcast_most
-    every = corpus.join(F.broadcast(few) if small else few, F.col("norm").contains(F.col("search")))
-    both = near.select("item_id", "doc_id", "norm", "search").unionByName(every.select("item_id", "doc_id", "norm", "search"))
-    return both.withColumn("position", found_at(F.col("norm"), F.col("search"))).where("position > 0").select("item_id", "doc_id", "position")
+    split_once = corpus.select("doc_id", words(F.col("norm")).alias("words"))
+    found = None
+    for size in sorted(r["size"] for r in asked.select("size").distinct().collect()):  # one to RUN of them
+        wanted = asked.where(F.col("size") == size).select("item_id", F.explode(runs(F.col("words"), size)).alias("run"))
+        held = split_once.select("doc_id", F.explode(runs(F.col("words"), size)).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
+        often = held.groupBy("run").agg(F.count("*").alias("n"))
+        rarest = wanted.join(often, "run").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "run"))).where("rank = 1").select("item_id", "run")
+        pairs = held.join(rarest, "run").select("item_id", "doc_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        return corpus.where("false").select(F.lit(0).cast("long").alias("item_id"), "doc_id", F.lit(0).alias("position"))
+    near = found.join(corpus, "doc_id").join(asked.select("item_id", "search"), "item_id")
+    return near.withColumn("position", found_at(F.col("norm"), F.col("search"))).where("position > 0").select("item_id", "doc_id", "position")

@@ -146,21 +146,21 @@ def read_odt(content: bytes) -> list[str]:
 READERS: dict[str, tuple[Callable[[bytes], list[str]], str]] = {".html": (read_html, LINE), ".htm": (read_html, LINE), ".docx": (read_docx, PARAGRAPH), ".odt": (read_odt, PARAGRAPH)}
 
 
-def helper(read: Callable[[bytes], list[str]]):
-    """A reader as a vectorized function to struct<lines, reason>; whatever it raises becomes the reason."""
+def helper(readers: dict[str, Callable[[bytes], list[str]]]):
+    """Readers as one vectorized function of (extension, content) to struct<lines, reason>; whatever one raises becomes the reason. Null content gives nulls."""
 
-    def one(content):
+    def one(kind, content):
         if content is None:
-            return None, INVALID
+            return None, None
         try:
-            return read(bytes(content)), None
+            return readers[kind](bytes(content)), None
         except (RecursionError, MemoryError, ValueError) as e:
             own = str(e) in (BINARY, INVALID, TOO_LARGE)
             return None, str(e) if own else f"no se pudo extraer el texto ({type(e).__name__})"
 
     @F.pandas_udf(RESULT)
-    def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(c) for c in content], columns=["lines", "reason"])
+    def run(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(k, c) for k, c in zip(kind, content, strict=True)], columns=["lines", "reason"])
 
     return run
 
@@ -168,24 +168,30 @@ def helper(read: Callable[[bytes], list[str]]):
 def html_lines(df: DataFrame, html: str = "html") -> DataFrame:
     """Lines of an HTML column. Other columns come along; null has none."""
     rest = [c for c in df.columns if c != html]
-    read = df.where(F.col(html).isNotNull()).select(*rest, helper(read_html)(F.col(html).cast("binary"))["lines"].alias("__lines"))
+    read = df.where(F.col(html).isNotNull()).select(*rest, helper({"": read_html})(F.lit(""), F.col(html).cast("binary"))["lines"].alias("__lines"))
     return located(read, "__lines")
 
 
 def extract(files: DataFrame, readers: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, unreadable) of files (path, content binary, ...): lines with their unit, or the reason. One bad file stops nothing."""
     readers = READERS if readers is None else readers
-    kind = extension(F.col("path"))
     rest = [c for c in files.columns if c != "content"]
-    text = files.where(~kind.isin(list(readers)) if readers else F.lit(True))
-    bad = binary(F.col("content"))
-    done = text.select(*rest, F.when(~bad, lines(decoded(F.col("content")))).alias("lines"), F.lit(LINE).alias("unit"), F.when(bad, BINARY).when(F.col("content").isNull(), INVALID).alias("reason"))
-    for suffix, (read, unit) in readers.items():
-        own = files.where(kind == suffix)
-        probed = F.when(binary(F.col("content")), F.struct(F.lit(None).cast("array<string>").alias("lines"), F.lit(BINARY).alias("reason"))) if read is read_html else None
-        result = helper(read)(F.col("content"))
-        result = probed.otherwise(result) if probed is not None else result
-        done = done.unionByName(own.select(*rest, result.alias("r")).select(*rest, "r.lines", F.lit(unit).alias("unit"), "r.reason"))
+    rows = files.withColumn("__kind", extension(F.col("path")))
+    own = F.col("__kind").isin(list(readers))
+    # Text and what is decoded as text must not be binary; only what has a reader of its own goes to Python, in one pass over all files.
+    decodes = ~own | F.col("__kind").isin([k for k, (read, _) in readers.items() if read is read_html])
+    rows = rows.withColumn("__bad", F.col("content").isNull() | decodes & binary(F.col("content")))
+    read = helper({k: f for k, (f, _) in readers.items()})
+    rows = rows.withColumn("__read", F.when(own, read(F.col("__kind"), F.when(own & ~F.col("__bad"), F.col("content")))))
+    unit = F.lit(LINE)
+    for kind, (_, name) in readers.items():
+        unit = F.when(F.col("__kind") == kind, name).otherwise(unit)
+    done = rows.select(
+        *rest,
+        F.when(own, F.col("__read.lines")).when(~F.col("__bad"), lines(decoded(F.col("content")))).alias("lines"),
+        unit.alias("unit"),
+        F.when(F.col("content").isNull(), INVALID).when(F.col("__bad"), BINARY).when(own, F.col("__read.reason")).alias("reason"),
+    )
     return done.where("reason IS NULL").drop("reason"), done.where("reason IS NOT NULL").drop("lines", "unit")
 
 

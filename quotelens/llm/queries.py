@@ -52,8 +52,18 @@ def queries() -> dict:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
 
-#: DuckDB has no crc32, so its column is left to the query's own test; the rest of sharding is a window.
-SQL: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+#: Near-duplicates by plain sets and plain reachability. The others train models, hash as DuckDB can't (crc32) or follow greedy rules: tests/llm has their brute force.
+SQL = {
+    "op6_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+      n AS (SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY ALL),
+      shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+      links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+      ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+      reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN ways ON r = a)
+      SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
+}
 
 
 def oracle_sql() -> dict[str, str]:

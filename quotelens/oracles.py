@@ -233,6 +233,10 @@ ORACLE = {
     "triage_code": f"""SELECT doc_id, {STATUS} AS status, (CASE doc_id % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 6 THEN 1 ELSE 0 END)::INT AS n_lines,
         CASE doc_id % 8 WHEN 0 THEN concat('x = ', doc_id::VARCHAR, chr(10), 'print(x)') WHEN 1 THEN concat('def f():', chr(10), '    return ', doc_id::VARCHAR) WHEN 2 THEN 'x = 1' ELSE {strip("text")} END AS code FROM ({CODES})""",
     "code_statuses": f"SELECT {STATUS} AS status, count(*) AS n FROM documents GROUP BY ALL",
+    "answer_blocks": f"WITH RECURSIVE {BLOCKS} SELECT request_id, block_no::INT AS block_no, concat('n ', length(user_text)::VARCHAR) AS content FROM prompts",
+    "read_cases": f"SELECT case_id::VARCHAR AS file, concat('¿', expected) AS question, type, CASE WHEN type = 'sin_respuesta' THEN '' ELSE expected END AS expected FROM ({CASES})",
+    "write_outputs": f"""WITH {VERDICTS}, kept AS (SELECT DISTINCT request_id, path, {norm("shown")} AS t FROM verdicts WHERE reason IS NULL)
+        SELECT 'reports' AS output, count(*) AS n FROM ({QUESTIONS}) UNION ALL SELECT 'verified', count(*) FROM kept UNION ALL SELECT 'rejections', count(*) FROM tally UNION ALL SELECT 'dumps', count(*) FROM ({REPORTS})""",
     "verify_stream": f"WITH {VERDICTS} SELECT reason, count(*) AS n FROM (SELECT reason FROM verdicts UNION ALL SELECT 'sin_formato' FROM unformatted) GROUP BY ALL",
 }
 

@@ -17,7 +17,7 @@ from .functions.numbers import numeric_values as numbers_of
 from .functions.text import clean_quote, content_words, coverage, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
 from .jobs.grounded import to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
-from .sources import files
+from .sources import files, sinks
 from .streaming.verification import verify_stream as start_stream
 
 
@@ -269,12 +269,44 @@ def code_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecheck.triage_code(fx.derived(spark, sf_dir, fx.CODE)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses that arrive in two files, the second with blocks of the first again: verdicts counted by reason."""
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see."""
     from tempfile import mkdtemp
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-shared-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A responder that says how long its prompt is."""
+    return prompts.answer_blocks(_prompts(spark, sf_dir), lambda batch: "n " + batch["user"].str.len().astype(str))
+
+
+def read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as JSON lists of a thousand and read again; every third lacks what is expected."""
+    path = _shared(spark, "cases")
+    rows = fx.derived(spark, sf_dir, fx.CASES).select(F.floor(F.col("case_id") / 1000).alias("bucket"), F.col("case_id").cast("string").alias("archivo"), F.concat(F.lit("¿"), "expected").alias("pregunta"), F.col("type").alias("tipo"), F.when(F.col("type") != evaluate.NO_ANSWER, F.array("expected")).alias("esperado"))
+    lists = rows.groupBy("bucket").agg(F.to_json(F.collect_list(F.struct("archivo", "pregunta", "tipo", "esperado"))).alias("value"))
+    lists.write.partitionBy("bucket").text(path)
+    return files.read_cases(spark, path).select("file", "question", "type", F.concat_ws("|", "expected").alias("expected"))
+
+
+def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every output table written, dumps by model and variant, and its rows counted."""
+    path, done = _shared(spark, "outputs"), _reports(spark, sf_dir)
+    dumps = fx.derived(spark, sf_dir, fx.REPORTS).select("model", "variant", "case_id", "report")
+    sinks.write_outputs(path, done.reports, done.kept, done.rejections, None, dumps)
+    counts = [(name, spark.read.parquet(f"{path}/{name}")) for name in ("reports", "verified", "rejections")] + [("dumps", spark.read.json(f"{path}/dumps"))]
+    out = None
+    for name, rows in counts:
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that arrive in two files, the second with blocks of the first again: verdicts counted by reason."""
+    base = _shared(spark, "stream")
     responses = fx.derived(spark, sf_dir, fx.RESPONSES)
     chunks, requests = _chunk_table(spark, sf_dir), fx.derived(spark, sf_dir, fx.QUESTIONS)
     for part in (responses.where("request_id % 3 < 2"), responses.where("request_id % 3 > 0")):
@@ -287,7 +319,7 @@ NAMES = """
     text_lines html_lines office_lines extract wrapped_files large_sources request_budget chunk_lines pack_blocks build_blocks
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms word_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
-    answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses verify_stream
+    answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
 """.split()
 
 

@@ -54,9 +54,12 @@ class Reports:
 
 
 def to_reports(responses: DataFrame, chunks: DataFrame, requests: DataFrame, unreadable: DataFrame | None = None) -> Reports:
-    """responses (request_id, block_no, content) to verdicts and a report for each request."""
+    """responses (request_id, block_no, content) to verdicts and a report for each request.
+
+    Verdicts are persisted, as reports read them twice; unpersist them when the reports are written.
+    """
     claims = parse_claims(responses)
-    verdicts = verify(claims, chunks, requests)
+    verdicts = verify(claims, chunks, requests).persist()
     kept = dedupe_verified(verdicts)
     rejections = tally_rejections(verdicts, flag_unformatted(responses, claims))
     return Reports(verdicts, kept, rejections, compose_report(requests, kept, rejections, unreadable))

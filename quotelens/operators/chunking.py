@@ -60,21 +60,22 @@ def chunk_lines(documents: DataFrame, budget: Column | int = None) -> DataFrame:
 def pack_blocks(chunks: DataFrame, budget: Column | int = None) -> DataFrame:
     """Chunks with block_no, from 0 in each request: documents first, then code, each in file order and filled in turn.
 
-    Only keys and costs, a few bytes a chunk, meet in one task for each request and kind. chunks needs budget where none is given.
+    Only keys and costs, a few bytes a chunk, meet in one task for each request. chunks needs budget where none is given.
     """
     limit = F.col("budget") if budget is None else F.lit(budget) if isinstance(budget, int) else budget
     thin = chunks.select("request_id", "is_code", "ord", "part", "tokens", limit.cast("long").alias("budget"))
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "part"], kind="stable")
-        runs = fill(rows["tokens"].to_numpy(), int(rows["budget"].iloc[0]))
-        number = np.repeat(np.arange(len(runs)), [b - a for a, b in runs])
-        return rows.assign(number=number)[["request_id", "is_code", "ord", "part", "number"]]
-
-    numbered = thin.groupBy("request_id", "is_code").applyInPandas(group, "request_id long, is_code boolean, ord int, part int, number int")
-    before = numbered.where("NOT is_code").groupBy("request_id").agg((F.max("number") + 1).alias("before"))
-    placed = numbered.join(before, "request_id", "left").select("request_id", "is_code", "ord", "part", (F.col("number") + F.when(F.col("is_code"), F.coalesce("before", F.lit(0))).otherwise(0)).cast("int").alias("block_no"))
-    return chunks.join(placed, ["request_id", "is_code", "ord", "part"])
+        rows = rows.sort_values(["is_code", "ord", "part"], kind="stable")
+        numbers, at = [], 0
+        for _, kind in rows.groupby("is_code", sort=True):
+            runs = fill(kind["tokens"].to_numpy(), int(kind["budget"].iloc[0]))
+            numbers.append(at + np.repeat(np.arange(len(runs)), [b - a for a, b in runs]))
+            at += len(runs)
+        return rows.assign(block_no=np.concatenate(numbers))[["request_id", "ord", "part", "block_no"]]
+
+    placed = thin.groupBy("request_id").applyInPandas(group, "request_id long, ord int, part int, block_no int")
+    return chunks.join(placed, ["request_id", "ord", "part"])
 
 
 def build_blocks(packed: DataFrame) -> DataFrame:

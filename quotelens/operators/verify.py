@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numeric_values
@@ -37,19 +37,24 @@ _BULLET = "^(?:[\\s\x1c-\x1f\x85]*[-*•]|\\p{Nd}+[.)])[\\s\x1c-\x1f\x85]+"
 
 def parse_claims(responses: DataFrame, key: tuple[str, ...] = ("request_id", "block_no")) -> DataFrame:
     """key, claim_no (from 1), claim, quote of each bullet of responses (key, content). What comes before the first bullet is nobody's."""
-    long = responses.select(*key, F.posexplode(lines(F.col("content"))).alias("pos", "line"))
-    long = long.withColumn("bare", strip(F.col("line"))).where("bare <> ''")
-    quoted = F.col("bare").startswith(">")
-    long = long.withColumn("kind", F.when(quoted, "quote").when(F.col("line").rlike(_BULLET), "bullet").otherwise("more"))
-    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    long = long.withColumn("claim_no", F.count_if(F.col("kind") == "bullet").over(order)).where("claim_no > 0")
-    part = F.when(quoted, strip(F.regexp_replace("bare", "^>+", ""))).when(F.col("kind") == "bullet", F.regexp_replace("line", _BULLET, "")).otherwise(F.col("bare"))
-    grouped = long.withColumn("part", part).groupBy(*key, "claim_no").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "part"))).alias("p"))
+    # All within a row: where bullets stand cuts the array of lines, so no response is taken apart and shuffled.
+    bare = F.filter(F.transform(lines(F.col("content")), lambda x: F.struct(x.alias("line"), strip(x).alias("bare"))), lambda x: x["bare"] != "")
+    typed = F.transform("__bare", _typed)
+    places = F.filter(F.transform("__typed", lambda x, i: F.when(x["kind"] == "bullet", i).otherwise(-1)), lambda i: i >= 0)
+    own = lambda start, k: F.slice(F.col("__typed"), start + 1, F.coalesce(F.get(F.col("__places"), k + 1), F.size("__typed")) - start)
+    rows = responses.select(*key, bare.alias("__bare")).withColumn("__typed", typed).withColumn("__places", places)
+    items = rows.select(*key, F.posexplode(F.transform("__places", own)).alias("__n", "__item"))
 
     def joined(keep) -> Column:
-        return strip(F.array_join(F.transform(F.filter("p", keep), lambda x: x["part"]), " "))
+        return strip(F.array_join(F.transform(F.filter("__item", keep), lambda x: x["part"]), " "))
 
-    return grouped.select(*key, "claim_no", joined(lambda x: x["kind"] != "quote").alias("claim"), joined(lambda x: x["kind"] == "quote").alias("quote"))
+    return items.select(*key, (F.col("__n") + 1).cast("long").alias("claim_no"), joined(lambda x: x["kind"] != "quote").alias("claim"), joined(lambda x: x["kind"] == "quote").alias("quote"))
+
+
+def _typed(row: Column) -> Column:
+    quoted, bullet = row["bare"].startswith(">"), row["line"].rlike(_BULLET)
+    part = F.when(quoted, strip(F.regexp_replace(row["bare"], "^>+", ""))).when(bullet, F.regexp_replace(row["line"], _BULLET, "")).otherwise(row["bare"])
+    return F.struct(F.when(quoted, "quote").when(bullet, "bullet").otherwise("more").alias("kind"), part.alias("part"))
 
 
 def flag_unformatted(responses: DataFrame, claims: DataFrame, key: tuple[str, ...] = ("request_id", "block_no")) -> DataFrame:
@@ -92,13 +97,23 @@ def quote_line(at: Column, starts: Column) -> Column:
     return F.array_max(F.filter(starts, lambda s: s["start"] < at))["line"]
 
 
-def locate_quotes(claims: DataFrame, indexed: DataFrame) -> DataFrame:
-    """For each claim (request_id, block_no, claim_no, search) the first chunk of its block that holds it, and the line there."""
+def with_hits(claims: DataFrame, indexed: DataFrame) -> DataFrame:
+    """claims (request_id, block_no, claim_no, search, ...) and hit: path, is_code and pos of the first chunk of the block that holds search; null if none does.
+
+    One shuffle, by block: the grouping by claim that picks the first chunk keeps the partitioning of the join.
+    """
     chunk = indexed.select("request_id", "block_no", "path", "ord", "part", "first_line", "is_code", "norm", "starts")
-    hits = claims.select("request_id", "block_no", "claim_no", "search").join(chunk, ["request_id", "block_no"]).withColumn("at", found_at(F.col("norm"), F.col("search"))).where("at > 0")
-    hits = hits.withColumn("line", F.col("first_line") + quote_line(F.col("at"), F.col("starts")))
-    first = F.min_by(F.struct("path", "is_code", F.struct("ord", "line").alias("pos")), F.struct("ord", "part"))
-    return hits.groupBy("request_id", "block_no", "claim_no").agg(first.alias("hit"))
+    rest = [c for c in claims.columns if c not in ("request_id", "block_no", "claim_no")]
+    rows = claims.join(chunk, ["request_id", "block_no"], "left").withColumn("at", found_at(F.col("norm"), F.col("search")))
+    found = F.col("at") > 0
+    line = F.when(found, F.col("first_line") + quote_line(F.col("at"), F.col("starts")))
+    rows = rows.select("request_id", "block_no", "claim_no", F.struct(*rest).alias("own"), F.when(found, F.struct("ord", "part")).alias("order"), F.struct("path", "is_code", F.struct("ord", line.alias("line")).alias("pos")).alias("place"))
+    return rows.groupBy("request_id", "block_no", "claim_no").agg(F.first("own").alias("own"), F.min_by("place", "order").alias("hit")).select("request_id", "block_no", "claim_no", "own.*", "hit")
+
+
+def locate_quotes(claims: DataFrame, indexed: DataFrame) -> DataFrame:
+    """For each claim (request_id, block_no, claim_no, search) that is found: the first chunk of its block that holds it, and the line there."""
+    return with_hits(claims.select("request_id", "block_no", "claim_no", "search"), indexed).where("hit IS NOT NULL").drop("search")
 
 
 def _subset(part: Column, whole: Column) -> Column:
@@ -117,8 +132,8 @@ def verify(claims: DataFrame, chunks: DataFrame, requests: DataFrame, unit: str
         "early",
         F.when(is_not_stated(F.col("claim")), SKIPPED).when(F.col("search") == "", "sin_cita").when(F.size(F.split("search", " ")) < LEAST_QUOTE_WORDS, "cita_corta"),
     )
-    hits = locate_quotes(ready.where("early IS NULL"), chunk_index(chunks))
-    both = ready.join(hits, ["request_id", "block_no", "claim_no"], "left").join(asked, "request_id", "left")
+    ready = ready.withColumn("search", F.when(F.col("early").isNull(), F.col("search")))
+    both = with_hits(ready, chunk_index(chunks)).join(asked, "request_id", "left")
     # Checks of what was found, on columns that are null for the rest, so that the costly ones are skipped there.
     claim, quote = F.when(F.col("hit").isNotNull(), F.col("claim")), F.when(F.col("hit").isNotNull(), F.col("quote"))
     code = F.col("hit.is_code")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BUDGET = 200
-_LINE = "split_part(d.text, chr(10), {})"
-_FIRST, _SECOND = _LINE.format(1), _LINE.format(2)
+#: documents with the first two lines of each text, split off once.
+_DOCS = "(SELECT *, split_part(text, chr(10), 1) AS l1, split_part(text, chr(10), 2) AS l2 FROM {docs})"
+_FIRST, _SECOND = "d.l1", "d.l2"
 
 
 def _words(line: str, a: int, b: int) -> str:
@@ -18,8 +19,8 @@ def _words(line: str, a: int, b: int) -> str:
 
 PATH = "concat(d.source, '/', CAST(d.doc_id AS STRING), CASE d.doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' ELSE '.sql' END)"
 #: Twenty documents a request.
-FILES = f"SELECT d.doc_id, CAST(d.doc_id - d.doc_id % 20 AS BIGINT) AS request_id, CAST(d.doc_id % 20 AS INT) AS ord, {PATH} AS path, d.text AS content FROM {{docs}} d"
-REQUESTS = f"SELECT d.doc_id AS request_id, concat({_words(_FIRST, 1, 6)}, '?') AS question FROM {{docs}} d WHERE d.doc_id % 20 = 0"
+FILES = f"SELECT d.doc_id, CAST(d.doc_id - d.doc_id % 20 AS BIGINT) AS request_id, CAST(d.doc_id % 20 AS INT) AS ord, {PATH} AS path, d.text AS content FROM {_DOCS} d"
+REQUESTS = f"SELECT d.doc_id AS request_id, concat({_words(_FIRST, 1, 6)}, '?') AS question FROM {_DOCS} d WHERE d.doc_id % 20 = 0"
 
 _QUOTE = _words(_FIRST, 2, 8)
 _NEXT = _words(_FIRST.replace("d.", "n."), 1, 9)
@@ -36,9 +37,9 @@ SELECT d.doc_id AS request_id, CAST(0 AS INT) AS block_no, CASE d.doc_id % 8
   WHEN 5 THEN concat(chr(9), '• ', {_NEXT}, chr(10), '> ', {_NEXT}, chr(10), '- **NO CONSTA**.')
   WHEN 6 THEN concat('Prose: ', {_QUOTE})
   ELSE ' No consta. ' END AS content
-FROM {{docs}} d LEFT JOIN {{docs}} n ON n.doc_id = d.doc_id + 1"""
+FROM {_DOCS} d LEFT JOIN {_DOCS} n ON n.doc_id = d.doc_id + 1"""
 #: What is asked of each document: its own words, or for every third something else.
-QUESTIONS = f"SELECT d.doc_id AS request_id, CASE WHEN d.doc_id % 24 IN (8, 9) THEN 'wholly unrelated matters' ELSE {_QUOTE} END AS question FROM {{docs}} d"
+QUESTIONS = f"SELECT d.doc_id AS request_id, CASE WHEN d.doc_id % 24 IN (8, 9) THEN 'wholly unrelated matters' ELSE {_QUOTE} END AS question FROM {_DOCS} d"
 #: Each document as the one chunk of its request; every fifth path is code.
 CHUNKS = "SELECT d.doc_id AS request_id, CAST(0 AS INT) AS block_no, concat(d.source, '/', CAST(d.doc_id AS STRING), CASE WHEN d.doc_id % 5 = 0 THEN '.py' ELSE '.md' END) AS path, CAST(0 AS INT) AS ord, CAST(1 AS INT) AS part, CAST(0 AS INT) AS first_line, d.doc_id % 5 = 0 AS is_code, d.text FROM {docs} d"
 _JSON = "replace(replace(replace({}, '\"', ''), chr(92), ''), chr(10), ' ')"
@@ -52,7 +53,7 @@ SELECT d.doc_id AS request_id, CAST(0 AS INT) AS block_no, CASE d.doc_id % 6
   WHEN 3 THEN '{{{{"choices":[{{{{"message":{{{{"content":"  "}}}},"finish_reason":"stop"}}}}]}}}}'
   WHEN 4 THEN '{{{{"choices":[{{{{"message'
   ELSE '{{{{"error":"busy"}}}}' END AS body
-FROM {{docs}} d"""
+FROM {_DOCS} d"""
 #: Code as models write it.
 CODE = f"""
 SELECT d.doc_id, CASE d.doc_id % 8
@@ -64,9 +65,9 @@ SELECT d.doc_id, CASE d.doc_id % 8
   WHEN 5 THEN concat('return ', CAST(d.doc_id AS STRING))
   WHEN 6 THEN concat('# ', CAST(d.doc_id AS STRING))
   ELSE '   ' END AS text
-FROM {{docs}} d"""
+FROM {_DOCS} d"""
 #: Reports of runs: every document a case, two models, two variants.
-CASES = f"SELECT d.doc_id AS case_id, CASE d.doc_id % 3 WHEN 0 THEN 'dato' WHEN 1 THEN 'orientacion' ELSE 'sin_respuesta' END AS type, {_QUOTE} AS expected FROM {{docs}} d"
+CASES = f"SELECT d.doc_id AS case_id, CASE d.doc_id % 3 WHEN 0 THEN 'dato' WHEN 1 THEN 'orientacion' ELSE 'sin_respuesta' END AS type, {_QUOTE} AS expected FROM {_DOCS} d"
 REPORTS = f"""
 SELECT d.doc_id AS case_id, m.model, v.variant, CASE (d.doc_id + m.i + v.i) % 5
   WHEN 0 THEN concat('- a', chr(10), '  > ', {_QUOTE}, chr(10), '  (x:1)', chr(10), chr(10), 'Descartadas ', CAST(2 + d.doc_id % 3 AS STRING), ' afirmaciones: 2 sin cita.')
@@ -75,7 +76,7 @@ SELECT d.doc_id AS case_id, m.model, v.variant, CASE (d.doc_id + m.i + v.i) % 5
   WHEN 3 THEN concat('No consta en los documentos.', chr(10), chr(10), '3 respuestas sin el formato pedido.')
   ELSE '' END AS report, CASE WHEN (d.doc_id + m.i + v.i) % 5 = 4 THEN 'no backend' END AS error,
   CAST(d.doc_id % 7 AS DOUBLE) AS seconds, CAST(1 + d.doc_id % 2 AS BIGINT) AS calls
-FROM {{docs}} d CROSS JOIN (SELECT 'm1' AS model, 0 AS i UNION ALL SELECT 'm2', 1) m CROSS JOIN (SELECT 'end' AS variant, 0 AS i UNION ALL SELECT 'start', 2) v"""
+FROM {_DOCS} d CROSS JOIN (SELECT 'm1' AS model, 0 AS i UNION ALL SELECT 'm2', 1) m CROSS JOIN (SELECT 'end' AS variant, 0 AS i UNION ALL SELECT 'start', 2) v"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

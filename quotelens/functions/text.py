@@ -56,9 +56,9 @@ def folding() -> tuple[str, str]:
 
 def lines(text: Column) -> Column:
     """The lines of a text, without an empty one after a line end at its end. Null: null; empty: none."""
-    parts = F.split(text, LINE_END)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(text.isNull(), F.lit(None)).otherwise(F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
+    # The line end that ends the text is taken off first, so that the text is split once.
+    last = F.when(F.substring(text, -2, 2) == "\r\n", 2).when(F.substring(text, -1, 1).rlike(LINE_END), 1).otherwise(0)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(text, F.lit(1), F.length(text) - last), LINE_END))
 
 
 def strip(text: Column) -> Column:

@@ -207,7 +207,7 @@ ORACLE = {
     "render_prompts": f"WITH RECURSIVE {BLOCKS} SELECT request_id, block_no::INT AS block_no, model, sha256({q(SYSTEM)}) AS system, sha256(user_text) AS \"user\" FROM prompts",
     "request_json": f"WITH RECURSIVE {BLOCKS} SELECT request_id, block_no::INT AS block_no, model, 0.5::DOUBLE AS temperature, 1024::INT AS max_tokens, 'false' AS stream, 'system' AS first_role, sha256(user_text) AS \"user\" FROM prompts",
     "parse_responses": f"""SELECT d.doc_id AS request_id, 0::INT AS block_no, CASE WHEN d.doc_id % 6 = 0 AND {strip(fx._BODY)} <> '' THEN 'ok' WHEN d.doc_id % 6 IN (0, 3) THEN 'empty' WHEN d.doc_id % 6 IN (1, 2) THEN 'reasoning only' ELSE 'malformed' END AS status,
-        CASE WHEN d.doc_id % 6 = 0 AND {strip(fx._BODY)} <> '' THEN {strip(fx._BODY)} END AS content, CASE WHEN d.doc_id % 6 IN (0, 3) THEN 'stop' WHEN d.doc_id % 6 IN (1, 2) THEN 'length' END AS finish_reason FROM documents d""",
+        CASE WHEN d.doc_id % 6 = 0 AND {strip(fx._BODY)} <> '' THEN {strip(fx._BODY)} END AS content, CASE WHEN d.doc_id % 6 IN (0, 3) THEN 'stop' WHEN d.doc_id % 6 IN (1, 2) THEN 'length' END AS finish_reason FROM {fx.duck(fx._DOCS)} d""",
     "parse_claims": f"WITH {CLAIMS} SELECT request_id, claim_no, claim, quote FROM claims",
     "flag_unformatted": f"WITH {CLAIMS} SELECT request_id, 'sin_formato' AS reason FROM unformatted",
     "quote_forms": f"WITH t AS (SELECT doc_id, text, concat(' …*“', split_part(text, chr(10), 1), '”_.. ') AS x FROM documents) SELECT doc_id, {norm('x')} AS norm, {clean('x')} AS shown, array_to_string({words('x')}, ' ') AS words, array_to_string(list_sort({digits('text')}), ' ') AS digits FROM t",

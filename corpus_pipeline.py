@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens.llm import language, neardup, packing, quality, suffixdedup
-from quotelens.llm.frames import table
+from quotelens.llm.frames import small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,17 +23,20 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (null text, or none of its characters a letter) go; the others have the language found as lang."""
+    small_batches(spark)
     docs = _columns(docs)
     return language.label(docs).where(F.col("lang_pred") != "und").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or that the classifier takes for bad, go."""
+    small_batches(spark)
     return quality.keep(_columns(docs), table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; of rows with one id, one. Rows without an id stay, one of each text."""
+    small_batches(spark)
     docs = _columns(docs)
     kept = neardup.link(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
@@ -42,10 +45,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; documents of which nothing is left go. What a cut leaves of a character of several bytes is left out."""
+    small_batches(spark)
     return suffixdedup.cleaned(_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(_columns(docs))
 
 

@@ -74,14 +74,14 @@ def automaton(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def walker(source: np.ndarray, byte: np.ndarray, target: np.ndarray, classes: np.ndarray, width: int) -> np.ndarray:
     """Dense table: at state * width + class the next state's offset; its sign bit tells that a phrase ended. Class 0 is padding."""
     alone = 1 + int(target.max(initial=0))  # the state after a byte unknown here, which is a phrase of its own
-    restart = np.full(width, alone * width, np.int64)
+    restart = np.full(width, alone * width, np.int32)
     at_root = source == 0
-    restart[classes[byte[at_root]]] = target[at_root].astype(np.int64) * width
-    table = np.tile(restart - 2**31, (alone + 1, 1))
+    restart[classes[byte[at_root]]] = target[at_root] * np.int32(width)
+    table = np.tile(restart | np.int32(-(2**31)), (alone + 1, 1))
     table[0] = restart  # where a text begins, no phrase ends
-    table[source, classes[byte]] = target.astype(np.int64) * width
-    table[:, 0] = np.arange(alone + 1) * width  # padding stays where it is
-    return table.astype(np.int32).ravel()
+    table[source, classes[byte]] = target * np.int32(width)
+    table[:, 0] = np.arange(alone + 1, dtype=np.int32) * np.int32(width)  # padding stays where it is
+    return table.ravel()
 
 
 def sample(docs: DataFrame, learn_from) -> dict[str, bytes]:

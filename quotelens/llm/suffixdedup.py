@@ -34,7 +34,7 @@ WINDOW = LENGTH - K + 1
 _PLACE_BITS = 20
 PIECE = 1 << _PLACE_BITS
 #: Text that a mapper takes together, and bytes of units that make a shard.
-BLOCK, SHARD = 1 << 25, 1 << 21
+BLOCK, SHARD = 1 << 24, 1 << 20
 HOT = 10_000
 NULL_ID = -(2**63)
 

@@ -30,8 +30,8 @@ FREQUENT = 1 << 16
 ROUNDS, NOISE, BATCH, STEP = 1, 128, 4096, 0.05
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 BLOCK = 1 << 25
-#: The sums of this many groups of tasks reach the driver.
-SLOTS = 32
+#: Parameters of so many tasks are added up by one, level by level, until no more sums than this are left for the driver.
+SLOTS = 8
 
 
 def tokens(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def trained(docs: DataFrame, model: dict) -> dict[str, np.ndarray]:
                     seen += len(w)
             if seen:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), pa.array([float(seen)]), pa.array([b"".join((p[k].astype(np.float64) * seen).tobytes() for k, _ in shapes)], pa.binary())],
+                    [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(seen)]), pa.array([b"".join((p[k].astype(np.float64) * seen).tobytes() for k, _ in shapes)], pa.binary())],
                     ["slot", "weight", "sums"],
                 )
 
@@ -251,9 +251,14 @@ def trained(docs: DataFrame, model: dict) -> dict[str, np.ndarray]:
             for x in group.column("sums"):
                 y = np.frombuffer(x.as_py(), np.float64)
                 total = y.copy() if total is None else total + y
-            return pa.table({"weight": pa.array([float(sum(group.column("weight").to_pylist()))]), "sums": pa.array([total.tobytes()], pa.binary())})
-
-        parts = docs.mapInArrow(run, "slot int, weight double, sums binary").groupBy("slot").applyInArrow(add, "weight double, sums binary").collect()
+            return pa.table({"slot": pa.array([group.column("slot")[0].as_py()], pa.int32()), "weight": pa.array([float(sum(group.column("weight").to_pylist()))]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        kind = "slot int, weight double, sums binary"
+        left, sums = docs.rdd.getNumPartitions(), docs.mapInArrow(run, kind)
+        while left > SLOTS:
+            sums = sums.withColumn("slot", F.expr(f"slot div {SLOTS}").cast("int")).groupBy("slot").applyInArrow(add, kind)
+            left = -(-left // SLOTS)
+        parts = sums.collect()
         if parts:
             mean = sum(np.frombuffer(r["sums"], np.float64) for r in parts) / sum(r["weight"] for r in parts)
             at = 0

@@ -10,7 +10,10 @@ Which strings of LENGTH bytes repeat is found in shards that hold every string w
    neighbouring suffixes by increasing value, from the empty string on, stopping at LENGTH: neighbours without a value by then
    share LENGTH bytes. Of each such class all places but the first are repeats.
 
-Shards are cut at anchors and bounded in bytes; an anchor with more than HOT differing units is split by the hash of each of its strings.
+Shards are cut at anchors and bounded in bytes. Strings of a hot anchor, one with more than HOT differing units or more than HOT_HERE
+in one block of text, meet without bytes, by 128-bit digests: each task sends the first of equal ones alone and names the others at
+once, and in the sorted rows of a digest all but the first place are repeats, so that no key gathers more than a row from each task's
+HELD strings. Units of an anchor that is hot in a block are dealt by their digests, not by their anchor.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,6 +40,8 @@ PIECE = 1 << _PLACE_BITS
 #: Text that a mapper takes together, and bytes of units that make a shard.
 BLOCK, SHARD = 1 << 24, 1 << 20
 HOT = 10_000
+#: Differing units of an anchor within a block that make it hot, and strings of hot anchors that a task tells apart together.
+HOT_HERE, HELD = 512, 1 << 20
 NULL_ID = -(2**63)
 
 
@@ -133,24 +139,33 @@ def _firsts(u: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     """The units of each block of text, by bucket of their anchors, as blobs. Repeats within a block are told apart at once, so
-    that a group of copies sends one unit for each block.
+    that a group of copies sends one unit for each block. An anchor with over HOT_HERE differing units in the block has them in the
+    buckets below 0, by digest, and its own bucket is told so (common).
     """
-    schema = "bucket int, " + ", ".join(f"{k} binary" for k in _BLOBS) + ", " + ", ".join(f"again_{k} binary" for k in _REPEATS)
+    schema = "bucket int, common binary, " + ", ".join(f"{k} binary" for k in _BLOBS) + ", " + ", ".join(f"again_{k} binary" for k in _REPEATS)
 
     def rows(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         u = {k: np.concatenate([h[k] for h in held]) for k in _BLOBS}
         order, first = _firsts(u)
         keep, again = np.sort(order[first]), order[~first]
-        out: dict[str, list] = {name: [] for name in ("bucket", *_BLOBS, *(f"again_{k}" for k in _REPEATS))}
-        of_keep = (u["anchor"][keep] % np.uint64(buckets)).astype(np.int64)
-        of_again = (u["anchor"][again] % np.uint64(buckets)).astype(np.int64)
-        keep, again = keep[np.argsort(of_keep, kind="stable")], again[np.argsort(of_again, kind="stable")]
-        cuts, again_cuts = (np.searchsorted(np.sort(x), np.arange(buckets + 1)) for x in (of_keep, of_again))
+        anchors = u["anchor"][order[first]]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(anchors)), bool), anchors[1:] != anchors[:-1]]))
+        sizes = np.diff(np.concatenate([heads, [len(anchors)]]))
+        common = np.sort(anchors[heads[sizes > HOT_HERE]])
+        spread = np.zeros(len(u["anchor"]), bool)
+        spread[order] = np.repeat(sizes > HOT_HERE, sizes)[np.cumsum(first) - 1]
+        of = np.where(spread, np.uint64(buckets) + u["digest"] % np.uint64(buckets), u["anchor"] % np.uint64(buckets)).astype(np.int64)
+        out: dict[str, list] = {name: [] for name in ("bucket", "common", *_BLOBS, *(f"again_{k}" for k in _REPEATS))}
+        keep, again = keep[np.argsort(of[keep], kind="stable")], again[np.argsort(of[again], kind="stable")]
+        cuts, again_cuts = (np.searchsorted(of[x], np.arange(2 * buckets + 1)) for x in (keep, again))
         values = {k: u[k][keep].astype(_KINDS[k]) for k in _BLOBS}
         repeats = {k: u[k][again].astype(_KINDS[k]) for k in _REPEATS}
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:  # what repeats has its first in the same bucket
-                out["bucket"].append(b)
+        told = common % np.uint64(buckets)
+        for b in range(2 * buckets):
+            tell = common[told == b] if b < buckets and len(common) else common[:0]
+            if cuts[b] < cuts[b + 1] or len(tell):  # what repeats has its first in the same bucket
+                out["bucket"].append(b if b < buckets else buckets - 1 - b)
+                out["common"].append(tell.tobytes())
                 for k in _BLOBS:
                     out[k].append(values[k][cuts[b] : cuts[b + 1]].tobytes())
                 for k in _REPEATS:
@@ -176,7 +191,7 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def judged(blobs: DataFrame) -> DataFrame:
-    """doc, text_hash, pos, n and the anchor where the unit's bytes must be looked at; without one the unit is a repeat. hot: its anchor has more than HOT units."""
+    """doc, text_hash, pos, n and the anchor where the unit's bytes must be looked at; without one the unit is a repeat. hot: its anchor has more than HOT units, or more than HOT_HERE in some block."""
 
     def run(group: pa.Table) -> pa.Table:
         u = {k: np.frombuffer(b"".join(group.column(k).to_pylist()), _KINDS[k]) for k in _BLOBS}
@@ -187,14 +202,15 @@ def judged(blobs: DataFrame) -> DataFrame:
         of = np.cumsum(new) - 1
         differing = np.bincount(of, first)[of].astype(np.int64)
         out = {k: [np.frombuffer(b"".join(group.column(f"again_{k}").to_pylist()), _KINDS[k])] for k in _REPEATS}
-        look = first & (differing > 1)
+        common = np.isin(anchor, np.frombuffer(b"".join(group.column("common").to_pylist()), np.uint64)) | (group.column("bucket")[0].as_py() < 0)
+        look = first & ((differing > 1) | common)
         for k in _REPEATS:
             out[k] += [u[k][order[~first]], u[k][order[look]]]
         n_again = len(out["doc"][0]) + len(out["doc"][1])
         anchors = np.concatenate([np.zeros(n_again, np.int64), anchor[look].view(np.int64)])
         total = len(anchors)
         is_look = np.arange(total) >= n_again
-        hot = np.concatenate([np.zeros(n_again, bool), differing[look] > HOT])
+        hot = np.concatenate([np.zeros(n_again, bool), (differing[look] > HOT) | common[look]])
         return pa.table({**{k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in out.items()}, "anchor": pa.array(anchors, mask=~is_look), "hot": pa.array(hot)})
 
     return blobs.groupBy("bucket").applyInArrow(run, "doc long, text_hash long, pos long, n long, anchor long, hot boolean")
@@ -297,8 +313,26 @@ def repeats(texts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, pos: np.
     return unit[first], start[first], np.diff(np.concatenate([first, [len(by)]]))
 
 
+def later_places(key: np.ndarray, second: np.ndarray, places: list[np.ndarray], before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Of strings in the order of their digests (key, second) and places: which are first of their digest, which are elsewhere than
+    its first, and digest and place of the last first one. before: the latter of the rows that came earlier.
+    """
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
+    if before:
+        first[0] = (key[0], second[0]) != before[:2]
+    at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))  # -1: goes on from before
+    later = np.zeros(len(key), bool)
+    for k, x in enumerate(places):
+        later |= x != np.where(at >= 0, x[at], before[2 + k] if before else 0)
+    last = (key[at[-1]], second[at[-1]], *(x[at[-1]] for x in places)) if at[-1] >= 0 else before
+    return first, later, last
+
+
 def in_shards(rows: DataFrame) -> DataFrame:
-    """Repeats among fetched units (key, doc, text_hash, pos, n, bytes): those of one key are together in one shard of about SHARD bytes."""
+    """Repeats among fetched rows, which are in the order of key, second and place: units with bytes of one key are together in one shard
+    of about SHARD bytes; strings with a digest (key, second) repeat unless first of it; rows with neither are repeats.
+    """
 
     def shard(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(held)
@@ -307,8 +341,17 @@ def in_shards(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[unit], text_hash[unit], pos[unit] + start, count)], list(_REPEATS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, last, before = [], 0, None, None
         for batch in batches:
+            bare = batch.column("bytes").is_null()
+            known = pc.and_(bare, batch.column("second").is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(known) for c in _REPEATS], list(_REPEATS))
+            strings = batch.filter(pc.and_not(bare, known))
+            if strings.num_rows:
+                key, second, *places = (strings.column(c).to_numpy() for c in ("key", "second", "doc", "text_hash", "pos"))
+                _, later, before = later_places(key, second, places, before)
+                yield pa.RecordBatch.from_arrays([strings.column(c).filter(pa.array(later)) for c in _REPEATS], list(_REPEATS))
+            batch = batch.filter(pc.invert(bare))
             keys = batch.column("key").to_numpy()
             if not len(keys):
                 continue
@@ -333,9 +376,33 @@ def in_shards(rows: DataFrame) -> DataFrame:
 
 
 def fetched(rows: DataFrame) -> DataFrame:
-    """The bytes of the units listed with each text; of a hot anchor each string by itself, with a key of its own."""
+    """The bytes of the units listed with each text, with their anchor as key. Of hot anchors each string by itself, its digest as key and
+    second instead of bytes; of equal strings that a task holds together only the first, and the others as repeats, with neither.
+    """
+    names = ("key", "second", *_REPEATS, "bytes")
+
+    def bare(key: np.ndarray, second: np.ndarray | None, doc: np.ndarray, text_hash: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        digest = pa.nulls(len(key), pa.int64()) if second is None else pa.array(second)
+        return pa.RecordBatch.from_arrays([pa.array(key), digest, *(pa.array(x) for x in (doc, text_hash, pos, n)), pa.nulls(len(key), pa.binary())], list(names))
+
+    def told_apart(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, second, *places = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((*places[::-1], second, key))
+        first, later, _ = later_places(key[by], second[by], [x[by] for x in places])
+        one = by[first]
+        yield bare(key[one], second[one], *(x[one] for x in places), np.ones(len(one), np.int64))
+        doc, text_hash, pos = (x[by[later]] for x in places)
+        by = np.lexsort((pos, text_hash, doc))
+        doc, text_hash, pos = doc[by], text_hash[by], pos[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1]) | (pos[1:] > pos[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.concatenate([head[1:] - 1, [len(by) - 1]]) if len(by) else head
+        key = mix(text_hash[head].view(np.uint64) ^ mix(pos[head].view(np.uint64))).view(np.int64)
+        yield bare(key, None, doc[head], text_hash[head], pos[head], pos[tail] - pos[head] + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             flat, off = utf8(batch.column("text"))
             column = batch.column("units")
@@ -343,22 +410,26 @@ def fetched(rows: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
             key, pos, n = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "pos", "n"))
             hot = entries.field("hot").to_numpy(zero_copy_only=False).astype(bool)
-            if hot.any():
-                times = np.where(hot, n, 1)
-                row, pos, n, split = np.repeat(row, times), np.repeat(pos, times), np.repeat(n, times), np.repeat(hot, times)
-                pos = pos + np.where(split, np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times), 0)
-                n = np.where(split, 1, n)
-                key = np.repeat(key, times)
-            begin = off[row] + pos
-            size = n + LENGTH - 1
             raw = flat.tobytes()
-            texts = [raw[a : a + s] for a, s in zip(begin.tolist(), size.tolist(), strict=True)]
-            if hot.any():
-                key = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) if s else k for t, s, k in zip(texts, split.tolist(), key.tolist(), strict=True)], np.int64)
-            ids, hashes = (batch.column(c).to_numpy()[row] for c in ("doc", "text_hash"))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(hashes), pa.array(pos), pa.array(n), pa.array(texts, pa.binary())], ["key", *_REPEATS, "bytes"])
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
+            begin = off[row] + pos
+            for unit in np.flatnonzero(hot).tolist():
+                a, times = int(begin[unit]), int(n[unit])
+                digests = b"".join([hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in range(a, a + times)])
+                pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                held.append((pair[:, 0], pair[:, 1], np.full(times, ids[row[unit]]), np.full(times, hashes[row[unit]]), pos[unit] + np.arange(times)))
+                size += times
+                if size >= HELD:
+                    yield from told_apart(held)
+                    held, size = [], 0
+            cold = np.flatnonzero(~hot)
+            texts = [raw[a : a + s] for a, s in zip(begin[cold].tolist(), (n[cold] + LENGTH - 1).tolist(), strict=True)]
+            row, key, pos, n = row[cold], key[cold], pos[cold], n[cold]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), *(pa.array(x) for x in (ids[row], hashes[row], pos, n)), pa.array(texts, pa.binary())], list(names))
+        if held:
+            yield from told_apart(held)
 
-    return rows.mapInArrow(run, "key long, doc long, text_hash long, pos long, n long, bytes binary")
+    return rows.mapInArrow(run, "key long, second long, doc long, text_hash long, pos long, n long, bytes binary")
 
 
 def spans_of(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -398,7 +469,7 @@ def remove(docs: DataFrame, text: str = "text", beside: tuple[str, ...] = ()) ->
     again = verdicts.where("anchor IS NULL").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pos", "n")).alias("whole"))
     # Both joins read the texts with the same columns, so that they are shuffled once.
     found = fetched(texts.join(look.hint("shuffle_hash"), ["doc", "text_hash"]))
-    in_shard = in_shards(found.repartition(count, "key").sortWithinPartitions("key"))
+    in_shard = in_shards(found.repartition(count, "key").sortWithinPartitions("key", "second", "doc", "text_hash", "pos"))
     parts = in_shard.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pos", "n")).alias("partly"))
     joined = texts.join(again.hint("shuffle_hash"), ["doc", "text_hash"], "left").join(parts.hint("shuffle_hash"), ["doc", "text_hash"], "left")
 

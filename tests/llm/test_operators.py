@@ -107,6 +107,27 @@ def test_suffix_dedup_equals_brute_force(spark, docs, hot, monkeypatch):
     assert ids == expected
 
 
+def test_suffix_dedup_spreads_a_passage_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", 20)
+    monkeypatch.setattr(suffixdedup, "HOT_HERE", 4, raising=False)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, other = letters(150), letters(130)
+    rows = [(i, letters(140) + (passage if i % 3 else other) + letters(140)) for i in range(240)] + [(240 + i, letters(300)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    # What one bucket takes, and what meets under one key, must not grow with the documents that hold the passage.
+    blobs = suffixdedup.dealt(keyed, 64).cache()
+    assert blobs.groupBy("bucket").agg(F.sum(F.length("anchor") / 8).alias("n")).agg(F.max("n")).first()[0] < 120
+    look = suffixdedup.judged(blobs).where("anchor IS NOT NULL").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "pos", "n", "hot")).alias("units"))
+    found = suffixdedup.fetched(keyed.join(look, ["doc", "text_hash"]).repartition(4)).cache()
+    assert found.count() > 240
+    assert found.groupBy("key").count().agg(F.max("count")).first()[0] <= 20
+    want = brute_repeats([(i, None, t) for i, t in rows])
+    got = suffixdedup.remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: want[i, t] for i, t in rows}
+
+
 def test_suffix_classes_equal_brute_force():
     rng = random.Random(1)
     for length in (3, 5, 9):

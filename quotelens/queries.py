@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType
 
 from . import fixtures as fx
 from .functions.numbers import numeric_values as numbers_of
-from .functions.text import clean_quote, content_words, coverage, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
+from .functions.text import clean_quote, content_words, coverage, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
 from .jobs.grounded import to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from .sources import files, sinks
@@ -144,6 +144,22 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.documents(spark, sf_dir).select("doc_id", F.round(coverage(one, two), 9).alias("coverage"), touches(content_words(one), stems(content_words(two))).alias("touches"))
 
 
+def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal form, shown form and words of whole texts."""
+    text = F.concat(F.lit(" …*“"), F.col("text"), F.lit("”_.. "))
+    return fx.documents(spark, sf_dir).select(
+        "doc_id", F.sha2(normalize(text), 256).alias("norm"), F.sha2(clean_quote(text), 256).alias("shown"), F.sha2(F.array_join(content_words(text), " "), 256).alias("words")
+    )
+
+
+def line_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each line by the next one of its document, and whether they share a stem."""
+    rows = fx.documents(spark, sf_dir).select("doc_id", F.transform(lines(F.col("text")), content_words).alias("words"))
+    pair = lambda w, k: F.struct(k.alias("line"), w.alias("one"), F.get("words", k + 1).alias("two"))
+    pairs = rows.select("doc_id", F.inline(F.slice(F.transform("words", pair), F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))))
+    return pairs.select("doc_id", "line", F.round(covered(F.col("one"), stems(F.col("two"))), 9).alias("coverage"), touches(F.col("one"), stems(F.col("two"))).alias("touches"))
+
+
 def numeric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's characters, counted: the number in Spanish words, in digits with dots, and a fraction."""
 
@@ -322,7 +338,7 @@ def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = """
     text_lines html_lines office_lines extract wrapped_files large_sources request_budget chunk_lines pack_blocks build_blocks
-    render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms word_overlap numeric_values
+    render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
 """.split()

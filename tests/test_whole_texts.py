@@ -1,5 +1,6 @@
 """Queries over whole texts: numbers against a brute-force reader."""
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -93,3 +94,28 @@ def test_numbers_of_the_table(spark, phrases):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r["doc_id"]: r["found"] for r in __spark_entry__.queries()["document_numbers"](spark, SF).collect()}
     assert got == {i: None if t is None else " ".join(sorted(brute(t, phrases))) for i, t in texts.items()}
+
+
+def test_forms_of_whole_texts(spark, tmp_path):
+    long = "primera\n" + "una CASA\n" * 3000
+    rows = [(1, f"{long}*fin*  distinto…"), (2, f"{long}*fin*  diverso…"), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["document_forms"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    body = "primera " + "una casa " * 3000
+    assert got[1]["norm"] == sha(f"… {body}fin distinto… ..")
+    assert got[1]["words"] == sha("primera " + "casa " * 3000 + "fin distinto")
+    assert all(got[1][c] != got[2][c] for c in ("norm", "shown", "words"))
+
+
+def test_overlap_of_every_pair_of_lines(spark, tmp_path):
+    texts = ["perro gato\nperro\nlos gatos negros\r\n12\n\nnegras", "sola", "", None, "\n".join(f"palabra{chr(97 + k % 7)}" for k in range(50))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["line"]): (r["coverage"], r["touches"]) for r in __spark_entry__.queries()["line_overlap"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        words = [[w for w in re.findall("[0-9a-z]+", x) if len(w) > 2 and not w.isdigit() and w != "los"] for x in (text or "").splitlines()]
+        for k, (one, two) in enumerate(zip(words, words[1:], strict=False)):
+            hits = [w for w in one if w[:5] in {x[:5] for x in two}]
+            want[i, k] = (round(len(hits) / len(one), 9) if one else None, bool(hits) or not one)
+    assert got == want and len(got) == 54

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.verify import flag_unformatted, parse_claims, verify
 
 RESPONSES = "request_id long, block_no int, content string"
+_STATE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def verify_stream(spark: SparkSession, source: str, chunks: DataFrame, requests: DataFrame, target: str, checkpoint: str, watch: dict | None = None) -> StreamingQuery:
-    """Verdicts of the response files (Parquet) in source, appended to target/verdicts, one row in target/done for each block.
+    """Verdicts of the response files (Parquet) in source, in target/verdicts/batch=N.
 
-    A block that comes again, in a later batch or by a batch done twice, is left out: done is written last and asked first.
+    Blocks seen are keyed state of the stream, in RocksDB, so a batch touches the state of its own blocks only. A batch that is done again
+    after a failure starts from the state that it had the first time and writes its folder anew, whether or not the first try got so
+    far. target and checkpoint belong together: with a new checkpoint, take a new target.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        fresh = rows.dropDuplicates(["request_id", "block_no"])
-        try:
-            fresh = fresh.join(spark.read.parquet(f"{target}/done").select("request_id", "block_no"), ["request_id", "block_no"], "left_anti")
-        except AnalysisException:  # the first batch
-            pass
-        fresh = fresh.persist()
+        # Read three times below; and the duplicates' choice of a row must be one and the same in all of them.
+        fresh = rows.persist()
         claims = parse_claims(fresh)
         verdicts = verify(claims, chunks, requests).unionByName(flag_unformatted(fresh, claims), allowMissingColumns=True)
-        # A batch that failed midway is done again into the same folder.
         verdicts.write.mode("overwrite").parquet(f"{target}/verdicts/batch={number}")
-        fresh.select("request_id", "block_no").write.mode("append").parquet(f"{target}/done")
         fresh.unpersist()
 
-    stream = spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", 100).parquet(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(watch or {"availableNow": True})).start()
+    stream = spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", 100).parquet(source).dropDuplicates(["request_id", "block_no"])
+    before = spark.conf.get(_STATE)
+    spark.conf.set(_STATE, _ROCKSDB)  # the stream takes the session's settings as it starts
+    try:
+        return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(watch or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(_STATE, before)

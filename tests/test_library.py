@@ -216,6 +216,30 @@ def test_stream_counts_redelivered_blocks_once(spark, tmp_path):
     assert sorted((r["request_id"], r["reason"]) for r in rows) == [(1, None), (2, None)]
 
 
+def test_stream_gives_the_same_verdicts_when_a_batch_is_done_again(spark, tmp_path):
+    """As if the driver had died after the batch's output was written and before it was committed."""
+    chunks = spark.createDataFrame([(i, 0, "ley.md", 0, 1, 0, False, DOC) for i in (1, 2, 3)], "request_id long, block_no int, path string, ord int, part int, first_line int, is_code boolean, lines array<string>")
+    requests = spark.createDataFrame([(i, "junta") for i in (1, 2, 3)], "request_id long, question string")
+
+    def arrive(*ids):
+        spark.createDataFrame([(i, 0, f"- La junta se reúne dos veces al año\n{GOOD}") for i in ids], "request_id long, block_no int, content string").write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        verify_stream(spark, f"{tmp_path}/in", chunks, requests, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+        return sorted((r["batch"], r["request_id"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out/verdicts").collect())
+
+    arrive(1)
+    run()
+    arrive(1, 2)
+    want = run()
+    assert want == [(0, 1, None), (1, 2, None)]
+    for name in ("1", ".1.crc"):
+        (tmp_path / "log" / "commits" / name).unlink()
+    assert run() == want
+    arrive(2, 3)
+    assert run() == [*want, (2, 3, None)]
+
+
 def test_budgets_savings_and_unreadable(spark):
     ready, rejected = chunking.request_budget(spark.createDataFrame([(1, "q"), (2, "q" * 100)], "request_id long, question string"), 100, 50, 30)
     assert ([r["budget"] for r in ready.collect()], rejected.count()) == ([19], 1)

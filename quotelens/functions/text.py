@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -112,15 +113,19 @@ def digit_strings(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(\\p{Nd}+(?:[.,]\\p{Nd}+)*)"), F.lit(1)))
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """f(*values) with every value computed once for the row. Inside a function over an array, the optimizer would compute it for each element."""
+    names = [f"v{k}" for k in range(len(values))]
+    one = F.array(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True))))
+    return F.get(F.transform(one, lambda x: f(*(x[n] for n in names))), 0)
+
+
 def content_words(text: Column) -> Column:
     """Folded words with content, in order and with repeats."""
     from .numbers import NUMBER_WORDS
 
-    empty = F.array(*[F.lit(w) for w in sorted({*STOP_WORDS, *NUMBER_WORDS})])
-    return F.filter(
-        F.split(fold(text), "[^0-9a-z]+"),
-        lambda w: (F.length(w) >= LEAST_WORD) & ~w.rlike("^[0-9]+$") & ~F.array_contains(empty, w),
-    )
+    empty = sorted({*STOP_WORDS, *NUMBER_WORDS})
+    return F.filter(F.split(fold(text), "[^0-9a-z]+"), lambda w: (F.length(w) >= LEAST_WORD) & (F.translate(w, "0123456789", "") != "") & ~w.isin(empty))
 
 
 def stems(words: Column) -> Column:
@@ -133,14 +138,17 @@ def coverage(claim: Column, quote: Column) -> Column:
 
 
 def covered(words: Column, quote_stems: Column) -> Column:
-    n = F.size(words)
-    found = F.size(F.filter(words, lambda w: F.array_contains(quote_stems, F.substring(w, 1, STEM))))
-    return F.when(n > 0, found / n)
+    def share(words: Column, quote_stems: Column) -> Column:
+        n = F.size(words)
+        found = F.size(F.filter(words, lambda w: F.array_contains(quote_stems, F.substring(w, 1, STEM))))
+        return F.when(n > 0, found / n)
+
+    return let(share, words, quote_stems)
 
 
 def touches(question_words: Column, quote_stems: Column) -> Column:
     """The question shares a stem, or has no content words."""
-    return (F.size(question_words) == 0) | F.arrays_overlap(stems(question_words), quote_stems)
+    return let(lambda q, stem: (F.size(q) == 0) | F.arrays_overlap(stems(q), stem), question_words, quote_stems)
 
 
 def wrap(path: Column, text: Column, line_range: Column | None = None, part: Column | None = None, parts: Column | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from ..functions.text import is_code, tokens, wrap
 
 # Fixed value: tokens set aside for the tags around a part.
 TAG_TOKENS = 40
+#: Files of a request that pack_blocks() looks at together.
+RANGE = 1024
 
 
 def fill(costs: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -38,46 +42,160 @@ def request_budget(requests: DataFrame, window: int, output: int, reserve: int)
 
 
 def chunk_lines(documents: DataFrame, budget: Column | int = None) -> DataFrame:
-    """Chunks of documents (request_id, path, ord, lines and, if no budget is given, budget).
+    """Chunks of documents (request_id, path, ord, lines and, if no budget is given, budget; unit comes along).
 
     A document that fits whole is one chunk, without a line range. Otherwise lines are taken as long as they fit beside
-    the tags, at least one. Columns: request_id, path, ord, part, parts, first_line, lines, wrapped, tokens, is_code.
+    the tags, at least one. Columns: request_id, path, ord, part, parts, first_line, lines, wrapped, tokens, is_code. tokens
+    comes from lengths alone, so whoever asks for costs does not build texts.
     """
     limit = F.col("budget") if budget is None else F.lit(budget) if isinstance(budget, int) else budget
-    docs = documents.select("request_id", "path", "ord", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), limit.cast("long").alias("budget"))
-    docs = docs.withColumn("whole", wrap(F.col("path"), F.array_join("lines", "\n"))).withColumn("fits", tokens(F.col("whole")) <= F.col("budget"))
-    shared = ["request_id", "path", "ord"]
-    one = docs.where("fits").select(*shared, F.lit(1).alias("part"), F.lit(1).alias("parts"), F.lit(0).alias("first_line"), "lines", F.col("whole").alias("wrapped"))
-    costs = F.transform("lines", lambda x: F.floor((F.length(x) + 4) / 4).cast("int"))
-    long = docs.where("NOT fits").withColumn("cuts", _cuts(costs, F.greatest(F.col("budget") - TAG_TOKENS, F.lit(1))))
-    cut = long.select(*shared, "lines", F.size("cuts").alias("parts"), F.posexplode("cuts").alias("n", "cut"))
-    piece = F.slice("lines", F.col("cut.begin") + 1, F.col("cut.end") - F.col("cut.begin"))
-    span = F.concat((F.col("cut.begin") + 1).cast("string"), F.lit("-"), F.col("cut.end").cast("string"))
-    many = cut.select(*shared, (F.col("n") + 1).alias("part"), "parts", F.col("cut.begin").alias("first_line"), piece.alias("lines"), wrap(F.col("path"), F.array_join(piece, "\n"), span, F.col("n") + 1, F.col("parts")).alias("wrapped"))
-    return one.unionByName(many).withColumn("tokens", tokens(F.col("wrapped"))).withColumn("is_code", is_code(F.col("path")))
+    beside = ["unit"] if "unit" in documents.columns else []
+    docs = documents.select("request_id", "path", "ord", *beside, F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), limit.cast("long").alias("budget"))
+    docs = docs.withColumn("whole", _wrapped_tokens("lines", wrap(F.lit(""), F.lit(""))) <= F.col("budget"))
+    costs = F.when(~F.col("whole"), F.transform("lines", lambda x: F.floor((F.length(x) + 4) / 4).cast("int")))
+    everything = F.array(F.struct(F.lit(0).alias("begin"), F.size("lines").alias("end")))
+    docs = docs.withColumn("cuts", F.coalesce(_cuts(costs, F.greatest(F.col("budget") - TAG_TOKENS, F.lit(1))), everything))
+    # Pieces are cut within the row, so that no chunk carries the whole document through the generator.
+    piece = lambda c, i: F.struct((i + 1).alias("part"), c["begin"].alias("first_line"), F.slice("lines", c["begin"] + 1, c["end"] - c["begin"]).alias("lines"))
+    chunks = docs.select("request_id", "path", "ord", *beside, "whole", F.size("cuts").alias("parts"), F.inline(F.transform("cuts", piece)))
+    span = F.concat((F.col("first_line") + 1).cast("string"), F.lit("-"), (F.col("first_line") + F.size("lines")).cast("string"))
+    chunks = chunks.withColumn("text", F.array_join("lines", "\n"))
+
+    def either(make) -> Column:
+        return F.when(F.col("whole"), make()).otherwise(make(span, F.col("part"), F.col("parts")))
+
+    return chunks.select(
+        "request_id", "path", "ord", *beside, "part", "parts", "first_line", "lines", either(lambda *x: wrap(F.col("path"), F.col("text"), *x)).alias("wrapped"),
+        _wrapped_tokens("lines", either(lambda *x: wrap(F.lit(""), F.lit(""), *x))).alias("tokens"), is_code(F.col("path")).alias("is_code"),
+    )
+
+
+def _wrapped_tokens(lines: str, tags: Column) -> Column:
+    """tokens(wrap(path, lines joined by line breaks, ...)) from lengths alone. tags: what wrap() gives for no path and no text."""
+    size, last = F.size(lines), F.try_element_at(lines, F.lit(-1))
+    text = F.aggregate(F.transform(lines, lambda x: F.length(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) + F.greatest(size - 1, F.lit(0))
+    # wrap() adds a line break to a text that is there and does not end with one.
+    ending = F.when((text > 0) & (last != "") & ~last.endswith("\n"), 1).otherwise(0)
+    return F.floor((F.length(tags) + F.length("path") + text + ending + 3) / 4).cast("long")
+
+
+def tails(costs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a run of chunks does to the block that is open before it, for every fill that this may have.
+
+    (least fills, blocks begun, fill left), the least fill from 0 up: with a fill of at least that, so many blocks are begun here and the last one is
+    filled so far. A fill of 0 is no open block.
+    """
+    n = len(costs)
+    sums = np.concatenate([[0], np.cumsum(costs)])
+    # The chunk at which a block that begins at each chunk ends, and what follows from there, from the end on.
+    after = np.maximum(np.arange(n) + 1, np.searchsorted(sums, sums[:-1] + limit, "right") - 1)
+    begun, left = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        if after[i] == n:
+            begun[i], left[i] = 1, sums[n] - sums[i]
+        else:
+            begun[i], left[i] = 1 + begun[after[i]], left[after[i]]
+    # With an open block of fill f, the first chunk k with f + sums[k + 1] > limit begins the next one.
+    least, blocks, fills = [0], [int(begun[0])], [int(left[0])]
+    held = int(np.searchsorted(sums, limit, "right")) - 1  # chunks that fit in an open block at the most
+    for k in range(held, -1, -1):
+        first = max(1, limit - int(sums[k + 1]) + 1) if k < n else 1
+        if k == n:  # all fit: the fill left depends on the one before, told by -1
+            least.append(1)
+            blocks.append(0)
+            fills.append(-1)
+        elif first > least[-1]:
+            least.append(first)
+            blocks.append(int(begun[k]))
+            fills.append(int(left[k]))
+        else:
+            blocks[-1], fills[-1] = int(begun[k]), int(left[k])
+    return np.array(least), np.array(blocks), np.array(fills)
 
 
 def pack_blocks(chunks: DataFrame, budget: Column | int = None) -> DataFrame:
     """Chunks with block_no, from 0 in each request: documents first, then code, each in file order and filled in turn.
 
-    Only keys and costs, a few bytes a chunk, meet in one task for each request. chunks needs budget where none is given.
+    A request is taken in ranges of RANGE files, so one of any size is spread over many tasks; these see keys and costs alone. Each range says what
+    it does to the block left open before it, for every fill that this may have (no more than chunks fit in a block); a request's ranges are
+    then chained, a row each, and the ranges number their blocks. chunks needs budget where none is given.
     """
     limit = F.col("budget") if budget is None else F.lit(budget) if isinstance(budget, int) else budget
-    thin = chunks.select("request_id", "is_code", "ord", "part", "tokens", limit.cast("long").alias("budget"))
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_code", "ord", "part"], kind="stable")
-        numbers, at = [], 0
-        for _, kind in rows.groupby("is_code", sort=True):
-            runs = fill(kind["tokens"].to_numpy(), int(kind["budget"].iloc[0]))
-            numbers.append(at + np.repeat(np.arange(len(runs)), [b - a for a, b in runs]))
-            at += len(runs)
-        return rows.assign(block_no=np.concatenate(numbers))[["request_id", "ord", "part", "block_no"]]
-
-    placed = thin.groupBy("request_id").applyInPandas(group, "request_id long, ord int, part int, block_no int")
+    keys = ["request_id", "is_code", "range"]
+    thin = chunks.select("request_id", "is_code", F.expr(f"ord div {RANGE}").cast("int").alias("range"), "ord", "part", "tokens", limit.cast("long").alias("budget"))
+
+    def summarize(rows: pd.DataFrame, heads: np.ndarray) -> pd.DataFrame:
+        costs, limits = rows["tokens"].to_numpy(), rows["budget"].to_numpy()
+        each = [tails(costs[i:j], int(limits[i])) for i, j in zip(heads, [*heads[1:], len(rows)], strict=True)]
+        least, blocks, fills = (list(x) for x in zip(*each, strict=True))
+        return rows[keys].iloc[heads].assign(total=np.add.reduceat(costs, heads), least=least, blocks=blocks, fills=fills)
+
+    def chain(ranges: pd.DataFrame, heads: np.ndarray) -> pd.DataFrame:
+        numbers, fills = np.zeros(len(ranges), np.int64), np.zeros(len(ranges), np.int64)
+        columns = (ranges[c].to_numpy() for c in ("is_code", "total", "least", "blocks", "fills"))
+        begins = set(heads.tolist())
+        number = fill_now = code_before = 0
+        for i, (is_code_now, total, least, blocks, ends) in enumerate(zip(*columns, strict=True)):
+            if i in begins:
+                number, fill_now = -1, 0
+            elif is_code_now != code_before:
+                fill_now = 0
+            code_before = is_code_now
+            numbers[i], fills[i] = number, fill_now
+            at = int(np.searchsorted(least, fill_now, "right")) - 1
+            number += int(blocks[at])
+            fill_now = fill_now + total if ends[at] < 0 else int(ends[at])
+        return ranges[keys].assign(number=numbers, fill=fills)
+
+    def place(rows: pd.DataFrame, heads: np.ndarray) -> pd.DataFrame:
+        costs, limits, numbers, fills = (rows[c].to_numpy() for c in ("tokens", "budget", "number", "fill"))
+        out = []
+        for i, j in zip(heads, [*heads[1:], len(rows)], strict=True):
+            held = int(fills[i] > 0)  # a block left open takes what fits before the first one begins
+            runs = fill(np.concatenate([fills[i : i + held], costs[i:j]]), int(limits[i]))
+            out.append((numbers[i] + 1 - held + np.repeat(np.arange(len(runs)), [b - a for a, b in runs]))[held:])
+        return rows[["request_id", "ord", "part"]].assign(block_no=np.concatenate(out))
+
+    def by_group(df: DataFrame, group: list[str], order: list[str], f, schema: str) -> DataFrame:
+        """f(rows, where its groups begin) over whole groups in order, as many as a batch brings; a group lies in one task."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for batch in batches:
+                if not len(batch):
+                    continue
+                heads = _heads(batch, group)
+                if held and (batch[group].iloc[0] != held[-1][group].iloc[-1]).any():
+                    yield done(held)
+                    held = []
+                if heads[-1]:  # the last group may go on in the next batch
+                    yield done([*held, batch.iloc[: heads[-1]]])
+                    held = []
+                held.append(batch.iloc[heads[-1] :])
+            if held:
+                yield done(held)
+
+        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+            return f(rows, _heads(rows, group))
+
+        return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+
+    ranges = by_group(thin, keys, ["ord", "part"], summarize, "request_id long, is_code boolean, range int, total long, least array<long>, blocks array<long>, fills array<long>")
+    starts = by_group(ranges, ["request_id"], ["is_code", "range"], chain, "request_id long, is_code boolean, range int, number long, fill long")
+    placed = by_group(thin.join(starts, keys), keys, ["ord", "part"], place, "request_id long, ord int, part int, block_no int")
     return chunks.join(placed, ["request_id", "ord", "part"])
 
 
+def _heads(rows: pd.DataFrame, group: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for c in group:
+        x = rows[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def build_blocks(packed: DataFrame) -> DataFrame:
     """request_id, block_no, is_code, text, chunks (keys in order). A block's size is bounded by the budget or one chunk."""
     parts = F.array_sort(F.collect_list(F.struct("ord", "part", "path", "wrapped")))

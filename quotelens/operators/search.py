@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_quote, normalize
+from ..lineage import cut
 from .verify import found_at
 
 RUN = 3
+#: Values that runs are told apart by before they are shuffled: a broadcast of 8 MB at most.
+FILTER = 1 << 20
 
 
 def words(norm: Column) -> Column:
@@ -31,20 +34,40 @@ def locate_in_corpus(quotes: DataFrame, documents: DataFrame) -> DataFrame:
 
     quotes (item_id, text), documents (doc_id, text). Each quote is looked up by its rarest run of RUN words (of all its words, if they
     are fewer), one row for each; how often runs occur is counted for the runs of quotes only. A quote without a word is in no document.
+
+    The corpus is read twice: once for the runs that some quote has, which are written, and once for the texts that are looked at.
     """
     asked = quotes.select("item_id", normalize(clean_quote(F.col("text"))).alias("search")).withColumn("words", words(F.col("search"))).where(F.size("words") > 0)
-    asked = asked.withColumn("size", F.least(F.size("words"), F.lit(RUN)))
+    wanted = _sized(asked, "item_id")
+    # Most runs of the corpus are in no quote. They go before the shuffle, by a table of at most FILTER values, whatever the quotes.
+    part = lambda run: F.pmod(run, F.lit(FILTER))
+    parts = wanted.select(part(F.col("run")).alias("part")).distinct()
     corpus = documents.select("doc_id", normalize(F.col("text")).alias("norm"))
-    split_once = corpus.select("doc_id", words(F.col("norm")).alias("words"))
-    found = None
-    for size in sorted(r["size"] for r in asked.select("size").distinct().collect()):  # one to RUN of them
-        wanted = asked.where(F.col("size") == size).select("item_id", F.explode(runs(F.col("words"), size)).alias("run"))
-        held = split_once.select("doc_id", F.explode(runs(F.col("words"), size)).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
-        often = held.groupBy("run").agg(F.count("*").alias("n"))
-        rarest = wanted.join(often, "run").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "run"))).where("rank = 1").select("item_id", "run")
-        pairs = held.join(rarest, "run").select("item_id", "doc_id")
-        found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # three at the most
+    if not sizes:
         return corpus.where("false").select(F.lit(0).cast("long").alias("item_id"), "doc_id", F.lit(0).alias("position"))
-    near = found.join(corpus, "doc_id").join(asked.select("item_id", "search"), "item_id")
+    some = _of_sizes(corpus.select("doc_id", words(F.col("norm")).alias("words")), sizes).withColumn("part", part(F.col("run"))).join(F.broadcast(parts), "part", "left_semi")
+    held = cut(some.join(wanted.select("size", "run").distinct(), ["size", "run"], "left_semi").select("doc_id", "size", "run"))
+    often = held.groupBy("size", "run").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, ["size", "run"]).groupBy("item_id", "size").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
+    pairs = cut(held.join(rarest, ["size", "run"]).select("item_id", "doc_id"))
+    # Documents without a candidate are left out before their texts are normalised or shuffled.
+    texts = documents.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", normalize(F.col("text")).alias("norm"))
+    near = pairs.join(asked.select("item_id", "search"), "item_id").join(texts, "doc_id")
     return near.withColumn("position", found_at(F.col("norm"), F.col("search"))).where("position > 0").select("item_id", "doc_id", "position")
+
+
+def _sized(asked: DataFrame, key: str) -> DataFrame:
+    """(key, size, run): the runs of RUN words of each row, or of all its words where they are fewer."""
+    n = F.size("words")
+    own = F.when(n == 1, runs(F.col("words"), 1)).when(n == 2, runs(F.col("words"), 2)).otherwise(runs(F.col("words"), RUN))
+    return asked.select(key, F.least(n, F.lit(RUN)).alias("size"), F.explode(own).alias("run"))
+
+
+def _of_sizes(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, size, run): the runs of so many words of each row."""
+
+    def of(size: int) -> Column:
+        return F.transform(runs(F.col("words"), size), lambda r: F.struct(F.lit(size).alias("size"), r.alias("run")))
+
+    return texts.select("doc_id", F.inline(F.concat(*map(of, sizes))))

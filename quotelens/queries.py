@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from html import escape
 
@@ -14,7 +13,8 @@ from pyspark.sql.types import BinaryType
 
 from . import fixtures as fx
 from .functions.numbers import numeric_values as numbers_of
-from .functions.text import clean_quote, content_words, coverage, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
+from .functions.text import clean_quote, content_words, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
+from .lineage import new_folder
 from .jobs.grounded import to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from .sources import files, sinks
@@ -141,7 +141,8 @@ def quote_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each document's first line by its second, and whether they share a stem."""
     one, two = (F.split_part("text", F.lit("\n"), F.lit(k)) for k in (1, 2))
-    return fx.documents(spark, sf_dir).select("doc_id", F.round(coverage(one, two), 9).alias("coverage"), touches(content_words(one), stems(content_words(two))).alias("touches"))
+    rows = fx.documents(spark, sf_dir).select("doc_id", content_words(one).alias("one"), stems(content_words(two)).alias("two"))
+    return rows.select("doc_id", F.round(covered(F.col("one"), F.col("two")), 9).alias("coverage"), touches(F.col("one"), F.col("two")).alias("touches"))
 
 
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,14 +291,6 @@ def code_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecheck.triage_code(fx.derived(spark, sf_dir, fx.CODE)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see."""
-    from tempfile import mkdtemp
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-shared-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A responder that says how long its prompt is."""
     return prompts.answer_blocks(_prompts(spark, sf_dir), lambda batch: "n " + batch["user"].str.len().astype(str))
@@ -305,7 +298,7 @@ def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases written as JSON lists of a thousand and read again; every third lacks what is expected."""
-    path = _shared(spark, "cases")
+    path = new_folder(spark, "cases")
     rows = fx.derived(spark, sf_dir, fx.CASES).select(F.floor(F.col("case_id") / 1000).alias("bucket"), F.col("case_id").cast("string").alias("archivo"), F.concat(F.lit("¿"), "expected").alias("pregunta"), F.col("type").alias("tipo"), F.when(F.col("type") != evaluate.NO_ANSWER, F.array("expected")).alias("esperado"))
     lists = rows.groupBy("bucket").agg(F.to_json(F.collect_list(F.struct("archivo", "pregunta", "tipo", "esperado"))).alias("value"))
     lists.write.partitionBy("bucket").text(path)
@@ -314,7 +307,7 @@ def read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every output table written, dumps by model and variant, and its rows counted."""
-    path, done = _shared(spark, "outputs"), _reports(spark, sf_dir)
+    path, done = new_folder(spark, "outputs"), _reports(spark, sf_dir)
     dumps = fx.derived(spark, sf_dir, fx.REPORTS).select("model", "variant", "case_id", "report")
     sinks.write_outputs(path, done.reports, done.kept, done.rejections, None, dumps)
     counts = [(name, spark.read.parquet(f"{path}/{name}")) for name in ("reports", "verified", "rejections")] + [("dumps", spark.read.json(f"{path}/dumps"))]
@@ -327,7 +320,7 @@ def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses that arrive in two files, the second with blocks of the first again: verdicts counted by reason."""
-    base = _shared(spark, "stream")
+    base = new_folder(spark, "stream")
     responses = fx.derived(spark, sf_dir, fx.RESPONSES)
     chunks, requests = _chunk_table(spark, sf_dir), fx.derived(spark, sf_dir, fx.QUESTIONS)
     for part in (responses.where("request_id % 3 < 2"), responses.where("request_id % 3 > 0")):

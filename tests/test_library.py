@@ -249,3 +249,25 @@ def test_budgets_savings_and_unreadable(spark):
     unread = spark.createDataFrame([(2, 1, "b", "r2"), (2, 0, "a", "r1")], "request_id long, ord int, path string, reason string")
     asked = spark.createDataFrame([(1,), (2,)], "request_id long")
     assert [(r["request_id"], r["reasons"]) for r in report.no_readable_input(asked, asked.where("request_id = 1"), unread).collect()] == [(2, "a: r1; b: r2")]
+
+
+def test_packing_by_ranges_equals_packing_in_one_go(spark, monkeypatch):
+    """A large request beside small ones, in ranges of a few files; blocks go on from range to range."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(request, f"{i}.{'py' if rng.random() < 0.3 else 'md'}", i, part, rng.choice([1, 7, 30, 90, 130])) for request, n in ((1, 400), (2, 3), (3, 1)) for i in range(n) for part in range(1, rng.randint(2, 4))]
+    chunks = spark.createDataFrame(rows, "request_id long, path string, ord int, part int, tokens long").withColumn("is_code", F.col("path").endswith(".py"))
+    want = {}
+    for request in (1, 2, 3):
+        number = -1
+        for code in (False, True):
+            filled = None
+            for _, _, i, part, cost in sorted((r for r in rows if r[0] == request and r[1].endswith(".py") == code), key=lambda r: r[2:4]):
+                if filled is None or filled + cost > 100:
+                    number, filled = number + 1, 0
+                filled += cost
+                want[request, i, part] = number
+    for size in (5, 1024):
+        monkeypatch.setattr(chunking, "RANGE", size)
+        assert {(r["request_id"], r["ord"], r["part"]): r["block_no"] for r in chunking.pack_blocks(chunks, 100).collect()} == want

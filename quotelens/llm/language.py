@@ -1,9 +1,16 @@
 """Language ID by cross-parsing: the language whose labelled text parses a document into the fewest longest-match phrases wins.
 
 A suffix automaton holds all substrings of a language's sample. Walking it byte by byte finds the longest match from
-the place where the last phrase ended; where no transition is left, a phrase ends and the walk starts again at the root.
-Texts are walked in blocks of LANE bytes, all blocks of a batch side by side, so that one numpy gather advances thousands
-of parses; every byte of every text is read, and the block ends cost all languages the same.
+the place where the last phrase ended; where no transition is left, a phrase ends and the walk starts again at the root. One parse runs
+through a text from its first byte to its last.
+
+A sample of more bytes has longer matches, whatever the language: in a text of its own language about log(bytes) / entropy of them each. So phrase
+counts are normalised: the mean phrase length is divided by the log of the sample's size, which gives an estimate of the cross entropy,
+and the language with the least of it wins.
+
+Texts of a batch are walked side by side, so that one numpy gather advances all their parses; a text of many bytes is walked in lanes. A
+lane does not know in which state the one before it ends. But longest-match parses that begin at different places soon begin a phrase at the
+same byte, from where on they are one: a lane is walked on, into the next one, until it meets that one's parse.
 """
 
 from __future__ import annotations
@@ -22,11 +29,18 @@ from .frames import fold_of
 
 #: Bounds of the sample that the automata are fitted on: documents for each language, bytes for each language and in all.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 64, 32_768, 262_144
-LANE = 256
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learnt, those with the most labelled rows; ties in alphabetical order.
+MOST_LANGUAGES = 128
+LANE = 512
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _MODELS: dict = {}
 
 
+def has_a_letter(text: str) -> bool:
+    """A character of a category L; the regular expression lets numbers such as \u00bd or \u2167 pass too."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 #: Lower case; whatever ASCII holds besides letters is a space.
 _FOLD = np.where((LOWER >= 0x80) | (LOWER >= 0x61) & (LOWER <= 0x7A), LOWER, np.uint8(0x20)).astype(np.uint8)
 
@@ -85,25 +99,31 @@ def walker(source: np.ndarray, byte: np.ndarray, target: np.ndarray, classes: np
 
 
 def sample(docs: DataFrame, learn_from) -> dict[str, bytes]:
-    """Bounded sample of labelled whole documents, by language; a document longer than the bound in bytes is cut for it."""
+    """Bounded sample of labelled whole documents, by language: of SAMPLE_DOCS documents picked by hash as many as give SAMPLE_BYTES, short ones of
+    200 bytes and more first, so that many of them speak for the language; the last one is cut. So about twice SAMPLE_BYTES for each of MOST_LANGUAGES reach the driver.
+    """
+    known = docs.where(learn_from & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
+    size = F.octet_length("text")
+    before = Window.partitionBy("lang").orderBy(size < 200, size, "rank").rowsBetween(Window.unboundedPreceding, -1)
     picked = (
-        docs.where(learn_from & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+        known.join(F.broadcast(langs), "lang")
         .select("doc_id", "lang", "text", F.row_number().over(rank).alias("rank"))
         .where(F.col("rank") <= SAMPLE_DOCS)
-        .select("lang", "rank", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+        .select("lang", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("before"), F.substring("text", 1, SAMPLE_BYTES).alias("text"), "rank")
+        .where(F.col("before") < SAMPLE_BYTES)
     )
     texts: dict[str, list[bytes]] = {}
-    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["rank"])):
+    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["before"], r["rank"])):
         texts.setdefault(row["lang"], []).append(row["text"].encode())
     most = max(2048, min(SAMPLE_BYTES, SAMPLE_ALL // max(1, len(texts))))
     return {lang: b" ".join(_fill(parts, most)) for lang, parts in sorted(texts.items())}
 
 
 def _fill(parts: list[bytes], most: int) -> Iterator[bytes]:
-    """Shorter documents first, so that many of them speak for the language; up to `most` bytes."""
     left = most
-    for part in sorted(parts, key=lambda p: (len(p) < 200, len(p))):
+    for part in parts:
         if left <= 0:
             return
         yield part[:left]
@@ -111,16 +131,20 @@ def _fill(parts: list[bytes], most: int) -> Iterator[bytes]:
 
 
 def fit(texts: dict[str, bytes]) -> dict:
-    """What tasks need: languages, byte classes and transitions; its size is bounded by SAMPLE_ALL."""
+    """What tasks need: languages, byte classes, transitions, and what a phrase of each language weighs; its size is bounded by SAMPLE_ALL."""
     parts = {lang: folded(x := np.frombuffer(text, np.uint8), np.array([0, len(x)]))[0] for lang, text in texts.items()}
     used = np.unique(np.concatenate([*parts.values(), np.zeros(0, np.uint8)])).astype(np.uint8)
     classes = np.full(256, 1, np.int64)  # 0: padding, 1: a byte that no sample has
     classes[used] = np.arange(len(used)) + 2
-    return {"langs": list(parts), "classes": classes, "width": len(used) + 2, "edges": [automaton(x) for x in parts.values()]}
+    weights = np.log2(np.array([max(2, len(x)) for x in parts.values()], float))
+    return {"langs": list(parts), "classes": classes, "width": len(used) + 2, "edges": [automaton(x) for x in parts.values()], "weights": weights}
+
+
+_STATE = np.int32(2**31 - 1)
 
 
 def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Phrases of each row under each language."""
+    """Phrases of each row under each language: one parse from a row's first byte to its last."""
     flat, off = folded(flat, off)
     sizes = np.diff(off)
     lanes = -(-sizes // LANE)
@@ -128,7 +152,8 @@ def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.nda
     if not lanes.sum():
         return out
     row = np.repeat(np.arange(len(sizes)), lanes)
-    start = off[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+    number = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    start = off[:-1][row] + number * LANE
     size = np.minimum(LANE, off[1:][row] - start)
     classes = model["classes"].astype(np.int32)[flat]
     grid = np.zeros((LANE, len(row)), np.int32)
@@ -136,12 +161,38 @@ def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.nda
         here = size > k
         grid[k, here] = classes[start[here] + k]
     for i, table in enumerate(tables):
-        at, count = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
+        # Every lane as if a phrase began with it: the step of each byte, its sign bit telling that a phrase ended before it.
+        steps = np.empty_like(grid)
+        at = np.zeros(len(row), np.int32)
         for k in range(LANE):
-            step = table[at + grid[k]]
-            count += step < 0
-            at = step & np.int32(2**31 - 1)
+            steps[k] = table[at + grid[k]]
+            at = steps[k] & _STATE
+        count, ends = (steps < 0).sum(0), at.copy()
+        # Then from the state in which the lane before ends, until both are in the same state; from there on nothing differs.
+        todo = np.flatnonzero(number > 0)
+        alone = count.copy()
+        while len(todo):
+            lane, at, more = todo, ends[todo - 1], np.zeros(len(todo), np.int64)
+            left, was = np.arange(len(todo)), np.zeros(len(todo), np.int64)
+            before = ends[todo]
+            met = np.zeros(len(todo), bool)
+            for k in range(LANE):
+                step, guess = table[at[left] + grid[k, lane[left]]], steps[k, lane[left]]
+                more[left] += step < 0
+                was[left] += guess < 0
+                at[left] = step & _STATE
+                same = at[left] == guess & _STATE
+                met[left[same]] = True
+                left = left[~same]
+                if not len(left):
+                    break
+            count[lane] = more + np.where(met, alone[lane] - was, 0)
+            ends[lane] = np.where(met, steps[-1, lane] & _STATE, at)
+            # A lane that ends otherwise than was taken for true has its successor parsed again.
+            moved = lane[ends[lane] != before] + 1
+            todo = moved[(moved < len(row)) & (number[np.minimum(moved, len(row) - 1)] > 0)]
         np.add.at(out[:, i], row, count)
+        out[sizes > 0, i] += 1
     return out
 
 
@@ -156,8 +207,9 @@ def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; other columns play no part.
 
     learn_from: condition on the rows that may be learnt from (with a non-null lang). Null text, or text without a letter:
-    `und`, score 0. No labelled row at all: `und` for every row. Ties: the language first in alphabetical order. The
-    score is 0.5 where the two best languages need equally many phrases, and nears 1 as the second needs more.
+    `und`, score 0. No labelled row at all: `und` for every row. Ties: the language first in alphabetical order. Repeated rows get equal
+    results; a very long text is parsed whole. Empty table: no rows. The score is 0.5 where the two best languages need equally many
+    normalised phrases, and nears 1 as the second needs more.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"), "lang")
     out = _predict(docs.select("doc_id", "text"), sample(docs, F.lit(True) if learn_from is None else learn_from))
@@ -183,11 +235,11 @@ def _predict(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
             for part in slices(batch, "text"):
                 flat, off = utf8(part.column("text"))
                 raw = flat.tobytes()
-                has_letter = np.array([bool(_LETTER.search(raw[a:b].decode("utf-8", "replace"))) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], bool)
+                has_letter = np.array([has_a_letter(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], bool)
                 if tables:
-                    counts = phrases(model, tables, flat, off)
+                    counts = phrases(model, tables, flat, off) * model["weights"]
                     best = counts.argmin(1)
-                    ranked = np.sort(counts, 1).astype(float)
+                    ranked = np.sort(counts, 1)
                     second = ranked[:, min(1, ranked.shape[1] - 1)]
                     score = np.where(second > 0, second / np.maximum(1, ranked[:, 0] + second), 0.5)
                     # 1/2 at a tie; a rival that needs twice the phrases gives 0.8.

@@ -23,7 +23,7 @@ VOCABULARY = "byte_bpe_50k"
 
 @lru_cache(maxsize=2)
 def _encoders(name: str):
-    """The JSON tokenizer, and the same vocabulary as ranks, which is four times as fast."""
+    """The JSON tokenizer, the same vocabulary as ranks, which is four times as fast, and the strings of the JSON one's added tokens, which the ranks lack."""
     import base64
     import os
 
@@ -33,22 +33,21 @@ def _encoders(name: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    slow.encode_special_tokens = True
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast
+    return slow, fast, tuple(t.content for t in slow.get_added_tokens_decoder().values())
 
 
 def token_ids(text: str | None, name: str = VOCABULARY) -> np.ndarray:
     """Ids of a text and the end id after them, as little-endian unsigned 32-bit numbers.
 
-    Both encoders give the same ids. Characters beyond Latin letters go to the JSON tokenizer, as the two may class letters by
-    different Unicode versions.
+    Both encoders give the same ids. Texts that hold an added token's string go to the JSON tokenizer, which makes that token of it, and so
+    do characters beyond Latin letters, as the two may class letters by different Unicode versions.
     """
-    slow, fast = _encoders(name)
+    slow, fast, added = _encoders(name)
     text = text or ""
-    if not text.isascii() and max(text) >= "ɐ":
+    if any(x in text for x in added) or not text.isascii() and max(text) >= "ɐ":
         ids = slow.encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_to_numpy(text, disallowed_special=())
@@ -158,8 +157,8 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABUL
 def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of docs.
 
-    Null text is empty: one piece with the end id alone. Rows with equal or null ids are packed as documents of their own. Empty
-    table: no rows. The texts are read once and tokenized where they lie; shuffled are only the pieces' lengths and ranks.
+    Null text is empty: one piece with the end id alone. Rows with equal or null ids are packed as documents of their own. A very long text
+    is tokenized whole and cut into many pieces. Other columns of docs play no part. Empty table: no rows. The texts are read once and tokenized where they lie; shuffled are only the pieces' lengths and ranks.
     """
     pieces = cut(cut_documents(docs, capacity, name, text))
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -8,8 +8,10 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quotelens.llm import html, language, lmscore, neardup, neighbours, packing, pieces, quality, sharding, suffixdedup
 
@@ -21,6 +23,13 @@ def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
+def clashing(df, *names):
+    """df with more columns, called as an operator might call its own."""
+    for name in names:
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
 def fold(doc_id, n):
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
 
@@ -29,10 +38,12 @@ def fold(doc_id, n):
 
 
 def test_packing_places_every_piece_once(docs, corpus):
-    got = packing.pack(docs).collect()
+    got = packing.pack(clashing(docs, "piece", "start", "length", "part", "rank", "n", "sequence_id")).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokenizer.encode("a <|endoftext|> x", add_special_tokens=False).ids == [64, 220, 50256, 2124]
     want = []
     for doc_id, text, *_ in corpus:
-        ids = packing._encoders(packing.VOCABULARY)[0].encode(text or "", add_special_tokens=False).ids + [0]
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         first = len(ids) % 2048 or 2048
         cuts = [0, len(ids)] if len(ids) <= 2048 else [0, *range(first, len(ids) + 1, 2048)]
         want += [(doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -322,7 +333,7 @@ def test_shards_are_contiguous_and_even(docs, corpus, empty):
 
 def test_languages(docs, corpus, empty):
     got = collections.defaultdict(list)
-    for r in language.op8(docs).collect():
+    for r in language.op8(clashing(docs, "lang_pred", "score", "rank", "before", "n", "held_out")).collect():
         got[r["doc_id"]].append(r)
         assert 0 <= r["score"] <= 1 and r["held_out"] == (fold(r["doc_id"], 4) == 2)
     assert sum(len(x) for x in got.values()) == len(corpus)
@@ -334,29 +345,46 @@ def test_languages(docs, corpus, empty):
     assert {r["lang_pred"] for r in language.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
-def test_phrases_are_greedy_longest_matches():
+def greedy_phrases(text, sample):
+    n = k = 0
+    while k < len(text):
+        size = 1
+        while k + size < len(text) and text[k : k + size + 1] in sample:
+            size += 1
+        n, k = n + 1, k + size
+    return n
+
+
+def test_phrases_are_greedy_longest_matches_of_whole_texts():
     rng = random.Random(3)
-    taught = {"x": "".join(rng.choices("abc ", k=300)).encode(), "y": "".join(rng.choices("abd ", k=300)).encode()}
+    taught = {"x": "".join(rng.choices("abc ", k=300)).encode(), "y": "".join(rng.choices("abd ", k=900)).encode()}
     model = language.fit(taught)
     tables = [language.walker(*e, model["classes"], model["width"]) for e in model["edges"]]
-    texts = ["".join(rng.choices("abcd ", k=n)) for n in (0, 1, 17, 256, 257, 900)]
+    texts = ["".join(rng.choices("abcd ", k=n)) for n in (0, 1, 17, 256, 257, 900, 512, 1024, 1025, 5000)]
+    texts += [(taught["x"] * 9).decode(), taught["y"].decode() * 3, "a" * 3000, "abc" * 700]  # matches across lanes, and lanes that never meet
     flat = np.frombuffer("".join(texts).encode(), np.uint8)
     off = np.cumsum([0, *map(len, texts)])
     squeezed, cuts = language.folded(flat, off)
     raw = squeezed.tobytes()
     for row, got in enumerate(language.phrases(model, tables, flat, off)):
-        text = raw[cuts[row] : cuts[row + 1]]
         for i, sample in enumerate(taught.values()):
-            sample = re.sub(b" +", b" ", sample)
-            n = 0
-            for a in range(0, len(text), language.LANE):
-                block, k = text[a : a + language.LANE], 0
-                while k < len(block):
-                    size = 1
-                    while k + size < len(block) and block[k : k + size + 1] in sample:
-                        size += 1
-                    n, k = n + 1, k + size
-            assert int(got[i]) == n
+            assert int(got[i]) == greedy_phrases(raw[cuts[row] : cuts[row + 1]], re.sub(b" +", b" ", sample))
+
+
+def test_a_small_sample_does_not_lose_to_a_large_one(spark):
+    """Longer samples have longer matches in any language: counts are weighed by the log of the sample."""
+    rng = random.Random(13)
+    prose = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+    one, two = "eeeaaarrnnssttiloudm", "eeeaaarrnnssttilouzk"
+    rows = [(i, prose(one, 300), "large") for i in range(60)] + [(100, prose(two, 60), "small")] + [(200 + i, prose(two, 60), None) for i in range(20)] + [(300 + i, prose(one, 60), None) for i in range(20)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[200 + i] == "small" for i in range(20)) >= 18 and sum(got[300 + i] == "large" for i in range(20)) >= 18
+
+
+def test_letters_by_category(spark):
+    rows = [(1, "½ Ⅷ ② 12"), (2, "½ a"), (3, "你"), (4, "__ 5")] + [(10 + i, "some words of text here", "aa") for i in range(3)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame([(*r, None)[:3] for r in rows], "doc_id long, text string, lang string")).collect()}
+    assert got[1] == got[4] == "und" and got[2] == got[3] == "aa"
 
 
 # 9

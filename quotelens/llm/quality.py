@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import SPACE, grams, hashes, mix, slices, utf8, whole, words
 
-#: The classifier is fitted on at most so many labelled rows of each class, those with the smallest hashes of their ids.
-SAMPLE_ROWS = 1_500
+#: The classifier is fitted on at most so many labelled documents of each class, those with the smallest hashes of their ids, and of these on whole
+#: texts of at most so many bytes together (longer texts teach nothing).
+SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 1 << 24
 #: A document is kept from this calibrated probability of being good.
 KEEP_FROM = 0.35
 #: The contract's fixed limits.
@@ -155,14 +156,20 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts of at most SAMPLE_ROWS labelled documents of each class. The ids sent to the scan are so bounded too."""
+    """Whole texts of labelled documents, within SAMPLE_ROWS and SAMPLE_BYTES for each class; of rows that share an id, one. Those bounds hold for what reaches the driver and for the ids sent to the scan."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     picked = None
     for value in (0, 1):
-        one = known.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+        one = known.where(F.col("quality") == value).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         picked = one if picked is None else picked.unionByName(one)
     picked = picked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_ROWS).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.withColumn("size", F.octet_length("text")).where(F.col("size") <= SAMPLE_BYTES)
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    up_to = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("n", one).where("n = 1").withColumn("sum", F.sum("size").over(up_to)).where(F.col("sum") <= SAMPLE_BYTES)
+    rows = rows.select("text", "quality", F.xxhash64("doc_id").alias("by"), "doc_id").collect()
+    rows.sort(key=lambda r: (r["by"], r["doc_id"]))
     return [r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], int)
 
 
@@ -181,7 +188,7 @@ def verdicts(model: dict | None, text: pa.Array) -> tuple[dict[str, np.ndarray],
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that judge() keeps."""
+    """The rows of docs, with all their columns, that judge() keeps. Null and empty texts go; of equal rows all stay or all go; a null id hinders nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +204,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the probability of being good, for each row of docs.
 
     Null or empty text: all counts 0, so base_failed. Rows with an unknown or null id are judged by their text alike; labels that are
-    null, or of ids that docs lacks, teach nothing. Without labels of both classes the base rules alone decide (probability null).
+    null, or of ids that docs lacks, teach nothing. Without labels of both classes the base rules alone decide (probability null). Equal
+    rows get equal results. A very long text is counted and scored whole. Other columns of docs play no part. Empty table: no rows.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quotelens.llm.bytesets import grams, hashes
 from quotelens.llm import html, language, lmscore, neardup, neighbours, packing, pieces, quality, sharding, suffixdedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -443,3 +444,45 @@ def test_quality_counts_equal_brute_force(spark, docs, corpus, empty):
     unlabelled = quality.judge(docs, labels.limit(0)).collect()
     assert all(r["kept"] != r["base_failed"] for r in unlabelled)
     assert quality.judge(empty, labels).count() == 0
+
+
+def test_quality_verdicts_equal_brute_force(spark, docs, corpus):
+    """The fitted model applied by hand: every word, pair of words and run of four bytes looked up by itself."""
+    rng = random.Random(17)
+    bad = [(500 + i, "".join(rng.choices("#$% ab", k=700)), "aa", "s", 1) for i in range(60)]
+    everything = docs.unionByName(spark.createDataFrame(bad, docs.schema))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(500 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality._fitted(everything, labels)
+    mask = (1 << quality.BITS) - 1
+
+    def by_hand(text):
+        raw = text.translate(LOWER).encode()
+        spots = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        word = [int(hashes(np.frombuffer(raw, np.uint8), np.array([a]), np.array([b]), lower=True)[0]) for a, b in spots]
+        pair = [int(grams(np.array([a, b], np.uint64), 2)[0]) for a, b in zip(word, word[1:], strict=False)]
+        whole = text.encode()
+        quads = [(int.from_bytes(whole[k : k + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.BITS) for k in range(len(whole) - 3)]
+        z = model["bias"]
+        for weights, codes in zip(model["weights"], ([h & mask for h in word], [h & mask for h in pair], quads), strict=True):
+            z += sum(float(weights[c]) for c in codes) / max(1, len(codes))
+        return 1 / (1 + math.exp(-(model["slope"] * z + model["shift"])))
+
+    want = collections.defaultdict(set)
+    for i, t, *_ in corpus + bad:
+        n, _, _, _, repeated = brute_counts(t)
+        failed = n < 50 or 100 * repeated > 50 * n
+        want[i].add((failed, not failed and by_hand(t) >= quality.KEEP_FROM))
+    got = quality.judge(clashing(everything, "n_words", "kept", "quality", "probability", "size"), labels).collect()
+    assert len(got) == len(corpus) + len(bad)
+    for r in got:
+        assert (r["base_failed"], r["kept"]) in want[r["doc_id"]]
+
+
+def test_the_labelled_sample_is_bounded_and_takes_an_id_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    rows = [(i, "x" * 90) for i in range(40)] + [(1, f"again {k}") for k in range(500)] + [(41, "y" * 5000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(42)] * 3, "doc_id long, quality int, toxic int")
+    texts, good = quality.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    for value in (0, 1):
+        assert 800 < sum(len(t) for t, g in zip(texts, good, strict=True) if g == value) <= 1000
+    assert sum(t.startswith(b"again") for t in texts) <= 1

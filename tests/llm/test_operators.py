@@ -218,8 +218,100 @@ def test_main_text():
     assert len(html.main_text("<article>" + "<p>word</p>" * 20000).split("\n")) == 20000
 
 
+BODY = "The story of the day is that it was in the town and that the people of it came to see what it was, for it had not been there before and it was as large as a house."
+NAMES = "Berlin Hamburg Munich Cologne Frankfurt Stuttgart Dresden Leipzig Nuremberg Hanover Bremen Essen Dortmund Duisburg Bochum Wuppertal Bielefeld Bonn Mannheim"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><meta y><p>{}</p>", "<html><head><meta x><body><p>{}</p>", '<article class="post tag-politics category-search"><p>{}</p></article>', "<p>{}</p><svg/><p>Fin.</p><p>{}</p>",
+        "<p>{}<button>Buy<p>{}</p>", "<p>{}</p><svg><path/><p>{}</p>", '<div class="overflow-hidden" aria-hidden="false"><article><p>{}</p></article></div>', "<form><div><p>{}</p></div></form>",
+        "<object><p>{}</p>", "<select><option>a<p>{}</p>", '<div class=sidebar><p>{}</p></div>', '<div id="page" class="with sidebar"><main><p>{}</p></main></div>', "<form><article><p>{}</p></article></form>",
+        '<article><p>{}</p><div class="ad"><p>Buy it in the shop of the day for it is as good as it was.</p></div><p>{}</p></article>', "<article><p>{}</p><p hidden>The text that was hidden in the page is not for the reader of it at all.</p></article>",
+    ],
+)
+def test_main_text_is_found_in_ordinary_pages(page):
+    text = html.main_text(page.replace("{}", BODY))
+    assert [x for x in text.split("\n") if x != "Fin."] == [BODY] * page.count("{}")
+
+
+def test_copyright_signs_and_unlisted_languages():
+    short = f"{BODY[:90]} © of it"
+    assert html.main_text(f"<article><p>{short}</p></article>") == short
+    russian = "один два три четыре пять шесть семь восемь девять десять " * 5
+    assert html.main_text(f"<div><a href=x>раз</a></div><div><p>{russian}</p></div>") == russian.strip()
+
+
+def test_density_decides_where_nothing_is_declared_and_within_articles(monkeypatch):
+    plain = f"<div>{BODY}</div><div>{NAMES}</div><div>{NAMES}</div><div>{BODY}</div>"
+    mixed = f"<article><p>{BODY}</p><p>{NAMES} <a href=x>More cities</a></p><p>{BODY}</p></article>"
+    assert html.main_text(plain) == html.main_text(mixed) == f"{BODY}\n{BODY}"
+    monkeypatch.setattr(html, "STOP_WORDS", frozenset())
+    assert NAMES in html.main_text(plain) and NAMES in html.main_text(mixed)
+
+
+def plain_passes(page):
+    """Both passes over the page's blocks as the rules are written: neighbours are looked for one by one."""
+    for by_name in (True, False):
+        found = [(b, t) for b in html.blocks(page, by_name) if (t := b.text())]
+        declared = any(b.article and not b.never for b, _ in found)
+        never = [b.never or declared and not b.article for b, _ in found]
+        share = lambda t: sum(w in html.STOP_WORDS for w in re.findall(r"[^\W\d_]+", t.lower())) / max(1, len(re.findall(r"[^\W\d_]+", t)))
+        known = any(not n and len(t) >= 70 and share(t) >= 0.15 for n, (_, t) in zip(never, found, strict=True))
+        labels = []
+        for n, (b, t) in zip(never, found, strict=True):
+            links = sum(len(x) for x, linked in b.parts if linked) / sum(len(x) for x, _ in b.parts)
+            ends = t.rstrip("\"'”’»)]")[-1:] in tuple(".!?:;…。！？؟।")
+            if n or links > 0.33:
+                labels.append("bad")
+            elif b.heading or len(t) < 70:
+                labels.append("short" if b.article or not links and "©" not in t else "bad")
+            elif (known and share(t) >= 0.30 or not known) and len(t) > 140:
+                labels.append("good")
+            elif not known or share(t) >= 0.15 or b.article and (not links or b.listed or ends):
+                labels.append("near")
+            else:
+                labels.append("bad")
+
+        def side(k, steps):
+            for i in steps:
+                inside = found[k][0].article
+                if labels[i] in ("good", "bad") and (not inside or found[i][0].article == inside and not never[i]):
+                    return labels[i]
+            return ""
+
+        out = []
+        for k, (b, t) in enumerate(found):
+            before, after = side(k, range(k - 1, -1, -1)), side(k, range(k + 1, len(found)))
+            around = {before, after} - {""}
+            if labels[k] == "good" or labels[k] == "near" and (b.article or around != {"bad"}):
+                out.append(t)
+            elif labels[k] == "short" and (around != {"bad"} if b.article else around == {"good"} or b.heading and after == "good"):
+                out.append(t)
+        if out:
+            return "\n".join(out)
+    return ""
+
+
+def test_two_passes_equal_brute_force():
+    rng = random.Random(19)
+    inner = [BODY, BODY[:100], "Short one.", NAMES, f"{NAMES} <a href=x>More</a>", "<a href=a>Home</a> | <a href=b>News</a>", "© 2024", f"{NAMES}.", "Zwei.", f"<a href=c>{BODY}</a>", BODY[:60]]
+    seen = set()
+    for _ in range(600):
+        parts = [f"<{tag}{name}>{rng.choice(inner)}</{tag}>" for _ in range(rng.randint(1, 9)) for tag in [rng.choice("p div h2 li td aside".split())] for name in [rng.choice(["", "", "", ' class="ad"', ' class="tags"', " hidden"])]]
+        if rng.random() < 0.6:
+            a, b = sorted((rng.randint(0, len(parts)), rng.randint(0, len(parts))))
+            parts[a:b] = ["<article>", *parts[a:b], "</article>"]
+        page = "".join(parts)
+        seen.add(got := html.main_text(page))
+        assert got == plain_passes(page), page
+    assert len(seen) > 80 and "" in seen
+
+
 def test_extract_keeps_every_row(spark):
-    rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
+    rows = clashing(rows, "text", "n_chars")
     got = rows_of(html.extract(rows), "page_id", "n_chars")
     assert [n for _, n in got].count(0) == 2 and len(got) == 4
 

@@ -3,17 +3,19 @@
 Which strings of LENGTH bytes repeat is found in shards that hold every string which may repeat elsewhere in the corpus:
 
 1. Each string has an anchor, its K-byte gram of least hash (leftmost at ties), so equal strings have equal anchors. Runs of
-   consecutive strings with one anchor are a unit. Units travel as (anchor, digest of their bytes, place), without bytes.
-2. Units of one anchor meet in one bucket. All but the first of equal units repeat wholly. The first ones of units that differ
-   but share an anchor are fetched with their bytes, and units of one anchor go to one shard.
+   consecutive strings with one anchor are a unit. Units travel as (anchor, digest of their bytes, place), without bytes. Within a block
+   of text, which has the bytes at hand, units of one digest are compared with the first of them, and equal ones are repeats.
+2. Units of one anchor meet in one bucket. Where there are several, equal or not, all are fetched with their bytes and go to one shard.
 3. A shard's suffixes are sorted as far as LENGTH asks; breadth-first backward extension then derives the common prefixes of
    neighbouring suffixes by increasing value, from the empty string on, stopping at LENGTH: neighbours without a value by then
    share LENGTH bytes. Of each such class all places but the first are repeats.
 
-Shards are cut at anchors and bounded in bytes. Strings of a hot anchor, one with more than HOT differing units or more than HOT_HERE
-in one block of text, meet without bytes, by 128-bit digests: each task sends the first of equal ones alone and names the others at
-once, and in the sorted rows of a digest all but the first place are repeats, so that no key gathers more than a row from each task's
-HELD strings. Units of an anchor that is hot in a block are dealt by their digests, not by their anchor.
+Hashes only bring together what may be equal: no byte is removed but by a class of step 3 or a comparison of bytes.
+
+Shards are cut at anchors and bounded in bytes. Strings of a hot anchor, one with more than HOT units or more than HOT_HERE differing ones
+in one block of text, meet by 128-bit digests instead: each task sends the first of equal ones alone and names the others at
+once, and in the sorted rows of a digest all that equal the first one, byte by byte, are repeats, so that no key gathers more than a row from
+each task's HELD strings. Units of an anchor that is hot in a block are dealt by their digests, not by their anchor.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ PIECE = 1 << _PLACE_BITS
 BLOCK, SHARD = 1 << 24, 1 << 20
 HOT = 10_000
 #: Differing units of an anchor within a block that make it hot, and strings of hot anchors that a task tells apart together.
-HOT_HERE, HELD = 512, 1 << 20
+HOT_HERE, HELD = 512, 1 << 18
 NULL_ID = -(2**63)
 
 
@@ -137,6 +139,23 @@ def _firsts(u: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
+def same_bytes(flat: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, asked: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Whether the `sizes` bytes from place one and from place two on are equal, for what is asked."""
+    out = np.zeros(len(one), bool)
+    which = np.flatnonzero(asked)
+    ends = np.cumsum(sizes[which])
+    at = 0
+    while at < len(which):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        here = which[at:to]
+        heads = np.cumsum(sizes[here]) - sizes[here]
+        step = np.arange(int(sizes[here].sum())) - np.repeat(heads, sizes[here])
+        equal = flat[step + np.repeat(one[here], sizes[here])] == flat[step + np.repeat(two[here], sizes[here])]
+        out[here] = np.logical_and.reduceat(equal, heads)
+        at = to
+    return out
+
+
 def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     """The units of each block of text, by bucket of their anchors, as blobs. Repeats within a block are told apart at once, so
     that a group of copies sends one unit for each block. An anchor with over HOT_HERE differing units in the block has them in the
@@ -144,10 +163,12 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     """
     schema = "bucket int, common binary, " + ", ".join(f"{k} binary" for k in _BLOBS) + ", " + ", ".join(f"again_{k} binary" for k in _REPEATS)
 
-    def rows(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        u = {k: np.concatenate([h[k] for h in held]) for k in _BLOBS}
+    def rows(held: list[dict[str, np.ndarray]], flat: np.ndarray) -> pa.RecordBatch:
+        u = {k: np.concatenate([h[k] for h in held]) for k in (*_BLOBS, "at")}
         order, first = _firsts(u)
-        keep, again = np.sort(order[first]), order[~first]
+        head = order[first][np.cumsum(first) - 1]
+        sure = same_bytes(flat, u["at"][order], u["at"][head], u["n"][order] + LENGTH - 1, ~first) & ~first
+        keep, again = np.sort(order[~sure]), order[sure]
         anchors = u["anchor"][order[first]]
         heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(anchors)), bool), anchors[1:] != anchors[:-1]]))
         sizes = np.diff(np.concatenate([heads, [len(anchors)]]))
@@ -157,61 +178,59 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
         of = np.where(spread, np.uint64(buckets) + u["digest"] % np.uint64(buckets), u["anchor"] % np.uint64(buckets)).astype(np.int64)
         out: dict[str, list] = {name: [] for name in ("bucket", "common", *_BLOBS, *(f"again_{k}" for k in _REPEATS))}
         keep, again = keep[np.argsort(of[keep], kind="stable")], again[np.argsort(of[again], kind="stable")]
-        cuts, again_cuts = (np.searchsorted(of[x], np.arange(2 * buckets + 1)) for x in (keep, again))
+        told = (common % np.uint64(buckets)).astype(np.int64)
+        used = np.unique(np.concatenate([of[keep], told]))  # what repeats has its first in the same bucket
         values = {k: u[k][keep].astype(_KINDS[k]) for k in _BLOBS}
         repeats = {k: u[k][again].astype(_KINDS[k]) for k in _REPEATS}
-        told = common % np.uint64(buckets)
-        for b in range(2 * buckets):
-            tell = common[told == b] if b < buckets and len(common) else common[:0]
-            if cuts[b] < cuts[b + 1] or len(tell):  # what repeats has its first in the same bucket
-                out["bucket"].append(b if b < buckets else buckets - 1 - b)
-                out["common"].append(tell.tobytes())
-                for k in _BLOBS:
-                    out[k].append(values[k][cuts[b] : cuts[b + 1]].tobytes())
-                for k in _REPEATS:
-                    out[f"again_{k}"].append(repeats[k][again_cuts[b] : again_cuts[b + 1]].tobytes())
+        cuts, again_cuts = ([np.searchsorted(of[x], used, side) for side in ("left", "right")] for x in (keep, again))
+        for i, b in enumerate(used.tolist()):
+            out["bucket"].append(b if b < buckets else buckets - 1 - b)
+            out["common"].append(common[told == b].tobytes() if len(common) and b < buckets else b"")
+            for k in _BLOBS:
+                out[k].append(values[k][cuts[0][i] : cuts[1][i]].tobytes())
+            for k in _REPEATS:
+                out[f"again_{k}"].append(repeats[k][again_cuts[0][i] : again_cuts[1][i]].tobytes())
         kinds = [pa.int32(), *[pa.binary()] * (len(out) - 1)]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, texts, size = [], [], 0
         for batch in batches:
             flat, off = utf8(batch.column("text"))
-            ids, texts = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
             u = units(flat, off)
-            held.append({"anchor": u["anchor"], "digest": u["digest"], "doc": ids[u["row"]], "text_hash": texts[u["row"]], "pos": u["pos"], "n": u["n"]})
+            held.append({"anchor": u["anchor"], "digest": u["digest"], "doc": ids[u["row"]], "text_hash": hashes[u["row"]], "pos": u["pos"], "n": u["n"], "at": size + off[u["row"]] + u["pos"]})
+            texts.append(flat)
             size += len(flat)
             if size >= BLOCK:
-                yield rows(held)
-                held, size = [], 0
+                yield rows(held, np.concatenate(texts))
+                held, texts, size = [], [], 0
         if held:
-            yield rows(held)
+            yield rows(held, np.concatenate(texts))
 
     return docs.mapInArrow(run, schema)
 
 
 def judged(blobs: DataFrame) -> DataFrame:
-    """doc, text_hash, pos, n and the anchor where the unit's bytes must be looked at; without one the unit is a repeat. hot: its anchor has more than HOT units, or more than HOT_HERE in some block."""
+    """doc, text_hash, pos, n, and the anchor where the unit's bytes must be looked at, as another unit has that anchor; without an anchor the unit
+    is a repeat. hot: its anchor has more than HOT units, or more than HOT_HERE differing ones in some block."""
 
     def run(group: pa.Table) -> pa.Table:
         u = {k: np.frombuffer(b"".join(group.column(k).to_pylist()), _KINDS[k]) for k in _BLOBS}
-        order, first = _firsts(u)
+        order, _ = _firsts(u)
         anchor = u["anchor"][order]
         new = np.ones(len(order), bool)
         new[1:] = anchor[1:] != anchor[:-1]
         of = np.cumsum(new) - 1
-        differing = np.bincount(of, first)[of].astype(np.int64)
-        out = {k: [np.frombuffer(b"".join(group.column(f"again_{k}").to_pylist()), _KINDS[k])] for k in _REPEATS}
+        together = np.bincount(of)[of] if len(of) else of
         common = np.isin(anchor, np.frombuffer(b"".join(group.column("common").to_pylist()), np.uint64)) | (group.column("bucket")[0].as_py() < 0)
-        look = first & ((differing > 1) | common)
-        for k in _REPEATS:
-            out[k] += [u[k][order[~first]], u[k][order[look]]]
-        n_again = len(out["doc"][0]) + len(out["doc"][1])
+        look = (together > 1) | common
+        again = {k: np.frombuffer(b"".join(group.column(f"again_{k}").to_pylist()), _KINDS[k]) for k in _REPEATS}
+        n_again = len(again["doc"])
         anchors = np.concatenate([np.zeros(n_again, np.int64), anchor[look].view(np.int64)])
-        total = len(anchors)
-        is_look = np.arange(total) >= n_again
-        hot = np.concatenate([np.zeros(n_again, bool), (differing[look] > HOT) | common[look]])
-        return pa.table({**{k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in out.items()}, "anchor": pa.array(anchors, mask=~is_look), "hot": pa.array(hot)})
+        hot = np.concatenate([np.zeros(n_again, bool), (together[look] > HOT) | common[look]])
+        places = {k: pa.array(np.concatenate([again[k], u[k][order[look]]]).astype(np.int64)) for k in _REPEATS}
+        return pa.table({**places, "anchor": pa.array(anchors, mask=np.arange(len(anchors)) < n_again), "hot": pa.array(hot)})
 
     return blobs.groupBy("bucket").applyInArrow(run, "doc long, text_hash long, pos long, n long, anchor long, hot boolean")
 
@@ -313,9 +332,9 @@ def repeats(texts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, pos: np.
     return unit[first], start[first], np.diff(np.concatenate([first, [len(by)]]))
 
 
-def later_places(key: np.ndarray, second: np.ndarray, places: list[np.ndarray], before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Of strings in the order of their digests (key, second) and places: which are first of their digest, which are elsewhere than
-    its first, and digest and place of the last first one. before: the latter of the rows that came earlier.
+def later_places(key: np.ndarray, second: np.ndarray, places: list[np.ndarray], strings: np.ndarray, before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Of strings (a row of bytes each) in the order of their digests (key, second) and places: which are first of their digest, which equal its
+    first one and lie elsewhere, and digest, bytes and place of the last first one. before: the latter of the rows that came earlier.
     """
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
@@ -324,14 +343,20 @@ def later_places(key: np.ndarray, second: np.ndarray, places: list[np.ndarray],
     at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))  # -1: goes on from before
     later = np.zeros(len(key), bool)
     for k, x in enumerate(places):
-        later |= x != np.where(at >= 0, x[at], before[2 + k] if before else 0)
-    last = (key[at[-1]], second[at[-1]], *(x[at[-1]] for x in places)) if at[-1] >= 0 else before
-    return first, later, last
+        later |= x != np.where(at >= 0, x[at], before[3 + k] if before else 0)
+    equal = (strings == strings[at]).all(1)
+    if before and at[0] < 0:
+        old = at < 0
+        equal[old] = (strings[old] == before[2]).all(1)
+    # Should a digest have two strings, the other one is left alone like a first one.
+    first |= ~equal
+    last = (key[at[-1]], second[at[-1]], strings[at[-1]].copy(), *(x[at[-1]] for x in places)) if at[-1] >= 0 else before
+    return first, later & equal, last
 
 
 def in_shards(rows: DataFrame) -> DataFrame:
-    """Repeats among fetched rows, which are in the order of key, second and place: units with bytes of one key are together in one shard
-    of about SHARD bytes; strings with a digest (key, second) repeat unless first of it; rows with neither are repeats.
+    """Repeats among fetched rows, which are in the order of key, second and place: units of one key are together in one shard of about SHARD
+    bytes; strings with a digest (key, second) repeat if they equal the first of it; rows without bytes are repeats.
     """
 
     def shard(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -343,15 +368,14 @@ def in_shards(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last, before = [], 0, None, None
         for batch in batches:
-            bare = batch.column("bytes").is_null()
-            known = pc.and_(bare, batch.column("second").is_null())
+            known, digested = batch.column("bytes").is_null(), pc.invert(batch.column("second").is_null())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(known) for c in _REPEATS], list(_REPEATS))
-            strings = batch.filter(pc.and_not(bare, known))
+            strings = batch.filter(digested)
             if strings.num_rows:
                 key, second, *places = (strings.column(c).to_numpy() for c in ("key", "second", "doc", "text_hash", "pos"))
-                _, later, before = later_places(key, second, places, before)
+                _, later, before = later_places(key, second, places, utf8(strings.column("bytes"))[0].reshape(-1, LENGTH), before)
                 yield pa.RecordBatch.from_arrays([strings.column(c).filter(pa.array(later)) for c in _REPEATS], list(_REPEATS))
-            batch = batch.filter(pc.invert(bare))
+            batch = batch.filter(pc.invert(pc.or_(known, digested)))
             keys = batch.column("key").to_numpy()
             if not len(keys):
                 continue
@@ -377,20 +401,17 @@ def in_shards(rows: DataFrame) -> DataFrame:
 
 def fetched(rows: DataFrame) -> DataFrame:
     """The bytes of the units listed with each text, with their anchor as key. Of hot anchors each string by itself, its digest as key and
-    second instead of bytes; of equal strings that a task holds together only the first, and the others as repeats, with neither.
+    second; of equal strings that a task holds together only the first, and the others as repeats, without bytes.
     """
     names = ("key", "second", *_REPEATS, "bytes")
 
-    def bare(key: np.ndarray, second: np.ndarray | None, doc: np.ndarray, text_hash: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        digest = pa.nulls(len(key), pa.int64()) if second is None else pa.array(second)
-        return pa.RecordBatch.from_arrays([pa.array(key), digest, *(pa.array(x) for x in (doc, text_hash, pos, n)), pa.nulls(len(key), pa.binary())], list(names))
-
     def told_apart(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, second, *places = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, second, *places, strings = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.lexsort((*places[::-1], second, key))
-        first, later, _ = later_places(key[by], second[by], [x[by] for x in places])
+        first, later, _ = later_places(key[by], second[by], [x[by] for x in places], strings[by])
         one = by[first]
-        yield bare(key[one], second[one], *(x[one] for x in places), np.ones(len(one), np.int64))
+        texts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(one), [None, pa.py_buffer(strings[one].tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[one], second[one], *(x[one] for x in places), np.ones(len(one), np.int64))] + [texts], list(names))
         doc, text_hash, pos = (x[by[later]] for x in places)
         by = np.lexsort((pos, text_hash, doc))
         doc, text_hash, pos = doc[by], text_hash[by], pos[by]
@@ -399,7 +420,8 @@ def fetched(rows: DataFrame) -> DataFrame:
         head = np.flatnonzero(new)
         tail = np.concatenate([head[1:] - 1, [len(by) - 1]]) if len(by) else head
         key = mix(text_hash[head].view(np.uint64) ^ mix(pos[head].view(np.uint64))).view(np.int64)
-        yield bare(key, None, doc[head], text_hash[head], pos[head], pos[tail] - pos[head] + 1)
+        columns = [pa.array(key), pa.nulls(len(key), pa.int64()), *(pa.array(x) for x in (doc[head], text_hash[head], pos[head], pos[tail] - pos[head] + 1)), pa.nulls(len(key), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -417,7 +439,8 @@ def fetched(rows: DataFrame) -> DataFrame:
                 a, times = int(begin[unit]), int(n[unit])
                 digests = b"".join([hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in range(a, a + times)])
                 pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                held.append((pair[:, 0], pair[:, 1], np.full(times, ids[row[unit]]), np.full(times, hashes[row[unit]]), pos[unit] + np.arange(times)))
+                strings = np.lib.stride_tricks.sliding_window_view(flat[a : a + times + LENGTH - 1], LENGTH)
+                held.append((pair[:, 0], pair[:, 1], np.full(times, ids[row[unit]]), np.full(times, hashes[row[unit]]), pos[unit] + np.arange(times), strings))
                 size += times
                 if size >= HELD:
                     yield from told_apart(held)
@@ -446,20 +469,22 @@ def spans_of(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove(docs: DataFrame, text: str = "text", beside: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end) and kept (the remaining bytes), for each row of docs; the
-    columns named in `beside` come along.
+    columns named in `beside` come along in a struct of that name, whatever they are called. Other columns of docs play no part.
 
-    Null text is empty: nothing removed, digest of the empty string. Texts shorter than LENGTH bytes stay whole. A null id comes before
+    Null text is empty: nothing removed, digest of the empty string. Texts shorter than LENGTH bytes stay whole, very long ones are taken in
+    overlapping pieces. A null id comes before
     all others. Rows with one id but different texts are different documents, in the order of a hash of the text; rows equal in both
     are the same document and get the same result. Empty table: no rows.
     """
     spark = docs.sparkSession
     count = partitions(spark)
+    along = [F.struct(*beside).alias("beside")] if beside else []
     keyed = docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-        *beside,
+        *along,
     )
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = count * max(1, min(4, -(-total // (count << 22))), -(-total // (count << 25)))
@@ -501,29 +526,31 @@ def remove(docs: DataFrame, text: str = "text", beside: tuple[str, ...] = ()) ->
                 kept.append(rest)
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", *beside)), pa.array(np.diff(off)), pa.array(removed), pa.array(n_spans), pa.array(digests, pa.string()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                [*(batch.column(c) for c in first), pa.array(np.diff(off)), pa.array(removed), pa.array(n_spans), pa.array(digests, pa.string()), pa.array(spans, kind), pa.array(kept, pa.binary())],
                 [f.name for f in schema],
             )
 
-    joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *beside, "text", "whole", "partly")
+    first = ["doc_id", "beside"] if beside else ["doc_id"]
+    joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *first[1:], "text", "whole", "partly")
     results = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>, kept binary")
-    schema = StructType([joined.schema["doc_id"], *(joined.schema[c] for c in beside), *results.fields])
+    schema = StructType([*(joined.schema[c] for c in first), *results.fields])
     return joined.mapInArrow(run, schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, and what remove() leaves of their texts; rows of which nothing but white space is left go.
 
-    What a cut leaves of a character of several bytes is left out, and n_chars, if there, is counted again.
+    What a cut leaves of a character of several bytes is left out, and n_chars, if there, is counted again. Null texts go; of equal rows all stay
+    or all go; an empty table gives no rows.
     """
     beside = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    rest = remove(docs, beside=beside).select("doc_id", *beside, "kept")
+    rest = remove(docs, beside=beside).select("doc_id", *(["beside"] if beside else []), "kept")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")]
-            columns = {c: batch.column(c) for c in ("doc_id", *beside)} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            columns = {c: batch.column("beside").field(k) for k, c in enumerate(beside)} | {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
     return rest.mapInArrow(run, docs.schema)

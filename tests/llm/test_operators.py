@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +112,10 @@ def test_suffix_dedup_equals_brute_force(spark, docs, hot, monkeypatch):
         spark.sparkContext.broadcast(None)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").distinct().collect()
     want = brute_repeats(sorted((tuple(r) for r in keyed), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
-    got = suffixdedup.remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    odd = clashing(docs, "doc", "text_hash", "kept", "whole", "n_bytes", "units", "beside")
+    got = suffixdedup.remove(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    rest = suffixdedup.cleaned(odd).collect()
+    assert set(rest[0].asDict()) == set(odd.columns) and all(r["kept"] == r["whole"] == r["doc"] == "clash" for r in rest)
     ids = collections.Counter(tuple(r) for r in got)
     expected = collections.Counter()
     for r in docs.select("doc_id", "text").collect():
@@ -165,6 +169,30 @@ def test_units_cover_every_string_once_in_pieces(monkeypatch):
         assert got == {(r, s): 1 for r in range(6) for s in range(off[r + 1] - off[r] - 99)}
 
 
+def test_suffix_dedup_trusts_no_digest(spark, docs, monkeypatch):
+    """Digests that are all alike: only bytes tell units and strings apart."""
+    same = lambda u: {**u, "digest": u["digest"] * np.uint64(0) + (u["n"].astype(np.uint64))}
+    plain = suffixdedup.units
+    monkeypatch.setattr(suffixdedup, "units", lambda flat, off: same(plain(flat, off)))
+    rows = docs.where("doc_id < 200").select("doc_id", "text").distinct()
+    keyed = rows.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text").collect()
+    x = [(r["text"] or "").encode() for r in keyed]
+    table = pa.table({"doc": [r["doc"] for r in keyed], "text_hash": [r["text_hash"] for r in keyed], "text": [t.decode() for t in x]})
+    # The mapper's own function, without Spark, as its Python would not see the change.
+    caught = {}
+    fake = type("Docs", (), {"mapInArrow": lambda self, run, schema: caught.setdefault("run", run)})()
+    suffixdedup.dealt(fake, 8)
+    texts = {(r["doc"], r["text_hash"]): t for r, t in zip(keyed, x, strict=True)}
+    n_again = 0
+    for blob in pa.Table.from_batches(caught["run"](iter(table.to_batches()))).to_pylist():
+        again = {k: np.frombuffer(blob[f"again_{k}"], suffixdedup._KINDS[k]) for k in suffixdedup._REPEATS}
+        for d, h, p, n in zip(*(again[k].tolist() for k in suffixdedup._REPEATS), strict=True):
+            piece = texts[d, h][p : p + n + suffixdedup.LENGTH - 1]
+            assert any(piece in t for key, t in texts.items() if key != (d, h)) or texts[d, h].count(piece) > 1
+            n_again += 1
+    assert n_again > 20
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffixdedup.remove(empty).count() == 0
 

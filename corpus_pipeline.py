@@ -6,11 +6,10 @@ kept or changed by what an operator says of its doc_id and text, so rows that ar
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotelens.lineage import new_folder, remove_folder
 from quotelens.llm import language, neardup, packing, quality, suffixdedup
 from quotelens.llm.frames import small_batches, table
 
@@ -35,12 +34,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows with one id, one. Rows without an id stay, one of each text."""
+    """Of each group of linked documents one row stays, that with the smallest doc_id; of equal rows, one. A document is a row's doc_id and text together, so rows that
+    share an id but not a text, or have none, are documents of their own. A null id comes last; ties go to the smaller hash of (doc_id, text).
+    """
     small_batches(spark)
-    docs = _columns(docs)
-    kept = neardup.link(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    rows = _columns(docs).withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    linked = neardup.link(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    kept = rows.join(first.select("row"), "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("kept"))
+    return kept.select("kept.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +53,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and place there."""
     small_batches(spark)
     return packing.pack(_columns(docs))
 
@@ -67,18 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if name == STAGES[-1][0]:
-            return out
-        if shared is None:  # tests without a cluster
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="spark-pipeline-")
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """All stages over documents, each written as Parquet in the shared folder and read again. What a stage has read is taken away once its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut  # noqa: F401
+
 
 #: Rows of texts that a Python worker gets at once. Spark's default of 10,000 makes batches of tens of MB of documents of usual size,
 #: which the executor and each of its workers hold several times over.
@@ -14,7 +14,7 @@ BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """For jobs over texts: lower the session's Arrow batches to BATCH_ROWS, unless they are smaller already."""
+    """For jobs over texts: lower the session's Arrow batches to BATCH_ROWS, unless they are smaller already. The setting stays, as Spark asks for it when the lazy job runs."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -25,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

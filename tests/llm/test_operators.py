@@ -365,7 +365,8 @@ def test_neighbours_find_nearly_all(spark):
     rows += [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [float("nan")] * 16), (2080, [1.0, None] * 8), (2100, [1.0] * 3), (2101, [2.0] * 3), (None, [1.0] * 16)]
     want = exact(rows)
     got = collections.defaultdict(list)
-    for r in sorted(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    table = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "size", "shard", "block", "score", "rank", "ids")
+    for r in sorted(neighbours.search(table).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert len(got[r["query_id"]]) == r["rank"]
     assert set(got) == set(want)
@@ -381,6 +382,21 @@ def test_neighbours_find_nearly_all(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("least", "most", "shards"), [(300, 100_000, 4), (100, 400, 8)])
+def test_neighbours_in_several_shards(spark, monkeypatch, least, most, shards):
+    """Isotropic vectors, which no shard or centre favours: recall over shards kept to the number of partitions, and beyond it."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", least)
+    monkeypatch.setattr(neighbours, "SHARD_MOST", most)
+    x = np.random.default_rng(5).normal(size=(3000, 32)).astype(np.float32)
+    assert neighbours.shard_count(len(x), 4) == shards
+    want = exact([(i, v.astype(float).tolist()) for i, v in enumerate(x)])
+    got = collections.defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len({j for _, j in near} & got[q]) for q, near in want.items()) / (20 * len(want)) >= 0.95
+
+
 # 6
 
 

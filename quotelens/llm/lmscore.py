@@ -1,10 +1,15 @@
 """Language-model scores of whole texts by a log-bilinear model, trained in numpy by noise-contrastive estimation.
 
-Tokens: lower-case words and one end for each text. The model's outcomes are the WORDS most frequent training words, the end,
+Tokens: lower-case words and one end for each text. The model's outcomes are the most frequent training words, the end,
 and RARE classes of all other words (by their last two bytes); inside a class a word has probability (c + 1) / (N + V + 1) with
 the class's own N and V, where the 1 more is for words never seen. Outcome w after outcomes u, v has the score
 (C1 * R[v] + C2 * R[u]) . Q[w] + b[w]; the sums over outcomes are one matrix product for all pairs (u, v).
 
+The outcomes grow with the vocabulary, as 2 * sqrt(V): from LEAST to MOST of them, where three tables of MOST * MOST scores are what a Python
+worker may hold and work out. Training takes every training text once, in ROUNDS parts by hash: in each round all tasks learn from the same
+parameters, and their mean by tokens begins the next. So steps grow with the texts. Which texts a task learns from, in which order and
+with which noise, depends on how Spark deals the input to tasks: scores of another split of the same rows differ a little.
+
 Word counts cover all training texts. Words are told apart by 64-bit hashes. The FREQUENT words are broadcast, a bounded table; what
 concerns other words meets in hash buckets, as blobs, and comes back as sums for each document. Frequent words never get there,
 so no bucket is hot.
@@ -23,13 +28,14 @@ from pyspark.sql import functions as F
 from .bytesets import LOWER, hashes, mix, slices, utf8, words
 from .frames import cut, fold_of, partitions
 
-WORDS, RARE, SIZE = 896, 127, 32
-OUTCOMES = RARE + 1 + WORDS
-END, START = RARE, OUTCOMES  # START is a context only
+RARE, SIZE = 127, 32
+LEAST, MOST = 1024, 2048
+END = RARE
 FREQUENT = 1 << 16
-ROUNDS, NOISE, BATCH, STEP = 1, 128, 4096, 0.05
+ROUNDS, NOISE, BATCH, STEP = 3, 128, 4096, 0.05
 END_HASH = np.uint64(0x5851F42D4C957F2D)
-BLOCK = 1 << 25
+#: Text that a task takes together, and text whose rare words make a bucket.
+BLOCK, BUCKET = 1 << 25, 1 << 26
 #: Parameters of so many tasks are added up by one, level by level, until no more sums than this are left for the driver.
 SLOTS = 8
 
@@ -115,6 +121,11 @@ def summed(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, "top array<struct<hash: long, class: int, n: long>>, tokens array<long>, distinct array<long>")
 
 
+def outcome_count(distinct: int) -> int:
+    """128, 256, ... outcomes about 2 * sqrt(distinct words)."""
+    return min(MOST, max(LEAST, -(-int(2 * distinct**0.5) // 128) * 128))
+
+
 def vocabulary(docs: DataFrame, buckets: int) -> dict:
     """What of the counts all tasks need; its size is bounded by FREQUENT."""
     sums = cut(summed(counted(docs, buckets), buckets))
@@ -126,10 +137,11 @@ def vocabulary(docs: DataFrame, buckets: int) -> dict:
     h = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
     c, k = np.array([r["class"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
     outcome = c.copy()
-    named = np.flatnonzero(h != END_HASH)[:WORDS]
-    outcome[named] = END + 1 + np.arange(len(named))
     total, distinct = int(n.sum()), int(v.sum())
-    counts = np.zeros(OUTCOMES, np.int64)
+    size = outcome_count(distinct)
+    named = np.flatnonzero(h != END_HASH)[: size - RARE - 1]
+    outcome[named] = END + 1 + np.arange(len(named))
+    counts = np.zeros(size, np.int64)
     counts[: RARE + 1] = n
     np.subtract.at(n, c[named], k[named])
     np.subtract.at(v, c[named], 1)
@@ -137,9 +149,9 @@ def vocabulary(docs: DataFrame, buckets: int) -> dict:
     counts[outcome[named]] = k[named]
     by = np.argsort(h)
     # The log10 that stands for the words of a class: nothing for the end and the named words.
-    inside = np.zeros(OUTCOMES)
+    inside = np.zeros(size)
     inside[:RARE] = np.log10(n[:RARE] + v[:RARE] + 1)
-    return {"hash": h[by], "outcome": outcome[by], "count": k[by], "N": total, "V": distinct, "counts": counts, "inside": inside}
+    return {"size": size, "hash": h[by], "outcome": outcome[by], "count": k[by], "N": total, "V": distinct, "counts": counts, "inside": inside}
 
 
 def outcomes(model: dict, hashed: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -147,15 +159,14 @@ def outcomes(model: dict, hashed: np.ndarray, classes: np.ndarray) -> np.ndarray
     return np.where(there, model["outcome"][at], classes) if len(model["hash"]) else classes
 
 
-def contexts(outcome: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The outcomes one and two places before each token of its row."""
-    one, two = np.full(len(outcome), START), np.full(len(outcome), START)
+def contexts(outcome: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The outcomes one and two places before each token of its row; start where there is none."""
+    one, two = np.full(len(outcome), start), np.full(len(outcome), start)
     one[1:], two[2:] = outcome[:-1], outcome[:-2]
     heads = first[:-1]  # every row has its end at least
-    one[heads], two[heads] = START, START
+    one[heads], two[heads] = start, start
     next_ = heads + 1
-    two[next_[next_ < len(two)]] = START
-    two[heads] = START
+    two[next_[next_ < len(two)]] = start
     return one, two
 
 
@@ -166,14 +177,14 @@ def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     share = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
     return {
-        "R": rng.normal(0, 0.1, (OUTCOMES + 1, SIZE)).astype(np.float32),
-        "Q": rng.normal(0, 0.1, (OUTCOMES, SIZE)).astype(np.float32),
+        "R": rng.normal(0, 0.1, (len(counts) + 1, SIZE)).astype(np.float32),
+        "Q": rng.normal(0, 0.1, (len(counts), SIZE)).astype(np.float32),
         "C": np.ones((2, SIZE), np.float32) * np.array([[1.0], [0.6]], np.float32),
         "b": np.log(share).astype(np.float32),
     }
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _scatter(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct indices and the sums of their rows."""
     order = np.argsort(index, kind="stable")
     s = index[order]
@@ -194,9 +205,9 @@ def learn(p: dict, squares: dict, noise_log: np.ndarray, one: np.ndarray, two: n
     down = (w[:, None] / (1 + np.exp(np.clip(-doubt, -30, 30)))).astype(np.float32)
     g_pred = up[:, None] * q - down @ p["Q"][noise]
     moves = [
-        ("Q", *_scatter(np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted, -(down.T @ predicted)]), OUTCOMES)),
-        ("R", *_scatter(np.concatenate([one, two]), np.concatenate([g_pred * p["C"][0], g_pred * p["C"][1]]), OUTCOMES + 1)),
-        ("b", *_scatter(np.concatenate([target, noise]), np.concatenate([up, -down.sum(0)]), OUTCOMES)),
+        ("Q", *_scatter(np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted, -(down.T @ predicted)]))),
+        ("R", *_scatter(np.concatenate([one, two]), np.concatenate([g_pred * p["C"][0], g_pred * p["C"][1]]))),
+        ("b", *_scatter(np.concatenate([target, noise]), np.concatenate([up, -down.sum(0)]))),
     ]
     g_c = np.stack([(g_pred * r1).sum(0), (g_pred * r2).sum(0)])
     for name, at, g in moves:
@@ -214,7 +225,9 @@ def trained(docs: DataFrame, model: dict) -> dict[str, np.ndarray]:
     noise_share = (model["counts"] + 0.5) ** 0.75
     noise_share /= noise_share.sum()
 
-    for _ in range(ROUNDS):
+    size = model["size"]
+    for number in range(ROUNDS):
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number) if ROUNDS > 1 else docs
         sent = spark.sparkContext.broadcast((model, p))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,23 +235,23 @@ def trained(docs: DataFrame, model: dict) -> dict[str, np.ndarray]:
             p = {k: v.copy() for k, v in start.items()}
             squares = {k: np.zeros_like(v) for k, v in p.items()}
             noise_log = np.log(noise_share).astype(np.float32)
-            rng = np.random.default_rng(TaskContext.get().partitionId())
+            rng = np.random.default_rng([number, TaskContext.get().partitionId()])
             seen = 0
             for batch in batches:
-                for part in slices(batch, "text", 1 << 22):
-                    h, c, first = tokens(*utf8(part.column("text")))
+                for rows in slices(batch, "text", 1 << 22):
+                    h, c, first = tokens(*utf8(rows.column("text")))
                     if not len(h):
                         continue
                     w = outcomes(model, h, c)
-                    one, two = contexts(w, first)
-                    key, n = np.unique((two * (OUTCOMES + 1) + one) * OUTCOMES + w, return_counts=True)
+                    one, two = contexts(w, first, size)
+                    key, n = np.unique((two * (size + 1) + one) * size + w, return_counts=True)
                     mixed = rng.permutation(len(key))
                     key, n = key[mixed], n[mixed]
-                    target, pair = key % OUTCOMES, key // OUTCOMES
-                    noise = rng.choice(OUTCOMES, (-(-len(key) // BATCH), NOISE), p=noise_share)
+                    target, pair = key % size, key // size
+                    noise = rng.choice(size, (-(-len(key) // BATCH), NOISE), p=noise_share)
                     for i, at in enumerate(range(0, len(key), BATCH)):
                         s = slice(at, at + BATCH)
-                        learn(p, squares, noise_log, pair[s] % (OUTCOMES + 1), pair[s] // (OUTCOMES + 1), target[s], n[s].astype(np.float32), noise[i])
+                        learn(p, squares, noise_log, pair[s] % (size + 1), pair[s] // (size + 1), target[s], n[s].astype(np.float32), noise[i])
                     seen += len(w)
             if seen:
                 yield pa.RecordBatch.from_arrays(
@@ -254,7 +267,7 @@ def trained(docs: DataFrame, model: dict) -> dict[str, np.ndarray]:
             return pa.table({"slot": pa.array([group.column("slot")[0].as_py()], pa.int32()), "weight": pa.array([float(sum(group.column("weight").to_pylist()))]), "sums": pa.array([total.tobytes()], pa.binary())})
 
         kind = "slot int, weight double, sums binary"
-        left, sums = docs.rdd.getNumPartitions(), docs.mapInArrow(run, kind)
+        left, sums = part.rdd.getNumPartitions(), part.mapInArrow(run, kind)
         while left > SLOTS:
             sums = sums.withColumn("slot", F.expr(f"slot div {SLOTS}").cast("int")).groupBy("slot").applyInArrow(add, kind)
             left = -(-left // SLOTS)
@@ -263,9 +276,9 @@ def trained(docs: DataFrame, model: dict) -> dict[str, np.ndarray]:
             mean = sum(np.frombuffer(r["sums"], np.float64) for r in parts) / sum(r["weight"] for r in parts)
             at = 0
             for k, shape in shapes:
-                size = int(np.prod(shape))
-                p[k] = mean[at : at + size].reshape(shape).astype(np.float32)
-                at += size
+                n = int(np.prod(shape))
+                p[k] = mean[at : at + n].reshape(shape).astype(np.float32)
+                at += n
     return p
 
 
@@ -353,7 +366,8 @@ def score(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     learn_from: condition on the rows to learn from. Null text is empty: one token, the end. Nothing to learn from: train_tokens 0
-    and a uniform model over what it knows, that is log10(1 / 1) for the base. Repeated rows get the same scores. Empty table: no rows.
+    and a uniform model over what it knows, that is log10(1 / 1) for the base. Repeated rows get the same scores. A very long text is scored
+    whole. Other columns of docs play no part. Empty table: no rows.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -362,7 +376,8 @@ def score(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         (F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))).alias("learnt"),
     ).withColumn("text_hash", F.xxhash64("text"))
-    buckets = partitions(spark)
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-total // BUCKET))
     learning = keyed.where("learnt").select("text")
     model = vocabulary(learning, 4 * buckets)
     p = trained(learning, model)
@@ -382,7 +397,7 @@ def score(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
                 h, c, first = tokens(*utf8(part.column("text")))
                 at, there = look_up(model["hash"], h)
                 w = outcomes(model, h, c)
-                one, two = contexts(w, first)
+                one, two = contexts(w, first, model["size"])
                 chosen = (near[one, w] + far[two, w] - sums[one, two]) / np.log(10) - inside[w]
                 local = np.where(there, logs[at], 0.0) if len(logs) else np.zeros(len(h))
                 add_up = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]  # noqa: E731, B023

@@ -205,7 +205,7 @@ def test_base_scores_equal_brute_force_and_model_beats_them(docs, corpus):
     c = collections.Counter(w for i, ws in texts if fold(i, 7) not in (None, 2) for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted(((i, fold(i, 7) == 2, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 5)) for i, ws in texts), key=str)
-    got = lmscore.op3(docs).collect()
+    got = lmscore.op3(clashing(docs, "doc", "text_hash", "learnt", "score", "rows", "held_out")).collect()
     assert sorted(((*tuple(r)[:5], round(r["base_score"], 5)) for r in got), key=str) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
@@ -213,12 +213,56 @@ def test_base_scores_equal_brute_force_and_model_beats_them(docs, corpus):
 
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
-    p = lmscore.fresh(rng.integers(0, 50, lmscore.OUTCOMES))
+    p = lmscore.fresh(rng.integers(0, 50, 1024))
     near, far, sums = lmscore.tables(p)
-    for one, two in ((3, 9), (lmscore.START, lmscore.START)):
+    for one, two in ((3, 9), (1024, 1024)):
         assert np.exp(near[one] + far[two] - sums[one, two]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_equal_brute_force(spark, corpus):
+    """Every token's probability by the definition: a softmax over all outcomes, and for words without an outcome of their own their share of the class."""
+    docs = spark.createDataFrame([r for r in corpus if not r[1] or len(r[1]) < 3000], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    learning = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    model = lmscore.vocabulary(learning, 16)
+    p = {k: v.astype(float) for k, v in lmscore.trained(learning, model).items()}
+    size, named = model["size"], dict(zip(model["hash"].tolist(), model["outcome"].tolist(), strict=True))
+    words = lambda t: WORD.findall((t or "").translate(LOWER))
+    counts = collections.Counter(w for r in docs.collect() for w in words(r["text"]))
+
+    def outcome(word):
+        raw = word.encode()
+        own = named.get(int(hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), lower=True)[0]))
+        return (raw[-1] * 31 + raw[-2 if len(raw) > 1 else -1] * 7) % lmscore.RARE if own is None or own < lmscore.RARE else own
+
+    members = collections.defaultdict(list)
+    for w in counts:
+        members[outcome(w)].append(w)
+    softmax = {}
+    got = lmscore.score(docs).collect()
+    want = collections.defaultdict(list)
+    for r in docs.collect():
+        u = v = size
+        total = 0.0
+        for w in [*words(r["text"]), None]:
+            k = lmscore.END if w is None else outcome(w)
+            if (u, v) not in softmax:
+                z = (p["C"][0] * p["R"][v] + p["C"][1] * p["R"][u]) @ p["Q"].T + p["b"]
+                softmax[u, v] = z - np.log(np.exp(z - z.max()).sum()) - z.max()
+            total += softmax[u, v][k] / math.log(10)
+            if k < lmscore.RARE:
+                total += math.log10((counts[w] + 1) / (sum(counts[x] for x in members[k]) + len(members[k]) + 1))
+            u, v = v, k
+        want[r["doc_id"]].append(total)
+    assert len(got) == docs.count()
+    for r in got:
+        assert any(r["score"] == pytest.approx(x, rel=2e-3, abs=2e-3) for x in want[r["doc_id"]])
+
+
+def test_outcomes_grow_with_the_vocabulary():
+    sizes = [lmscore.outcome_count(v) for v in (0, 100_000, 400_000, 700_000, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == sizes[1] == lmscore.LEAST < sizes[2] < sizes[3] < sizes[4] == lmscore.MOST
+
+
 def test_scores_of_nothing_and_from_nothing(docs, empty):
     assert lmscore.op3(empty).count() == 0
     untaught = lmscore.score(docs, F.lit(False)).collect()

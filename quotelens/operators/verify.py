@@ -102,12 +102,13 @@ def with_hits(claims: DataFrame, indexed: DataFrame) -> DataFrame:
 
     One shuffle, by block: the grouping by claim that picks the first chunk keeps the partitioning of the join.
     """
-    chunk = indexed.select("request_id", "block_no", "path", "ord", "part", "first_line", "is_code", "norm", "starts")
+    unit = F.col("unit") if "unit" in indexed.columns else F.lit(None).cast("string")
+    chunk = indexed.select("request_id", "block_no", "path", "ord", "part", "first_line", "is_code", "norm", "starts", unit.alias("unit"))
     rest = [c for c in claims.columns if c not in ("request_id", "block_no", "claim_no")]
     rows = claims.join(chunk, ["request_id", "block_no"], "left").withColumn("at", found_at(F.col("norm"), F.col("search")))
     found = F.col("at") > 0
     line = F.when(found, F.col("first_line") + quote_line(F.col("at"), F.col("starts")))
-    rows = rows.select("request_id", "block_no", "claim_no", F.struct(*rest).alias("own"), F.when(found, F.struct("ord", "part")).alias("order"), F.struct("path", "is_code", F.struct("ord", line.alias("line")).alias("pos")).alias("place"))
+    rows = rows.select("request_id", "block_no", "claim_no", F.struct(*rest).alias("own"), F.when(found, F.struct("ord", "part")).alias("order"), F.struct("path", "is_code", "unit", F.struct("ord", line.alias("line")).alias("pos")).alias("place"))
     return rows.groupBy("request_id", "block_no", "claim_no").agg(F.first("own").alias("own"), F.min_by("place", "order").alias("hit")).select("request_id", "block_no", "claim_no", "own.*", "hit")
 
 
@@ -123,7 +124,7 @@ def _subset(part: Column, whole: Column) -> Column:
 def verify(claims: DataFrame, chunks: DataFrame, requests: DataFrame, unit: str = "línea") -> DataFrame:
     """claims with path, location, pos, quote as shown, and reason: null if verified, otherwise the first check that fails.
 
-    chunks (request_id, block_no, path, ord, part, first_line, lines, is_code) and claims meet by block, whose size the budget bounds; numbers
+    chunks (request_id, block_no, path, ord, part, first_line, lines, is_code, and unit where locations of a file have one of their own) and claims meet by block, whose size the budget bounds; numbers
     and words are looked at only where the quote has been found. Bullets that say nothing is stated have the reason SKIPPED.
     """
     asked = requests.select("request_id", "question")
@@ -153,6 +154,6 @@ def verify(claims: DataFrame, chunks: DataFrame, requests: DataFrame, unit: str
     return out.select(
         "request_id", "block_no", "claim_no", "claim", F.col("shown").alias("quote"), "reason",
         F.when(ok, F.col("hit.path")).alias("path"),
-        F.when(ok, F.concat(F.lit(unit + " "), (F.col("hit.pos.line") + 1).cast("string"))).alias("location"),
+        F.when(ok, F.concat(F.coalesce("hit.unit", F.lit(unit)), F.lit(" "), (F.col("hit.pos.line") + 1).cast("string"))).alias("location"),
         F.when(ok, F.col("hit.pos")).alias("pos"),
     )

@@ -127,8 +127,7 @@ def _search(text: str, quote: str) -> str:
     return f"CASE WHEN contains({text}, {quote}) AND regexp_matches({text}, {pattern}) THEN regexp_extract({text}, {pattern}, 1) END"
 
 
-VERDICTS = f"""{CLAIMS},
-  docs AS (SELECT request_id, path, is_code, {split("text")} AS lines FROM ({CHUNK_TABLE}) c),
+_VERDICTS = f"""
   flat AS (SELECT request_id, path, is_code, i AS line, {norm("lines[i]")} AS t FROM docs, unnest(range(1, len(lines) + 1)) u(i)),
   filled AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY request_id ORDER BY line) - length(t) - 1 AS start FROM flat WHERE t <> ''),
   indexed AS (SELECT request_id, path, is_code, string_agg(t, ' ' ORDER BY line) AS norm FROM filled GROUP BY ALL),
@@ -151,6 +150,11 @@ VERDICTS = f"""{CLAIMS},
       WHEN NOT is_code AND NOT {touching("question_words", "quote_words")} THEN 'cita_ajena'
     END AS reason FROM weighed),
   tally AS (SELECT request_id, reason, count(*) AS n FROM (SELECT request_id, reason FROM verdicts WHERE reason <> {q(SKIPPED)} UNION ALL SELECT request_id, 'sin_formato' FROM unformatted) GROUP BY ALL)"""
+VERDICTS = f"""{CLAIMS},
+  docs AS (SELECT request_id, path, is_code, {split("text")} AS lines FROM ({CHUNK_TABLE}) c),{_VERDICTS}"""
+_SQUEEZED = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, {q(SPACES + '+')}, ' ', 'g'))), lambda x: x <> '')"
+OFFICE_VERDICTS = f"""{CLAIMS},
+  docs AS (SELECT doc_id AS request_id, concat(doc_id::VARCHAR, '.docx') AS path, false AS is_code, {_SQUEEZED} AS lines FROM documents),{_VERDICTS}"""
 
 _OWN = [r for r in REASONS if r != "sin_formato"]
 _REPORT = f"""
@@ -239,6 +243,12 @@ ORACLE = {
     "read_cases": f"SELECT case_id::VARCHAR AS file, concat('¿', expected) AS question, type, CASE WHEN type = 'sin_respuesta' THEN '' ELSE expected END AS expected FROM ({CASES})",
     "write_outputs": f"""WITH {VERDICTS}, kept AS (SELECT DISTINCT request_id, path, {norm("shown")} AS t FROM verdicts WHERE reason IS NULL)
         SELECT 'reports' AS output, count(*) AS n FROM ({QUESTIONS}) UNION ALL SELECT 'verified', count(*) FROM kept UNION ALL SELECT 'rejections', count(*) FROM tally UNION ALL SELECT 'dumps', count(*) FROM ({REPORTS})""",
+    "unread_report": f"""WITH r AS ({REQUESTS}), f AS ({FILES}),
+        u AS (SELECT request_id, string_agg(concat('- ', path, ': ', reason), chr(10) ORDER BY ord) AS listed, string_agg(concat(path, ': ', reason), '; ' ORDER BY ord) AS reasons, count(*) AS n FROM
+          (SELECT *, CASE WHEN doc_id % 11 = 5 THEN 'no existe' WHEN content IS NULL THEN {q(INVALID)} WHEN doc_id % 7 = 3 THEN {q(BINARY)} END AS reason FROM f) WHERE reason IS NOT NULL GROUP BY request_id),
+        a AS (SELECT request_id, count(*) AS n FROM f GROUP BY ALL)
+        SELECT r.request_id, concat_ws(chr(10) || chr(10), {q(NOTHING)}, 'Archivos no leídos:' || chr(10) || listed) AS report, CASE WHEN u.n = a.n THEN reasons END AS reasons FROM r JOIN a USING (request_id) LEFT JOIN u USING (request_id)""",
+    "office_report": f"WITH {OFFICE_VERDICTS} SELECT request_id, claim_no, shown AS quote, reason, CASE WHEN reason IS NULL THEN path END AS path, CASE WHEN reason IS NULL THEN concat('párrafo ', line::VARCHAR) END AS location FROM verdicts",
     "verify_stream": f"WITH {VERDICTS} SELECT reason, count(*) AS n FROM (SELECT reason FROM verdicts UNION ALL SELECT 'sin_formato' FROM unformatted) GROUP BY ALL",
 }
 

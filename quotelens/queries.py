@@ -15,7 +15,7 @@ from . import fixtures as fx
 from .functions.numbers import numeric_values as numbers_of
 from .functions.text import clean_quote, content_words, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
 from .lineage import new_folder
-from .jobs.grounded import to_reports, to_summary
+from .jobs.grounded import to_prompts, to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from .sources import files, sinks
 from .streaming.verification import verify_stream as start_stream
@@ -329,11 +329,36 @@ def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out/verdicts").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def unread_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over requests of twenty files each, of which some are binary and some are not there: reports name them, with their reasons."""
+    rows = fx.derived(spark, sf_dir, fx.FILES)
+    paths = rows.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("paths"))
+    requests = fx.derived(spark, sf_dir, fx.REQUESTS).join(paths, "request_id")
+    content = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("a\0"), F.col("content"))).otherwise(F.col("content"))
+    documents, unreadable = files.extract(rows.where("doc_id % 11 <> 5").select("path", content.cast("binary").alias("content")))
+    work = to_prompts(requests, documents, unreadable=unreadable)
+    responses = work.blocks.select("request_id", "block_no", F.lit("NO CONSTA").alias("content"))
+    reports = to_reports(responses, work.chunks, requests, work.unread).reports
+    return reports.join(work.failed, "request_id", "left").select("request_id", "report", "reasons")
+
+
+def office_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over Word files: locations are paragraphs."""
+    docs = fx.documents(spark, sf_dir)
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".docx"))
+    documents, unreadable = files.extract(docs.select(path.alias("path"), _docx("text").alias("content")))
+    questions = fx.derived(spark, sf_dir, fx.QUESTIONS)
+    requests = questions.withColumn("paths", F.array(F.concat(F.col("request_id").cast("string"), F.lit(".docx"))))
+    work = to_prompts(requests, documents, unreadable=unreadable)
+    return verify.verify(_claims(spark, sf_dir), work.chunks, questions).select("request_id", "claim_no", "quote", "reason", "path", "location")
+
+
 NAMES = """
     text_lines html_lines office_lines extract wrapped_files large_sources request_budget chunk_lines pack_blocks build_blocks
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
+    unread_report office_report
 """.split()
 
 

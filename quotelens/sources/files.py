@@ -19,6 +19,7 @@ from ..functions.text import extension, lines
 # Locations, reasons, bytes looked at for a NUL, the largest member of a zip file.
 LINE, PARAGRAPH = "línea", "párrafo"
 BINARY, INVALID, TOO_LARGE = "formato binario no soportado", "no es un documento válido", "es demasiado grande para leerlo"
+MISSING = "no existe"
 PROBE, MEMBER_MOST = 8192, 50 * 1024 * 1024
 # HTML tags that break lines, that add a space, that have no text.
 BREAKING = frozenset("""
@@ -202,8 +203,17 @@ def office_lines(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, content of files, folders or patterns."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    """path, content of files, folders or patterns. What is not there has no row; the requests that name it get the reason MISSING."""
+
+    def there(path: str) -> bool:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+        return found is not None and len(found) > 0
+
+    some = [p for p in paths if there(p)]
+    if not some:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(some).select("path", "content")
 
 
 CASE = "archivo string, pregunta string, tipo string, esperado array<string>"

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quotelens.jobs.grounded import Profile, to_prompts, to_reports
+from quotelens.jobs.grounded import Profile, split_known, to_prompts, to_reports
 from quotelens.operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from quotelens.sources import files
 from quotelens.sources.sinks import write_outputs
@@ -271,3 +271,58 @@ def test_packing_by_ranges_equals_packing_in_one_go(spark, monkeypatch):
     for size in (5, 1024):
         monkeypatch.setattr(chunking, "RANGE", size)
         assert {(r["request_id"], r["ord"], r["part"]): r["block_no"] for r in chunking.pack_blocks(chunks, 100).collect()} == want
+
+
+def test_readers_of_the_callers_own(spark):
+    def shouting(content: bytes) -> list[str]:
+        if content == b"bad":
+            raise ValueError("no pages")
+        return content.decode().upper().split("|")
+
+    rows = spark.createDataFrame([("a.pdf", b"one|two"), ("b.PDF", b"bad"), ("c.md", b"plain"), ("d.pdf", None)], "path string, content binary")
+    good, bad = files.extract(rows, {**files.READERS, ".pdf": (shouting, "p.")})
+    assert {r["path"]: (r["lines"], r["unit"]) for r in good.collect()} == {"a.pdf": (["ONE", "TWO"], "p."), "c.md": (["plain"], "línea")}
+    assert {r["path"]: r["reason"] for r in bad.collect()} == {"b.PDF": "no se pudo extraer el texto (ValueError)", "d.pdf": files.INVALID}
+
+
+def test_unread_files_and_units_reach_the_report(spark, tmp_path):
+    (tmp_path / "ley.md").write_text("\n".join(DOC))
+    (tmp_path / "x.bin").write_bytes(b"a\0b")
+    found, unreadable = files.extract(files.read_files(spark, f"{tmp_path}/ley.md", f"{tmp_path}/x.bin", f"{tmp_path}/absent.md"))
+    short = F.concat(F.lit(""), F.element_at(F.split("path", "/"), -1)).alias("path")
+    documents, unreadable = found.select(short, "lines", F.lit("párrafo").alias("unit")), unreadable.select(short, "reason")
+    requests = spark.createDataFrame([(1, "¿Cuándo se reúne la junta?", ["x.bin", "ley.md", "absent.md"]), (2, "¿junta?", ["x.bin"])], "request_id long, question string, paths array<string>")
+    work = to_prompts(requests, documents, unreadable=unreadable)
+    assert sorted((r["request_id"], r["ord"], r["path"], r["reason"]) for r in work.unread.collect()) == [(1, 0, "x.bin", files.BINARY), (1, 2, "absent.md", "no existe"), (2, 0, "x.bin", files.BINARY)]
+    assert [(r["request_id"], r["reasons"]) for r in work.failed.collect()] == [(2, f"x.bin: {files.BINARY}")]
+    answers = spark.createDataFrame([(1, 0, f"- La junta se reúne dos veces al año\n{GOOD}")], "request_id long, block_no int, content string")
+    done = to_reports(answers, work.chunks, requests, work.unread)
+    report_of = {r["request_id"]: r["report"] for r in done.reports.collect()}
+    assert report_of[1].endswith(f"(ley.md:párrafo 1)\n\nArchivos no leídos:\n- x.bin: {files.BINARY}\n- absent.md: no existe")
+    assert report_of[2] == f"No consta en los documentos.\n\nArchivos no leídos:\n- x.bin: {files.BINARY}"
+    assert files.read_files(spark, f"{tmp_path}/nothing*").count() == 0
+
+
+def test_known_requests_are_not_asked_again(spark, tmp_path):
+    requests = spark.createDataFrame([(1, "¿Cuándo se reúne la junta?", ["ley.md"]), (2, "¿Quién vota?", ["ley.md"])], "request_id long, question string, paths array<string>")
+    work = to_prompts(requests, spark.createDataFrame([("ley.md", DOC)], "path string, lines array<string>"))
+    nothing = spark.createDataFrame([], "key string, report string, written_at timestamp")
+    first = split_known(work, requests, nothing)
+    assert first.hits.count() == 0 and first.prompts.count() == 2
+    reports = spark.createDataFrame([(1, "uno"), (2, "dos")], "request_id long, report string")
+    unformatted = spark.createDataFrame([(2, "sin_formato")], "request_id long, reason string")
+    for _ in range(2):  # a report that is appended again does no harm
+        reuse.append_store(reuse.to_store(first.misses, reports, unformatted, F.lit("2024-01-01 00:00:00").cast("timestamp")), f"{tmp_path}/store")
+    again = split_known(work, requests, spark.read.parquet(f"{tmp_path}/store"))
+    assert [(r["request_id"], r["report"]) for r in again.hits.collect()] == [(1, "uno")]
+    assert {r["request_id"] for r in again.prompts.collect()} == {2}
+
+
+def test_the_first_of_several_chunks_counts(spark):
+    """A block of four chunks, two of which hold the quote, and a document cut in parts: the first in order, and the line within the file."""
+    many = [f"relleno {k} de la norma" for k in range(6)]
+    rows = [(1, 0, "a.md", 0, 1, 0, many), (1, 0, "b.md", 1, 2, 3, [*many[:2], DOC[0]]), (1, 0, "b.md", 1, 1, 0, many[:3]), (1, 0, "c.md", 2, 1, 0, DOC), (1, 1, "a.md", 0, 2, 6, DOC)]
+    chunks = spark.createDataFrame(rows, "request_id long, block_no int, path string, ord int, part int, first_line int, lines array<string>").withColumn("is_code", F.lit(False))
+    claims = verify.parse_claims(spark.createDataFrame([(1, 0, f"- La junta se reúne dos veces al año\n{GOOD}")], "request_id long, block_no int, content string"))
+    got = verify.verify(claims, chunks, spark.createDataFrame([(1, "junta")], "request_id long, question string")).collect()
+    assert [(r["path"], r["location"], r["reason"]) for r in got] == [("b.md", "línea 6", None)]

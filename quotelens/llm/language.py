@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bytesets import LOWER, slices, utf8
-from .frames import fold_of
+from .frames import fold_of, tidy
 
 #: Bounds of the sample that the automata are fitted on: documents for each language, bytes for each language and in all.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 64, 32_768, 262_144
@@ -33,7 +33,6 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 64, 32_768, 262_144
 MOST_LANGUAGES = 128
 LANE = 512
 _WORDLIKE = re.compile(r"[^\W\d_]")
-_MODELS: dict = {}
 
 
 def has_a_letter(text: str) -> bool:
@@ -196,13 +195,6 @@ def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.nda
     return out
 
 
-def _tables(model: dict) -> list[np.ndarray]:
-    """Made once for each Python worker, which keeps the broadcast model as long as it lives."""
-    if _MODELS.get("of") is not model:
-        _MODELS.update(of=model, tables=[walker(*edges, model["classes"], model["width"]) for edges in model["edges"]])
-    return _MODELS["tables"]
-
-
 def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; other columns play no part.
 
@@ -229,7 +221,7 @@ def _predict(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        tables = _tables(model)
+        tables = [walker(*edges, model["classes"], model["width"]) for edges in model["edges"]]
         langs = np.array([*model["langs"], "und"], object)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -252,7 +244,7 @@ def _predict(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
                     [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import BASE, grams, hashes, mix, slices, utf8, words
-from .frames import cut
+from .frames import cut, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -74,7 +74,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, tidy
 
 CAPACITY = 2048
 END = 0
@@ -150,7 +150,7 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABUL
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
     )
 
 
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY, text
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import SPACE, grams, hashes, mix, slices, utf8, whole, words
+from .frames import tidy
 
 #: The classifier is fitted on at most so many labelled documents of each class, those with the smallest hashes of their ids, and of these on whole
 #: texts of at most so many bytes together (longer texts teach nothing).
@@ -197,7 +198,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 _, failed, p = verdicts(sent.value, part.column("text"))
                 yield part.filter(pa.array(~failed & (p >= KEEP_FROM)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -220,4 +221,4 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
                     ["doc_id", *c, "base_failed", "kept", "probability"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")

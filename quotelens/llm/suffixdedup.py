@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bytesets import BASE, mix, utf8
-from .frames import cut, partitions
+from .frames import cut, partitions, tidy
 
 LENGTH = 100
 K = 32
@@ -139,7 +139,7 @@ def _firsts(u: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
-def same_bytes(flat: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, asked: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+def same_bytes(flat: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, asked: np.ndarray, most: int = 1 << 19) -> np.ndarray:
     """Whether the `sizes` bytes from place one and from place two on are equal, for what is asked."""
     out = np.zeros(len(one), bool)
     which = np.flatnonzero(asked)
@@ -208,7 +208,7 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield rows(held, np.concatenate(texts))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def judged(blobs: DataFrame) -> DataFrame:
@@ -239,15 +239,16 @@ def judged(blobs: DataFrame) -> DataFrame:
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Places of t in the order of their first `depth` symbols at least (symbols below 512, 0 ends a text)."""
+    """Places of t in the order of their first `depth` symbols at least (symbols below 512, 0 ends a text). Ranks of parts that follow each other make the next key, three at once where they fit in 64 bits."""
     n = len(t)
     padded = np.concatenate([t, np.zeros(8, t.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = key << np.uint64(9) | padded[k : k + n]
     done = 7
+    parts = 3 if (n + 1) ** 3 < 2**64 else 2
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if done >= depth:
             return order
         s = key[order]
@@ -255,10 +256,12 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])).astype(np.uint64)
         if int(rank[order[-1]]) == n - 1:
             return order
-        after = np.zeros(n, np.uint64)
-        after[: n - done] = rank[done:] + np.uint64(1)
-        key = rank * np.uint64(n + 1) + after
-        done *= 2
+        key = rank.copy()
+        for j in range(1, parts):
+            after = np.zeros(n, np.uint64)
+            after[: max(0, n - done * j)] = rank[done * j :] + np.uint64(1)
+            key = key * np.uint64(n + 1) + after
+        done *= parts
 
 
 def classes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -396,7 +399,7 @@ def in_shards(rows: DataFrame) -> DataFrame:
         if held:
             yield from shard(held)
 
-    return rows.mapInArrow(run, "doc long, text_hash long, pos long, n long")
+    return rows.mapInArrow(tidy(run), "doc long, text_hash long, pos long, n long")
 
 
 def fetched(rows: DataFrame) -> DataFrame:
@@ -452,7 +455,7 @@ def fetched(rows: DataFrame) -> DataFrame:
         if held:
             yield from told_apart(held)
 
-    return rows.mapInArrow(run, "key long, second long, doc long, text_hash long, pos long, n long, bytes binary")
+    return rows.mapInArrow(tidy(run), "key long, second long, doc long, text_hash long, pos long, n long, bytes binary")
 
 
 def spans_of(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -534,7 +537,7 @@ def remove(docs: DataFrame, text: str = "text", beside: tuple[str, ...] = ()) ->
     joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *first[1:], "text", "whole", "partly")
     results = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>, kept binary")
     schema = StructType([*(joined.schema[c] for c in first), *results.fields])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -553,5 +556,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
             columns = {c: batch.column("beside").field(k) for k, c in enumerate(beside)} | {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
-    return rest.mapInArrow(run, docs.schema)
+    return rest.mapInArrow(tidy(run), docs.schema)
 

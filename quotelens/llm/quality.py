@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import SPACE, grams, hashes, mix, slices, utf8, whole, words
-from .frames import tidy
+from .frames import give_back, tidy
 
 #: The classifier is fitted on at most so many labelled documents of each class, those with the smallest hashes of their ids, and of these on whole
 #: texts of at most so many bytes together (longer texts teach nothing).
@@ -112,17 +112,20 @@ def train(texts: list[bytes], good: np.ndarray, rounds: int = 60, step: float =
     fit = np.arange(len(texts)) % 4 != 3
     if len(set(good[fit].tolist())) < 2 or len(set(good[~fit].tolist())) < 2:
         fit[:] = True
-    flat = np.frombuffer(b"".join(t for t, f in zip(texts, fit, strict=True) if f), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(t) for t, f in zip(texts, fit, strict=True) if f])]).astype(np.int64)
     y = good[fit].astype(float)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh the same
     # Each family as (code, row, frequency), equal codes of a row added up.
-    parts = []
-    for codes, first in features(flat, off):
-        row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-        key, n = np.unique(row.astype(np.int64) << BITS | codes, return_counts=True)
-        row = key >> BITS
-        parts.append((key & ((1 << BITS) - 1), row, n / np.maximum(1, np.diff(first))[row]))
+    found: list[list] = [[] for _ in FAMILIES]
+    base = 0
+    for flat, off in _runs([t for t, f in zip(texts, fit, strict=True) if f]):
+        for own, (codes, first) in zip(found, features(flat, off), strict=True):
+            row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+            key, n = np.unique(row.astype(np.int64) << BITS | codes, return_counts=True)
+            row = key >> BITS
+            own.append(((key & ((1 << BITS) - 1)).astype(np.int32), (row + base).astype(np.int32), (n / np.maximum(1, np.diff(first))[row]).astype(np.float32)))
+        base += len(off) - 1
+    parts = [tuple(np.concatenate(x) for x in zip(*own, strict=True)) for own in found]
+    del found
     model = {"bias": 0.0, "weights": [np.zeros(1 << BITS) for _ in FAMILIES]}
     squares = [np.full(1 << BITS, 1e-8) for _ in FAMILIES]
     for _ in range(rounds):
@@ -136,9 +139,20 @@ def train(texts: list[bytes], good: np.ndarray, rounds: int = 60, step: float =
             s += g * g
             w -= step / rounds * g / np.sqrt(s)
     rest = ~fit if (~fit).any() else fit
-    flat = np.frombuffer(b"".join(t for t, f in zip(texts, rest, strict=True) if f), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(t) for t, f in zip(texts, rest, strict=True) if f])]).astype(np.int64)
-    return model | dict(zip(("slope", "shift"), platt(logits(model, flat, off), good[rest].astype(float)), strict=True))
+    z = np.concatenate([logits(model, flat, off) for flat, off in _runs([t for t, f in zip(texts, rest, strict=True) if f])])
+    return model | dict(zip(("slope", "shift"), platt(z, good[rest].astype(float)), strict=True))
+
+
+def _runs(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts as flat arrays, about `most` bytes at once: what is made of them takes many times as much."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+            size += len(texts[to])
+            to += 1
+        yield np.frombuffer(b"".join(texts[at:to]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts[at:to]])]).astype(np.int64)
+        at = to
 
 
 def platt(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -177,6 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np
 def _fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The classifier as it is sent to the tasks: 3 * 2^BITS single-precision weights at most."""
     model = train(*labelled_sample(docs, labels))
+    give_back()
     return model and model | {"weights": [w.astype(np.float32) for w in model["weights"]]}
 
 

@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k"
 
 
 @lru_cache(maxsize=2)
-def _encoders(name: str):
+def encoders(name: str):
     """The JSON tokenizer, the same vocabulary as ranks, which is four times as fast, and the strings of the JSON one's added tokens, which the ranks lack."""
     import base64
     import os
@@ -45,7 +45,7 @@ def token_ids(text: str | None, name: str = VOCABULARY) -> np.ndarray:
     Both encoders give the same ids. Texts that hold an added token's string go to the JSON tokenizer, which makes that token of it, and so
     do characters beyond Latin letters, as the two may class letters by different Unicode versions.
     """
-    slow, fast, added = _encoders(name)
+    slow, fast, added = encoders(name)
     text = text or ""
     if any(x in text for x in added) or not text.isascii() and max(text) >= "ɐ":
         ids = slow.encode(text, add_special_tokens=False).ids

@@ -228,21 +228,28 @@ def aligned(docs: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFr
 
 
 class Block:
-    """Counts of a stripe: its first ids by all second ids."""
+    """Counts of a stripe: its first ids by all second ids, in one dense matrix, and which pairs of it are in use."""
 
     def __init__(self, first_size: int, second_size: int):
         self.counts = np.zeros((-(-first_size // STRIPES), second_size), np.int64)
+        self.used: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, pairs: np.ndarray, sizes: np.ndarray) -> None:
         np.add.at(self.counts, (pairs >> 16, pairs & 0xFFFF), sizes)
-
-    def cells(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that occur, and their counts."""
-        row, column = np.nonzero(self.counts)
-        return row << 16 | column, self.counts[row, column]
-
-    def clear(self, pairs: np.ndarray) -> None:
+        self.used.append(pairs)
+        self.held += len(pairs)
+        if self.held > 1 << 22:
+            self.used = [np.unique(np.concatenate(self.used))]
+            self.held = len(self.used[0]) // 2  # so that it is done again only after as many new ones
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs in use and their counts, which are zero from then on."""
+        pairs = np.unique(np.concatenate([*self.used, np.zeros(0, np.int64)]))
+        counts = self.counts[pairs >> 16, pairs & 0xFFFF]
         self.counts[pairs >> 16, pairs & 0xFFFF] = 0
+        self.used, self.held = [], 0
+        return pairs, counts
 
 
 _COUNTED = "stripe int, spot int, pairs binary, counts binary"
@@ -255,8 +262,7 @@ def _totals(counted: DataFrame, *keys: str, sizes: tuple[int, int]) -> DataFrame
         block, now = Block(*sizes), None
 
         def row() -> pa.RecordBatch:
-            pairs, counts = block.cells()
-            block.clear(pairs)
+            pairs, counts = block.take()
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[-1] if len(now) > 1 else 0], pa.int32()), pa.array([pairs.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["stripe", "spot", "pairs", "counts"])
 
         for batch in batches:
@@ -326,14 +332,17 @@ def scores(written: DataFrame, counts: DataFrame, first: str = FIRST, second: st
     dealt = postings.select("stripe", F.pmod(F.xxhash64("batch"), share).cast("int").alias("spot"), "batch", "pairs", null("binary").alias("counts"), "sizes", "texts", "times")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, best, filled = Block(*sizes), None, np.zeros(0, np.int64)
+        block, best = Block(*sizes), None
         for rows in batches:
             for row in rows.to_pylist():
                 if row["batch"] is None:  # the block comes first
-                    block.clear(filled)
-                    filled = np.frombuffer(row["pairs"], np.int64)
-                    block.add(filled, np.frombuffer(row["counts"], np.int64))
-                    best = block.counts.max(1)
+                    block.take()
+                    own, counted = np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64)
+                    block.add(own, counted)
+                    # Row maxima, of the cells in use: pairs are in order, so a row's cells stand together.
+                    ids, begins = np.unique(own >> 16, return_index=True)
+                    best = np.zeros(len(block.counts), np.int64)
+                    best[ids] = np.maximum.reduceat(counted, begins)
                     continue
                 pairs, of = np.cumsum(large(row["pairs"])), large(row["sizes"])
                 count = block.counts[pairs >> 16, pairs & 0xFFFF]

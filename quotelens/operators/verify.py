@@ -19,6 +19,7 @@ from ..functions.text import (
     strip,
     touches,
 )
+from .intervals import interval_join
 
 # Reasons for rejecting, in the order of reports, with their wording there.
 REASONS = {
@@ -97,6 +98,17 @@ def quote_line(at: Column, starts: Column) -> Column:
     return F.array_max(F.filter(starts, lambda s: s["start"] < at))["line"]
 
 
+def line_intervals(indexed: DataFrame, *keys: str) -> DataFrame:
+    """keys, line, start, end of every line of chunk_index()'s rows that has text: the places of norm (from 0) that are the line's, in long form."""
+    piece = lambda s, i: F.struct(s["line"].alias("line"), s["start"].alias("start"), F.coalesce(F.get("starts", i + 1)["start"], F.length("norm") + 1).alias("end"))
+    return indexed.select(*keys, F.inline(F.transform("starts", piece)))
+
+
+def quote_lines(hits: DataFrame, indexed: DataFrame, *keys: str) -> DataFrame:
+    """hits (keys, at from 0, ...) with the line that each lies in: quote_line() for places and lines as rows, where no row has a chunk's lines together."""
+    return interval_join(hits, line_intervals(indexed, *keys), list(keys)).drop("start", "end")
+
+
 def with_hits(claims: DataFrame, indexed: DataFrame) -> DataFrame:
     """claims (request_id, block_no, claim_no, search, ...) and hit: path, is_code and pos of the first chunk of the block that holds search; null if none does.
 

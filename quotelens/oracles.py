@@ -8,7 +8,7 @@ from .functions.text import CODE_EXTENSIONS, LEAST_COVERAGE, LEAST_WORD, LINE_EN
 from .operators.prompts import REMINDER, SYSTEM
 from .operators.report import NOTHING
 from .operators.verify import REASONS, SKIPPED
-from .sources.files import BREAKING, INVALID, BINARY
+from .sources.files import BINARY, BREAKING, INVALID, TOO_LARGE
 
 
 def q(text: str) -> str:
@@ -191,6 +191,8 @@ SCORED = f"""
   scored AS (SELECT *, error IS NULL AND CASE WHEN type = 'sin_respuesta' THEN starts_with(verified, 'No consta') AND NOT contains(report, 'sin el formato pedido') ELSE contains({norm("quotes")}, {norm("expected")}) END AS ok,
     coalesce(TRY_CAST(regexp_extract(report, 'Descartadas? ([0-9]+)', 1) AS BIGINT), 0) AS discarded, coalesce(TRY_CAST(regexp_extract(report, '([0-9]+) respuestas? sin el formato pedido', 1) AS BIGINT), 0) AS unformatted FROM quoted)"""
 
+_PASSAGES = f"a AS (SELECT item_id, {norm(clean('text'))} AS search FROM benchmark), d AS (SELECT doc_id, {norm('text')} AS norm FROM documents), h AS (SELECT item_id, doc_id, {_search('norm', 'search')} AS head FROM a JOIN d ON contains(norm, search) WHERE search <> '')"
+
 STATUS = "CASE doc_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'text outside the fence' WHEN 3 THEN 'not valid Python' WHEN 4 THEN 'stray expression' WHEN 5 THEN 'not valid Python' WHEN 6 THEN 'ok' ELSE 'empty' END"
 
 ORACLE = {
@@ -227,7 +229,7 @@ ORACLE = {
     "token_savings": f"""WITH RECURSIVE {BLOCKS}, d AS (SELECT request_id, sum({toks("content")})::BIGINT AS direct, sum(len(string_split(content, chr(10))))::BIGINT AS lines FROM files GROUP BY ALL), b AS (SELECT request_id, count(DISTINCT block_no) AS blocks FROM blocks GROUP BY ALL)
         SELECT request_id, direct, {toks("question")} AS reported, direct - {toks("question")} AS saved, CASE WHEN direct = 0 THEN 0.0 ELSE round(100.0::DOUBLE * (direct - {toks("question")}) / direct, 1) END AS percent, lines, blocks FROM d JOIN requests USING (request_id) JOIN b USING (request_id)""",
     "no_readable_input": f"WITH r AS ({REQUESTS}), f AS ({FILES}) SELECT request_id, string_agg(concat(path, ': no existe'), '; ' ORDER BY ord) AS reasons FROM r JOIN f USING (request_id) WHERE request_id % 80 <> 0 AND ord < 3 GROUP BY ALL",
-    "locate_in_corpus": f"""WITH a AS (SELECT item_id, {norm(clean("text"))} AS search FROM benchmark), d AS (SELECT doc_id, {norm("text")} AS norm FROM documents), h AS (SELECT item_id, doc_id, {_search("norm", "search")} AS head FROM a JOIN d ON contains(norm, search) WHERE search <> '')
+    "locate_in_corpus": f"""WITH {_PASSAGES}
         SELECT item_id, doc_id, (length(head) + 1)::INT AS position FROM h WHERE head IS NOT NULL""",
     "answer_key": f"WITH RECURSIVE {KEYS} SELECT request_id, key FROM keys",
     "split_cached": f"SELECT request_id, CASE WHEN request_id % 60 = 0 THEN concat('new ', question) END AS report FROM ({REQUESTS})",
@@ -249,6 +251,15 @@ ORACLE = {
         a AS (SELECT request_id, count(*) AS n FROM f GROUP BY ALL)
         SELECT r.request_id, concat_ws(chr(10) || chr(10), {q(NOTHING)}, 'Archivos no leídos:' || chr(10) || listed) AS report, CASE WHEN u.n = a.n THEN reasons END AS reasons FROM r JOIN a USING (request_id) LEFT JOIN u USING (request_id)""",
     "office_report": f"WITH {OFFICE_VERDICTS} SELECT request_id, claim_no, shown AS quote, reason, CASE WHEN reason IS NULL THEN path END AS path, CASE WHEN reason IS NULL THEN concat('párrafo ', line::VARCHAR) END AS location FROM verdicts",
+    "broken_files": f"""WITH t AS (SELECT doc_id, doc_id % 10 AS k, {_SQUEEZED} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+        SELECT doc_id, CASE WHEN k < 2 THEN len(p) END::INT AS n_lines, CASE WHEN k < 2 THEN sha256(array_to_string(p, chr(10))) END AS text, CASE WHEN k < 2 THEN 'párrafo' END AS unit,
+        CASE WHEN k = 5 THEN {q(TOO_LARGE)} WHEN k = 9 THEN 'no se pudo extraer el texto (LookupError)' WHEN k > 1 THEN {q(INVALID)} END AS reason FROM t""",
+    "big_file_lines": f"""WITH t AS (SELECT doc_id, {split("x")} AS p FROM (SELECT doc_id, concat(coalesce(text, ''), chr(10)) AS x FROM documents)),
+        l AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS n, p[i] AS text FROM t, unnest(range(1, len(p) + 1)) u(i)) SELECT n - 1 AS line_index, text, concat('línea ', n::VARCHAR) AS location FROM l""",
+    "quote_lines": f"WITH {VERDICTS} SELECT request_id, claim_no, path, (line - 1)::INT AS line FROM placed WHERE search <> '' AND head IS NOT NULL",
+    "passage_lines": f"""WITH {_PASSAGES}, f AS (SELECT doc_id, i, {norm("x[i]")} AS t FROM (SELECT doc_id, {split("text")} AS x FROM documents) y, unnest(range(1, len(x) + 1)) u(i)),
+        s AS (SELECT doc_id, i, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS start FROM f WHERE t <> '')
+        SELECT item_id, doc_id, (max(i) - 1)::INT AS line FROM h JOIN s USING (doc_id) WHERE head IS NOT NULL AND start <= length(head) GROUP BY ALL""",
     "verify_stream": f"WITH {VERDICTS} SELECT reason, count(*) AS n FROM (SELECT reason FROM verdicts UNION ALL SELECT 'sin_formato' FROM unformatted) GROUP BY ALL",
 }
 

@@ -18,6 +18,7 @@ from .lineage import new_folder
 from .jobs.grounded import to_prompts, to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from .sources import files, sinks
+from .sources.big import read_big_lines
 from .streaming.verification import verify_stream as start_stream
 
 
@@ -59,6 +60,68 @@ def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad.select("doc_id", "path", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("unit"), "reason"))
 
 
+def _zip(name: str, body: str, fault: str = "") -> bytes:
+    """A zip file with one member, sound or with one fault."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(name, body)
+    raw = bytearray(out.getvalue())
+    central, data = raw.rindex(b"PK\x01\x02"), 30 + len(name)
+    if fault == "damaged":
+        raw[data] = 0x07  # a kind of block that deflate doesn't have
+    elif fault == "encrypted":
+        raw[6] |= 1
+        raw[central + 8] |= 1
+    elif fault == "unknown method":
+        raw[8], raw[central + 10] = 99, 99
+    elif fault == "too large":
+        raw[central + 24 : central + 28] = (files.MEMBER_MOST + 1).to_bytes(4, "little")
+    return bytes(raw)
+
+
+def _word(text: str) -> str:
+    return f'<w:document xmlns:w="{files.WORD_NS[1:-1]}"><w:body>' + "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n")) + "</w:body></w:document>"
+
+
+def _odt(text: str) -> str:
+    return f'<o:doc xmlns:o="o" xmlns:t="{files.ODT_NS[1:-1]}">' + "".join(f"<t:p>{escape(x)}</t:p>" for x in text.split("\n")) + "</o:doc>"
+
+
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as office files, by turns sound (Word, then OpenDocument) and with each fault that an archive can have; all in one run. The caller's reader raises what no reader should."""
+    faults = ["", "", "damaged", "encrypted", "unknown method", "too large", "no archive", "no member", "no XML", "raises"]
+
+    @F.pandas_udf(BinaryType())
+    def made(turn: pd.Series, text: pd.Series) -> pd.Series:
+        def one(k: int, t: str | None) -> bytes:
+            t, fault = t or "", faults[k]
+            if k == 1:
+                return _zip("content.xml", _odt(t))
+            if fault in ("no archive", "raises"):
+                return t.encode()
+            return _zip("word/other.xml" if fault == "no member" else "word/document.xml", t if fault == "no XML" else _word(t), fault)
+
+        return pd.Series([one(int(k), t) for k, t in zip(turn, text, strict=True)])
+
+    def own(content: bytes) -> list[str]:
+        raise LookupError(len(content))
+
+    docs, turn = fx.documents(spark, sf_dir), (F.col("doc_id") % len(faults)).cast("int")
+    path = F.concat(F.col("doc_id").cast("string"), F.when(turn == 1, ".odt").when(turn == 9, ".own").otherwise(".docx"))
+    good, bad = files.extract(docs.select("doc_id", path.alias("path"), made(turn, F.col("text")).alias("content")), files.READERS | {".own": (own, files.LINE)})
+    good = good.select("doc_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("text"), "unit", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(bad.select("doc_id", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("unit"), "reason"))
+
+
+def big_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents one after the other in one text file, with line ends of three kinds by turns, read in splits and numbered over the whole file."""
+    folder = new_folder(spark, "big-file")
+    ends = F.when(F.col("doc_id") % 3 == 0, "\r\n").when(F.col("doc_id") % 3 == 1, "\u2028").otherwise("\n")
+    docs = fx.documents(spark, sf_dir).select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), ends).alias("value"))
+    docs.repartition(1).sortWithinPartitions("doc_id").select("value").write.text(folder)  # one file is what is wanted
+    return read_big_lines(spark, f"{folder}/*.txt").lines.select("line_index", "text", "location")
+
+
 def wrapped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.derived(spark, sf_dir, fx.FILES)
     whole = wrap(F.col("path"), F.col("content"))
@@ -196,6 +259,23 @@ def locate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("request_id", "claim_no", "hit.path", F.col("hit.pos.line").alias("line"))
 
 
+def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What locate_quotes gives, with places and lines as rows that meet in an interval join."""
+    claims = _claims(spark, sf_dir).withColumn("search", normalize(clean_quote(F.col("quote")))).where("search <> ''")
+    indexed = verify.chunk_index(_chunk_table(spark, sf_dir))
+    hits = claims.join(indexed.select("request_id", "block_no", "path", "norm"), ["request_id", "block_no"]).withColumn("at", verify.found_at(F.col("norm"), F.col("search")) - 1)
+    hits = hits.where("at >= 0").select("request_id", "block_no", "path", "claim_no", "at")
+    return verify.quote_lines(hits, indexed, "request_id", "block_no", "path").select("request_id", "claim_no", "path", "line")
+
+
+def passage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents in which the passages begin that locate_in_corpus finds."""
+    docs = fx.documents(spark, sf_dir)
+    hits = search.locate_in_corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs)
+    indexed = verify.chunk_index(docs.select("doc_id", lines(F.col("text")).alias("lines")))
+    return verify.quote_lines(hits.withColumn("at", F.col("position") - 1), indexed, "doc_id").select("item_id", "doc_id", "line")
+
+
 def _reports(spark: SparkSession, sf_dir: str):
     return to_reports(fx.derived(spark, sf_dir, fx.RESPONSES), _chunk_table(spark, sf_dir), fx.derived(spark, sf_dir, fx.QUESTIONS))
 
@@ -358,7 +438,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines
 """.split()
 
 

@@ -93,14 +93,26 @@ def read_html(content: bytes) -> list[str]:
     return _squeezed("".join(parser.out).split("\n"))
 
 
+class Unreadable(Exception):
+    """A file that a reader gives up on; the message is its reason."""
+
+
 def _member(content: bytes, name: str) -> ElementTree.Element:
+    """The XML in a zip file's member. Whatever is wrong with the archive (no zip file, member missing, encrypted, packed in an unknown way or damaged) or with the XML makes the file invalid."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            if z.getinfo(name).file_size > MEMBER_MOST:
-                raise ValueError(TOO_LARGE)
-            return ElementTree.fromstring(z.read(name))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError) as e:
-        raise ValueError(INVALID) from e
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        size = archive.getinfo(name).file_size
+    except Exception as e:  # noqa: BLE001
+        raise Unreadable(INVALID) from e
+    if size > MEMBER_MOST:
+        raise Unreadable(TOO_LARGE)
+    try:
+        packed = archive.read(name)
+        return ElementTree.fromstring(packed)
+    except (RecursionError, MemoryError):
+        raise
+    except Exception as e:  # noqa: BLE001
+        raise Unreadable(INVALID) from e
 
 
 def _paragraphs(root: ElementTree.Element, tags: set[str], render: Callable) -> Iterator[str]:
@@ -148,16 +160,17 @@ READERS: dict[str, tuple[Callable[[bytes], list[str]], str]] = {".html": (read_h
 
 
 def helper(readers: dict[str, Callable[[bytes], list[str]]]):
-    """Readers as one vectorized function of (extension, content) to struct<lines, reason>; whatever one raises becomes the reason. Null content gives nulls."""
+    """Readers as one vectorized function of (extension, content) to struct<lines, reason>; whatever one raises, or gives instead of a list of texts, becomes the reason. Null content gives nulls."""
 
     def one(kind, content):
         if content is None:
             return None, None
         try:
-            return readers[kind](bytes(content)), None
-        except (RecursionError, MemoryError, ValueError) as e:
-            own = str(e) in (BINARY, INVALID, TOO_LARGE)
-            return None, str(e) if own else f"no se pudo extraer el texto ({type(e).__name__})"
+            found = [None if x is None else str(x) for x in readers[kind](bytes(content))]
+            return [None if x is None else x.encode("utf-8", "replace").decode() for x in found], None
+        except Exception as e:  # noqa: BLE001
+            own = str(e) if isinstance(e, Unreadable) or str(e) in (BINARY, INVALID, TOO_LARGE) else ""
+            return None, own or f"no se pudo extraer el texto ({type(e).__name__})"
 
     @F.pandas_udf(RESULT)
     def run(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
@@ -202,18 +215,51 @@ def office_lines(files: DataFrame) -> DataFrame:
     return located(read.drop("unit"), "lines", PARAGRAPH)
 
 
-def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, content of files, folders or patterns. What is not there has no row; the requests that name it get the reason MISSING."""
-
+def _there(spark: SparkSession, paths: tuple[str, ...]) -> list[str]:
     def there(path: str) -> bool:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
         return found is not None and len(found) > 0
 
-    some = [p for p in paths if there(p)]
+    return [p for p in paths if there(p)]
+
+
+#: Bytes of a file that is read as one row: what such a row costs is a few times as much.
+ROW_MOST = 256 * 1024 * 1024
+
+
+def read_files(spark: SparkSession, *paths: str, most: int = ROW_MOST) -> DataFrame:
+    """path, content of files, folders or patterns, of files of at most so many bytes; larger ones have no row here (see read_documents()). What is not there has no row; the requests that name it get the reason MISSING."""
+    some = _there(spark, paths)
     if not some:
         return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(some).select("path", "content")
+    # The filter is pushed to the reader, which then doesn't open larger files.
+    return spark.read.format("binaryFile").load(some).where(F.col("length") <= most).select("path", "content")
+
+
+def too_large(spark: SparkSession, *paths: str, readers: dict | None = None, most: int = ROW_MOST) -> DataFrame:
+    """(path, reason) of files that are too large for a row and have a reader of their own, which takes a file whole. Lengths are listed; no content is read."""
+    kinds, some = list(READERS if readers is None else readers), _there(spark, paths)
+    if not some:
+        return spark.createDataFrame([], "path string, reason string")
+    large = spark.read.format("binaryFile").load(some).where(F.col("length") > most).select("path")
+    return large.where(extension(F.col("path")).isin(kinds)).select("path", F.lit(TOO_LARGE).alias("reason"))
+
+
+def read_documents(spark: SparkSession, *paths: str, readers: dict | None = None, most: int = ROW_MOST) -> tuple[DataFrame, DataFrame]:
+    """(lines, unreadable) of files of any size: lines (path, line_index long, text, location), reasons (path, reason).
+
+    Files of at most `most` bytes are read a row each, larger texts in splits by many tasks; a larger file of another format is TOO_LARGE. One bad file stops nothing.
+    """
+    from .big import read_big_lines
+
+    documents, bad = extract(read_files(spark, *paths, most=most), readers)
+    small = located(documents, "lines", F.col("unit")).select("path", F.col("line_index").cast("long").alias("line_index"), "text", "location")
+    some = _there(spark, paths)
+    if not some:
+        return small, bad
+    large = read_big_lines(spark, *some, above=most, without=list(READERS if readers is None else readers))
+    return small.unionByName(large.lines), bad.select("path", "reason").unionByName(too_large(spark, *paths, readers=readers, most=most)).unionByName(large.unreadable)
 
 
 CASE = "archivo string, pregunta string, tipo string, esperado array<string>"

@@ -78,6 +78,13 @@ SELECT d.doc_id AS case_id, m.model, v.variant, CASE (d.doc_id + m.i + v.i) % 5
   CAST(d.doc_id % 7 AS DOUBLE) AS seconds, CAST(1 + d.doc_id % 2 AS BIGINT) AS calls
 FROM {_DOCS} d CROSS JOIN (SELECT 'm1' AS model, 0 AS i UNION ALL SELECT 'm2', 1) m CROSS JOIN (SELECT 'end' AS variant, 0 AS i UNION ALL SELECT 'start', 2) v"""
 
+#: documents with one of their lines, from anywhere in the text.
+_DEEP = "(SELECT *, split_part(text, chr(10), CAST(1 + (doc_id * 7) % n AS INT)) AS line FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM {docs}))"
+#: A case for each document: what the first words of a line are followed by.
+EVALUATED = f"SELECT d.doc_id AS case_id, {PATH} AS file, concat({_words('d.line', 1, 9)}, '?') AS question, CASE d.doc_id % 3 WHEN 0 THEN 'dato' WHEN 1 THEN 'orientacion' ELSE 'sin_respuesta' END AS type, {_words('d.line', 3, 7)} AS expected FROM {_DEEP} d"
+#: The cases' files: some are not there, some are binary.
+EVALUATED_FILES = f"SELECT {PATH} AS path, CASE WHEN d.doc_id % 13 = 4 THEN concat('a', chr(0), d.text) ELSE d.text END AS content FROM {{docs}} d WHERE d.doc_id % 17 <> 3"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -34,9 +34,9 @@ def _cuts(costs: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else [{"begin": a, "end": b} for a, b in fill(np.asarray(c), int(m))] for c, m in zip(costs, limit, strict=True)])
 
 
-def request_budget(requests: DataFrame, window: int, output: int, reserve: int) -> tuple[DataFrame, DataFrame]:
-    """Requests with the tokens left for files, and those whose question leaves none, with the reason."""
-    left = requests.withColumn("question_tokens", tokens(F.col("question"))).withColumn("budget", F.lit(window - output - reserve) - F.col("question_tokens"))
+def request_budget(requests: DataFrame, window: int | Column, output: int | Column, reserve: int | Column) -> tuple[DataFrame, DataFrame]:
+    """Requests with the tokens left for files, and those whose question leaves none, with the reason. Sizes are numbers, or columns of requests."""
+    left = requests.withColumn("question_tokens", tokens(F.col("question"))).withColumn("budget", F.lit(window) - F.lit(output) - F.lit(reserve) - F.col("question_tokens"))
     no_room = left.where("budget <= 0").withColumn("reason", F.concat(F.lit("question takes "), F.col("question_tokens").cast("string"), F.lit(" tokens and leaves no room for files")))
     return left.where("budget > 0"), no_room
 

@@ -10,8 +10,15 @@ from ..functions.text import lines, normalize, strip
 NO_ANSWER = "sin_respuesta"
 
 
+#: Rows of a list of models or variants.
+LISTED = 10_000
+
+
 def run_matrix(cases: DataFrame, models: DataFrame, variants: DataFrame) -> DataFrame:
-    """Every case with every model and variant; both are lists that someone has written."""
+    """Every case with every model and variant; both are lists that someone has written, of LISTED rows at the most."""
+    for name, rows in (("models", models), ("variants", variants)):
+        if rows.limit(LISTED + 1).count() > LISTED:
+            raise ValueError(f"{name}: more than {LISTED} rows are no list to send to every task")
     return cases.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(variants))
 
 

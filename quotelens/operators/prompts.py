@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -24,17 +24,38 @@ OK, MALFORMED, REASONING_ONLY, EMPTY = "ok", "malformed", "reasoning only", "emp
 _ENVELOPE = "struct<choices: array<struct<message: struct<content: string, reasoning: string, reasoning_content: string>, finish_reason: string>>>"
 
 
-def route_model(blocks: DataFrame, code_model: str, document_model: str) -> DataFrame:
+#: Where a prompt has its question, by the variant's name.
+LAYOUTS: dict[str, Callable[[Column, Column], Column]] = {
+    "end": lambda files, question: F.concat(F.lit("Files:\n"), files, F.lit("\nQuestion: "), question, F.lit("\n" + REMINDER)),
+    "start": lambda files, question: F.concat(F.lit("Question: "), question, F.lit("\nFiles:\n"), files, F.lit("\n" + REMINDER)),
+}
+#: A table of profiles: code and documents have models of their own, and window, output, reserve and temperature in common.
+PROFILES = "profile string, document_model string, code_model string, window int, output int, reserve int, temperature double"
+
+
+def route_model(blocks: DataFrame, code_model: str | DataFrame, document_model: str | None = None) -> DataFrame:
+    """blocks with the model that reads them. With a table of profiles instead of a name: the model of the profile that each block names, with its output and temperature; a block that names none of them is left out."""
+    if isinstance(code_model, DataFrame):
+        blocks = blocks.join(code_model.select("profile", "document_model", "code_model", "output", "temperature"), "profile")
+        return blocks.withColumn("model", F.when(F.col("is_code"), F.col("code_model")).otherwise(F.col("document_model"))).drop("code_model", "document_model")
     return blocks.withColumn("model", F.when(F.col("is_code"), code_model).otherwise(document_model))
 
 
 def render_prompts(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     """blocks with system and user: files first, the question after them, then a reminder of the format."""
-    user = F.concat(F.lit("Files:\n"), F.col("text"), F.lit("\nQuestion: "), F.col("question"), F.lit("\n" + REMINDER))
-    return blocks.join(requests.select("request_id", "question"), "request_id").withColumn("system", F.lit(SYSTEM)).withColumn("user", user)
+    joined = blocks.join(requests.select("request_id", "question"), "request_id")
+    return joined.withColumn("system", F.lit(SYSTEM)).withColumn("user", LAYOUTS["end"](F.col("text"), F.col("question")))
+
+
+def laid_out(text: Column, question: Column, variant: Column) -> Column:
+    """The user's part of a prompt in the layout that its variant names; null for a name that is none."""
+    out = F.lit(None).cast("string")
+    for name, layout in LAYOUTS.items():
+        out = F.when(variant == name, layout(text, question)).otherwise(out)
+    return out
 
 
-def request_json(prompts: DataFrame, most_output: int, temperature: float) -> DataFrame:
+def request_json(prompts: DataFrame, most_output: int | Column, temperature: float | Column) -> DataFrame:
     """prompts (with model, system and user) and the body of a chat request."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
     body = F.struct(

@@ -109,15 +109,16 @@ def quote_lines(hits: DataFrame, indexed: DataFrame, *keys: str) -> DataFrame:
     return interval_join(hits, line_intervals(indexed, *keys), list(keys)).drop("start", "end")
 
 
-def with_hits(claims: DataFrame, indexed: DataFrame) -> DataFrame:
+def with_hits(claims: DataFrame, indexed: DataFrame, place: str = "request_id") -> DataFrame:
     """claims (request_id, block_no, claim_no, search, ...) and hit: path, is_code and pos of the first chunk of the block that holds search; null if none does.
 
-    One shuffle, by block: the grouping by claim that picks the first chunk keeps the partitioning of the join.
+    One shuffle, by block: the grouping by claim that picks the first chunk keeps the partitioning of the join. `place`: what names the chunks' blocks, where
+    several requests share them: that column of claims, and request_id of the chunks.
     """
     unit = F.col("unit") if "unit" in indexed.columns else F.lit(None).cast("string")
-    chunk = indexed.select("request_id", "block_no", "path", "ord", "part", "first_line", "is_code", "norm", "starts", unit.alias("unit"))
-    rest = [c for c in claims.columns if c not in ("request_id", "block_no", "claim_no")]
-    rows = claims.join(chunk, ["request_id", "block_no"], "left").withColumn("at", found_at(F.col("norm"), F.col("search")))
+    chunk = indexed.select(F.col("request_id").alias(place), "block_no", "path", "ord", "part", "first_line", "is_code", "norm", "starts", unit.alias("unit"))
+    rest = [c for c in claims.columns if c not in ("request_id", "block_no", "claim_no", place)]
+    rows = claims.join(chunk, [place, "block_no"], "left").withColumn("at", found_at(F.col("norm"), F.col("search")))
     found = F.col("at") > 0
     line = F.when(found, F.col("first_line") + quote_line(F.col("at"), F.col("starts")))
     rows = rows.select("request_id", "block_no", "claim_no", F.struct(*rest).alias("own"), F.when(found, F.struct("ord", "part")).alias("order"), F.struct("path", "is_code", "unit", F.struct("ord", line.alias("line")).alias("pos")).alias("place"))
@@ -133,11 +134,11 @@ def _subset(part: Column, whole: Column) -> Column:
     return F.size(F.array_except(part, whole)) == 0
 
 
-def verify(claims: DataFrame, chunks: DataFrame, requests: DataFrame, unit: str = "línea") -> DataFrame:
+def verify(claims: DataFrame, chunks: DataFrame, requests: DataFrame, unit: str = "línea", place: str = "request_id") -> DataFrame:
     """claims with path, location, pos, quote as shown, and reason: null if verified, otherwise the first check that fails.
 
     chunks (request_id, block_no, path, ord, part, first_line, lines, is_code, and unit where locations of a file have one of their own) and claims meet by block, whose size the budget bounds; numbers
-    and words are looked at only where the quote has been found. Bullets that say nothing is stated have the reason SKIPPED.
+    and words are looked at only where the quote has been found. `place`: see with_hits(). Bullets that say nothing is stated have the reason SKIPPED.
     """
     asked = requests.select("request_id", "question")
     ready = claims.withColumn("shown", clean_quote(F.col("quote"))).withColumn("search", normalize(F.col("shown")))
@@ -146,7 +147,7 @@ def verify(claims: DataFrame, chunks: DataFrame, requests: DataFrame, unit: str
         F.when(is_not_stated(F.col("claim")), SKIPPED).when(F.col("search") == "", "sin_cita").when(F.size(F.split("search", " ")) < LEAST_QUOTE_WORDS, "cita_corta"),
     )
     ready = ready.withColumn("search", F.when(F.col("early").isNull(), F.col("search")))
-    both = with_hits(ready, chunk_index(chunks)).join(asked, "request_id", "left")
+    both = with_hits(ready, chunk_index(chunks), place).join(asked, "request_id", "left")
     # Checks of what was found, on columns that are null for the rest, so that the costly ones are skipped there.
     claim, quote = F.when(F.col("hit").isNotNull(), F.col("claim")), F.when(F.col("hit").isNotNull(), F.col("quote"))
     code = F.col("hit.is_code")

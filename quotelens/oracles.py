@@ -193,6 +193,20 @@ SCORED = f"""
 
 _PASSAGES = f"a AS (SELECT item_id, {norm(clean('text'))} AS search FROM benchmark), d AS (SELECT doc_id, {norm('text')} AS norm FROM documents), h AS (SELECT item_id, doc_id, {_search('norm', 'search')} AS head FROM a JOIN d ON contains(norm, search) WHERE search <> '')"
 
+# The evaluation by the same rules, over runs instead of documents.
+_RUNS = "SELECT request_id, question FROM runs"
+_EVALUATED = f"""
+  runs AS (SELECT c.*, d.text, m.model, m.i, v.variant, v.k, c.case_id * 10 + m.i * 2 + v.k AS request_id, regexp_replace(regexp_replace(question, '[?]$', ''), '^ +| +$', '', 'g') AS words,
+      CASE WHEN m.model = 'tiny' THEN concat('question takes ', {toks("question")}::VARCHAR, ' tokens and leaves no room for files') WHEN c.case_id % 17 = 3 THEN concat(file, ': no existe') WHEN c.case_id % 13 = 4 THEN concat(file, ': ', {q(BINARY)}) END AS early,
+      m.model = 'careless' AND v.variant = 'end' AND c.case_id % 11 = 5 AS mute
+    FROM ({fx.duck(fx.EVALUATED)}) c JOIN documents d ON d.doc_id = c.case_id CROSS JOIN (VALUES ('careful', 0), ('careless', 1), ('tiny', 2)) m(model, i) CROSS JOIN (VALUES ('end', 0), ('start', 1)) v(variant, k)),
+  {CLAIMS.replace(RESPONSES, """SELECT request_id, CASE WHEN model = 'careful' THEN concat('- ', words, chr(10), '  > ', words) WHEN variant = 'start' THEN concat('They say ', words)
+    ELSE concat('- alpha omega gamma delta', chr(10), '  > ', words) END AS content FROM runs WHERE early IS NULL AND NOT mute""").strip()},
+  docs AS (SELECT request_id, path, {CODE} AS is_code, lines FROM (SELECT request_id, file AS path, {split("text")} AS lines FROM runs WHERE early IS NULL) t),{_VERDICTS.replace(QUESTIONS, _RUNS)},
+  {_REPORT.replace(QUESTIONS, _RUNS).replace("\nSELECT a.request_id, concat_ws", ",\n  composed AS (SELECT a.request_id, concat_ws").strip()}),
+  final AS (SELECT case_id, model, variant, type, expected, coalesce(early, CASE WHEN mute THEN 'malformed' END) AS error, CASE WHEN early IS NULL AND NOT mute THEN report ELSE '' END AS report, CASE WHEN early IS NULL THEN 1 ELSE 0 END AS calls FROM runs JOIN composed USING (request_id)),
+  {SCORED.replace(f"({REPORTS}) r JOIN ({CASES}) c USING (case_id)", "final r").replace("r.*, type, expected,", "r.*,").strip()}"""
+
 STATUS = "CASE doc_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'text outside the fence' WHEN 3 THEN 'not valid Python' WHEN 4 THEN 'stray expression' WHEN 5 THEN 'not valid Python' WHEN 6 THEN 'ok' ELSE 'empty' END"
 
 ORACLE = {
@@ -260,6 +274,8 @@ ORACLE = {
     "passage_lines": f"""WITH {_PASSAGES}, f AS (SELECT doc_id, i, {norm("x[i]")} AS t FROM (SELECT doc_id, {split("text")} AS x FROM documents) y, unnest(range(1, len(x) + 1)) u(i)),
         s AS (SELECT doc_id, i, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS start FROM f WHERE t <> '')
         SELECT item_id, doc_id, (max(i) - 1)::INT AS line FROM h JOIN s USING (doc_id) WHERE head IS NOT NULL AND start <= length(head) GROUP BY ALL""",
+    "evaluate_runs": f"WITH {_EVALUATED} SELECT case_id, model, variant, ok, discarded, unformatted, error, sha256(report) AS report, calls::BIGINT AS calls FROM scored",
+    "evaluation_summary": f"WITH {_EVALUATED} SELECT model, variant, type, count(*) FILTER (ok) AS hits, count(*) AS runs, sum(discarded)::BIGINT AS discarded, sum(unformatted)::BIGINT AS unformatted, count(error) AS errors, sum(calls)::BIGINT AS calls FROM scored GROUP BY GROUPING SETS ((model, variant, type), (model, variant))",
     "verify_stream": f"WITH {VERDICTS} SELECT reason, count(*) AS n FROM (SELECT reason FROM verdicts UNION ALL SELECT 'sin_formato' FROM unformatted) GROUP BY ALL",
 }
 

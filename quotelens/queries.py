@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
 from html import escape
 
@@ -15,6 +17,7 @@ from . import fixtures as fx
 from .functions.numbers import numeric_values as numbers_of
 from .functions.text import clean_quote, content_words, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
 from .lineage import new_folder
+from .jobs.evaluation import evaluate as evaluate_cases
 from .jobs.grounded import to_prompts, to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from .sources import files, sinks
@@ -363,6 +366,47 @@ def summarize_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_summary(fx.derived(spark, sf_dir, fx.REPORTS).join(cases, "case_id"))
 
 
+def respond(batch: pd.DataFrame) -> pd.Series:
+    """A stand-in for models. careful quotes the question's words if the files hold them; careless claims something else, or talks, or answers in no form at all."""
+
+    def one(model: str, variant: str, user: str) -> str:
+        words = re.search(r"^Question: (.*)\?$", user, re.M)[1].strip()
+        path, text = re.search(r'<file path="([^"]*)"[^>]*>\n(.*)</file>', user, re.S).groups()
+        if words not in text:
+            said = "NO CONSTA"
+        elif model.startswith("careful"):
+            said = f"- {words}\n  > {words}"
+        elif variant == "start":
+            said = f"They say {words}"
+        elif int(re.search(r"(\d+)\.\w+$", path)[1]) % 11 == 5:
+            return '{"choices": []}'
+        else:
+            said = f"- alpha omega gamma delta\n  > {words}"
+        return json.dumps({"choices": [{"message": {"content": said}, "finish_reason": "stop"}]})
+
+    return pd.Series([one(*row) for row in zip(batch["model"], batch["variant"], batch["user"], strict=True)])
+
+
+#: Two models with room for every document, and one whose window no question leaves anything of.
+EVALUATED_PROFILES = [("careful", "careful", "careful-code", 1_000_000, 1024, 1024, 0.0), ("careless", "careless", "careless-code", 1_000_000, 512, 1024, 0.5), ("tiny", "careful", "careful", 1024, 512, 512, 0.0)]
+
+
+def _evaluation(spark: SparkSession, sf_dir: str):
+    cases = fx.derived(spark, sf_dir, fx.EVALUATED).withColumn("expected", F.array("expected"))
+    return evaluate_cases(cases, fx.derived(spark, sf_dir, fx.EVALUATED_FILES).withColumn("content", F.col("content").cast("binary")), spark.createDataFrame(EVALUATED_PROFILES, prompts.PROFILES), ["end", "start"], respond)
+
+
+def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation, from cases and files through a responder: every run's report, error and score."""
+    columns = ["case_id", "model", "variant", "ok", "discarded", "unformatted", "error", F.sha2("report", 256).alias("report"), "calls"]
+    return _evaluation(spark, sf_dir).runs.select(*columns)
+
+
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation, summed up."""
+    return _evaluation(spark, sf_dir).summary.drop("seconds")
+
+
 def triage_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecheck.triage_code(fx.derived(spark, sf_dir, fx.CODE)).select("doc_id", "status", "n_lines", "code")
 
@@ -438,7 +482,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report broken_files big_file_lines quote_lines passage_lines
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary
 """.split()
 
 

@@ -186,8 +186,8 @@ def html_lines(df: DataFrame, html: str = "html") -> DataFrame:
     return located(read, "__lines")
 
 
-def extract(files: DataFrame, readers: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, unreadable) of files (path, content binary, ...): lines with their unit, or the reason. One bad file stops nothing."""
+def read_all(files: DataFrame, readers: dict | None = None) -> DataFrame:
+    """files (path, content binary, ...) without their content: lines with their unit, or a reason, which is null for what has been read. One bad file stops nothing."""
     readers = READERS if readers is None else readers
     rest = [c for c in files.columns if c != "content"]
     rows = files.withColumn("__kind", extension(F.col("path")))
@@ -200,12 +200,17 @@ def extract(files: DataFrame, readers: dict | None = None) -> tuple[DataFrame, D
     unit = F.lit(LINE)
     for kind, (_, name) in readers.items():
         unit = F.when(F.col("__kind") == kind, name).otherwise(unit)
-    done = rows.select(
+    return rows.select(
         *rest,
         F.when(own, F.col("__read.lines")).when(~F.col("__bad"), lines(decoded(F.col("content")))).alias("lines"),
         unit.alias("unit"),
         F.when(F.col("content").isNull(), INVALID).when(F.col("__bad"), BINARY).when(own, F.col("__read.reason")).alias("reason"),
     )
+
+
+def extract(files: DataFrame, readers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, unreadable) of read_all(): each reads the files for itself."""
+    done = read_all(files, readers)
     return done.where("reason IS NULL").drop("reason"), done.where("reason IS NOT NULL").drop("lines", "unit")
 
 

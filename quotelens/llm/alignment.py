@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +34,15 @@ STRIPES, BATCH, BATCH_BYTES, TASK_BYTES = 96, 1_000, 4 << 20, 64 << 20
 SPREAD = 16
 #: Words remembered by a worker, and the longest that is.
 MEMO, MEMO_CHARS = 300_000, 48
-#: A word: spaces and what follows them up to the next space. White space of other kinds keeps the spaces after it, as the first tokenizer takes them together.
-WORDS = re.compile(r" *(?:[^ ]|(?<=[^\S ]) +)+| +")
+#: A word: spaces and what follows them up to the next space. After white space of another kind the spaces belong to it, as the first tokenizer takes them together.
+WORDS = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]*)*| +")
+
+
+@lru_cache(maxsize=1 << 16)
+def settled(character: str) -> bool:
+    """Whether a character was a letter, a digit or neither in Unicode 3.2 and is so still: both encoders of the first vocabulary class it alike, whatever versions they know."""
+    old = unicodedata.ucd_3_2_0.category(character)
+    return old != "Cn" and (old[0] if old[0] in "LN" else "") == (c if (c := unicodedata.category(character)[0]) in "LN" else "")
 
 
 class Pair:
@@ -60,39 +69,55 @@ class Pair:
             if MARK in piece.lstrip(MARK):
                 raise ValueError(f"{second} has the piece {piece!r}, which goes on over the beginning of a word")
         self.second_sizes = np.array([len(p) for p in self.pieces], np.int64)
-        self.first_names = [f"{i}{end}" for end in ",|;" for i in range(max(len(self.first_sizes), len(self.pieces)))]
+        self.mark = self.second.piece_to_id(MARK)
+        numbers = [str(i).encode() for i in range(max(len(self.first_sizes), len(self.pieces)))]
+        self.digits = np.array([list(n.ljust(6)) for n in numbers], np.uint8)
+        self.n_digits = np.array([len(n) for n in numbers], np.int64)
         self.memo: dict[str, tuple[bytes, bytes, bool]] = {}
 
-    def word(self, word: str) -> tuple[bytes, bytes, bool]:
-        """Ids of a word that begins with a space, by both, as 32-bit numbers; whether both give its bytes back."""
-        if word.isascii() or max(word) < "ɐ":
-            first = self.fast.encode_ordinary(word)
-        else:
-            first = self.slow.encode(word, add_special_tokens=False).ids
-        # The library puts a mark before every text but an empty one.
-        second, raw = self.second.encode(word[1:]) if word != " " else [self.second.piece_to_id(MARK)], word.encode()
-        fine = int(self.first_sizes[first].sum()) == len(raw) and b"".join([self.pieces[i] for i in second]) == raw
-        return np.array(first, np.int32).tobytes(), np.array(second, np.int32).tobytes(), fine
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by both tokenizers of a text, with a space before it; none if it is null or empty or if the ids don't give its bytes back."""
-        none = np.zeros(0, np.int32)
-        if not text:
-            return none, none
-        first, second, memo = [], [], self.memo
-        for word in WORDS.findall(" " + text):
-            found = memo.get(word)
-            if found is None:
-                found = self.word(word)
-                if len(word) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = found
-            if not found[2]:
-                return none, none
-            first.append(found[0])
-            second.append(found[1])
-        return np.frombuffer(b"".join(first), np.int32), np.frombuffer(b"".join(second), np.int32)
+    def first_ids(self, words: list[str]) -> np.ndarray:
+        """Ids of words put together, which are those of each, as no token goes over the end of a word that doesn't end in white space."""
+        text = "".join(words)
+        if text.isascii() or all(map(settled, set(text))):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.concatenate([self.fast.encode_to_numpy(w, disallowed_special=()) if all(map(settled, w)) else self.slow.encode(w, add_special_tokens=False).ids for w in words]).astype(np.int64)
+
+    def learn(self, words: list[str], into: dict) -> None:
+        """Ids of words that begin with a space, by both, as 32-bit numbers, and whether both give its bytes back."""
+        # Words in white space are encoded alone, the others together.
+        alone = [w for w in words if w[-1].isspace()]
+        for some in ([w for w in words if not w[-1].isspace()], *([w] for w in alone)):
+            if not some:
+                continue
+            raw = [w.encode() for w in some]
+            first = self.first_ids(some)
+            ends = np.cumsum(self.first_sizes[first])
+            at = [0, *np.searchsorted(ends, np.cumsum([len(r) for r in raw]), "right").tolist()]
+            # The library puts a mark before every text but an empty one.
+            second = [x or [self.mark] for x in self.second.encode([w[1:] for w in some], num_threads=1)]
+            packed = first.astype(np.int32).tobytes()
+            for k, (word, own) in enumerate(zip(some, raw, strict=True)):
+                mine = packed[4 * at[k] : 4 * at[k + 1]]
+                fine = b"".join([self.pieces[i] for i in second[k]]) == own
+                into[word] = mine, array("i", second[k]).tobytes(), fine
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids by both tokenizers of each text, with a space before it; none if it is null or empty or if the ids don't give its bytes back."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        words = [WORDS.findall(" " + t) if t else [] for t in texts]
+        known, long = self.memo, {}
+        unknown = {w for some in words for w in some if w not in known}
+        self.learn([w for w in unknown if len(w) <= MEMO_CHARS], known)
+        self.learn([w for w in unknown if len(w) > MEMO_CHARS], long)
+        out, none = [], np.zeros(0, np.int32)
+        for some in words:
+            found = [known[w] for w in some] if not long else [known.get(w) or long[w] for w in some]
+            if found and all([f[2] for f in found]):
+                out.append((np.frombuffer(b"".join([f[0] for f in found]), np.int32), np.frombuffer(b"".join([f[1] for f in found]), np.int32)))
+            else:
+                out.append((none, none))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -104,39 +129,53 @@ class Aligned:
     """A batch of texts: where tokens begin and end, taken over all texts one after the other."""
 
     def __init__(self, model: Pair, texts: list[str | None]):
-        encoded = [model.encode(t) for t in texts]
+        encoded = model.encode_all(texts)
+        self.model = model
         self.n_first, self.n_second = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
         self.first, self.second = (np.concatenate([e[k] for e in encoded] or [np.zeros(0, np.int32)]) for k in (0, 1))
-        self.first_ends, self.second_ends = np.cumsum(model.first_sizes[self.first]), np.cumsum(model.second_sizes[self.second])
-        self.ends = np.intersect1d(self.first_ends, self.second_ends, assume_unique=True)  # of groups
-        of_first, of_second = (np.repeat(np.arange(len(texts)), n) for n in (self.n_first, self.n_second))
-        last = np.searchsorted(self.first_ends, self.ends)
-        self.n_groups = np.bincount(of_first[last], minlength=len(texts))
+        first_ends, second_ends = np.cumsum(model.first_sizes[self.first]), np.cumsum(model.second_sizes[self.second])
+        of_first = np.repeat(np.arange(len(texts)), self.n_first)
+        # Where both end, a group does. Second ends before each first end, and the other way round by counting.
+        before = np.searchsorted(second_ends, first_ends)
+        self.closing_first = second_ends[np.minimum(before, len(second_ends) - 1)] == first_ends if len(second_ends) else np.zeros(0, bool)
+        self.closing_second = np.zeros(len(self.second), bool)
+        self.closing_second[before[self.closing_first]] = True
+        self.n_groups = np.bincount(of_first[self.closing_first], minlength=len(texts))
         # A link for each stretch between two neighbouring ends: one token of each side lies over it, and no other stretch has the same two.
-        stretches = np.union1d(self.first_ends, self.second_ends)
-        a, b = np.searchsorted(self.first_ends, stretches), np.searchsorted(self.second_ends, stretches)
+        shared = np.cumsum(self.closing_first) - self.closing_first
+        stretches = len(self.first) + len(self.second) - int(self.closing_first.sum())
+        ended_first = np.zeros(stretches, np.int64)
+        ended_first[np.arange(len(self.first)) + before - shared] = 1
+        ended_second = 1 - ended_first
+        ended_second[np.flatnonzero(ended_first)[self.closing_first]] = 1
+        a, b = np.cumsum(ended_first) - ended_first, np.cumsum(ended_second) - ended_second
         self.link_first, self.link_second, self.link_text = self.first[a], self.second[b], of_first[a]
         self.n_links = np.bincount(self.link_text, minlength=len(texts))
-        self.model, self.of_first, self.of_second = model, of_first, of_second
 
     def digests(self) -> list[str]:
         """sha256 of the groups' ids: first ids with commas, a bar, second ids with commas; groups parted by semicolons. Empty for texts without tokens."""
-        size = len(self.model.first_names) // 3
-        sides = []
-        for k, (ids, ends) in enumerate(((self.first, self.first_ends), (self.second, self.second_ends))):
-            group = np.searchsorted(self.ends, ends)
-            closing = self.ends[group] == ends
-            sides.append((ids + size * np.where(closing, k + 1, 0), group, closing))
+        n = len(self.first) + len(self.second)
         # A group's first ids come after all second ids of the groups before, its second ids after all its first ids.
-        (one, group1, closing1), (two, group2, closing2) = sides
-        firsts, seconds = np.flatnonzero(closing1) + 1, np.concatenate([[0], np.flatnonzero(closing2) + 1])
-        names = np.zeros(len(one) + len(two), np.int64)
-        names[np.arange(len(one)) + seconds[group1]] = one
-        names[np.arange(len(two)) + (firsts[group2] if len(two) else 0)] = two
-        table, listed, out, at = self.model.first_names, names.tolist(), [], 0
-        for n in (self.n_first + self.n_second).tolist():
-            out.append(hashlib.sha256("".join([table[i] for i in listed[at : at + n]])[:-1].encode()).hexdigest() if n else "")
-            at += n
+        group1, group2 = (np.cumsum(c) - c for c in (self.closing_first, self.closing_second))
+        firsts, seconds = np.flatnonzero(self.closing_first) + 1, np.concatenate([[0], np.flatnonzero(self.closing_second) + 1])
+        at1, at2 = np.arange(len(self.first)) + seconds[group1], np.arange(len(self.second)) + (firsts[group2] if n else 0)
+        ids, marks = np.zeros(n, np.int64), np.full(n, ord(","), np.uint8)
+        ids[at1], ids[at2] = self.first, self.second
+        marks[at1[self.closing_first]], marks[at2[self.closing_second]] = ord("|"), ord(";")
+        # All numbers written at once, digit by digit, each with its mark after it.
+        sizes = self.model.n_digits[ids]
+        ends = np.cumsum(sizes + 1)
+        written, begins = np.zeros(int(ends[-1]) if n else 0, np.uint8), ends - sizes - 1
+        for k in range(int(sizes.max(initial=0))):
+            there = np.flatnonzero(sizes > k)
+            written[begins[there] + k] = self.model.digits[ids[there], k]
+        written[ends - 1] = marks
+        out, raw, at, token = [], written.tobytes(), 0, 0
+        for many in (self.n_first + self.n_second).tolist():
+            token += many
+            to = int(ends[token - 1]) if many else at
+            out.append(hashlib.sha256(raw[at : to - 1]).hexdigest() if many else "")
+            at = to
         return out
 
     def postings(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -276,6 +276,8 @@ ORACLE = {
         SELECT item_id, doc_id, (max(i) - 1)::INT AS line FROM h JOIN s USING (doc_id) WHERE head IS NOT NULL AND start <= length(head) GROUP BY ALL""",
     "evaluate_runs": f"WITH {_EVALUATED} SELECT case_id, model, variant, ok, discarded, unformatted, error, sha256(report) AS report, calls::BIGINT AS calls FROM scored",
     "evaluation_summary": f"WITH {_EVALUATED} SELECT model, variant, type, count(*) FILTER (ok) AS hits, count(*) AS runs, sum(discarded)::BIGINT AS discarded, sum(unformatted)::BIGINT AS unformatted, count(error) AS errors, sum(calls)::BIGINT AS calls FROM scored GROUP BY GROUPING SETS ((model, variant, type), (model, variant))",
+    "answer_stream": f"""WITH {VERDICTS}, done AS (WITH {_REPORT.strip()}) SELECT request_id, CASE WHEN request_id % 3 = 2 AND request_id % 7 = 3 THEN NULL ELSE report END AS report,
+        CASE WHEN request_id % 3 = 2 AND request_id % 7 = 3 OR request_id IN (SELECT request_id FROM unformatted) THEN 0 ELSE 1 END::BIGINT AS times_stored FROM done""",
     "verify_stream": f"WITH {VERDICTS} SELECT reason, count(*) AS n FROM (SELECT reason FROM verdicts UNION ALL SELECT 'sin_formato' FROM unformatted) GROUP BY ALL",
 }
 

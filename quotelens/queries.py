@@ -16,12 +16,14 @@ from pyspark.sql.types import BinaryType
 from . import fixtures as fx
 from .functions.numbers import numeric_values as numbers_of
 from .functions.text import clean_quote, content_words, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
-from .lineage import new_folder
+from .lineage import new_folder, remove_folder
 from .jobs.evaluation import evaluate as evaluate_cases
 from .jobs.grounded import to_prompts, to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from .sources import files, sinks
 from .sources.big import read_big_lines
+from .streaming.answers import answer_stream as start_answers
+from .streaming.answers import stored
 from .streaming.verification import verify_stream as start_stream
 
 
@@ -453,6 +455,40 @@ def verify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out/verdicts").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of two blocks that arrive in five files over hours: blocks apart, twice, hours late, once more after they are forgotten, and requests that never become complete; the third file's batch is done twice. Every report once, null for a request that expired."""
+    base = new_folder(spark, "answers")
+    ids, minutes = F.col("request_id"), lambda m: F.timestamp_seconds(F.lit(1_700_000_000 + 60 * m))
+    first = fx.derived(spark, sf_dir, fx.RESPONSES)
+    second = first.withColumn("block_no", F.lit(1)).withColumn("content", F.lit("NO CONSTA"))
+    never = (ids % 3 == 2) & (ids % 7 == 3)
+    files_of = [
+        (0, first.where(ids % 3 < 2).unionByName(second.where(ids % 3 == 0))),
+        (30, second.where(ids % 3 == 1).unionByName(first.where(ids % 3 == 0))),
+        (240, first.where(ids % 3 == 2).unionByName(second.where((ids % 3 == 2) & ~never))),
+        (5, first.where(ids % 3 == 0).unionByName(second.where(ids % 3 == 0))),  # long before the watermark
+        (600, first.where((ids % 3 == 1) & (ids % 8 != 6)).unionByName(second.where((ids % 3 == 1) & (ids % 8 != 6)))),  # known from the store
+    ]
+    key = F.sha2(ids.cast("string"), 256).alias("key")
+    requests = fx.derived(spark, sf_dir, fx.QUESTIONS).select("request_id", "question", key, F.lit(2).alias("n_blocks"))
+    chunks = _chunk_table(spark, sf_dir)
+
+    def run() -> None:
+        start_answers(spark, f"{base}/in", chunks, requests, f"{base}/store", f"{base}/out", f"{base}/log").awaitTermination()
+
+    for number, (at, rows) in enumerate(files_of):
+        rows.withColumn("arrived", minutes(at)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        run()
+        if number == 2:  # as if the driver had stopped before it noted that the last batch was done
+            last = max(int(r["batch"]) for r in spark.read.parquet(f"{base}/out/reports").select("batch").distinct().collect())
+            remove_folder(spark, f"{base}/log/commits/{last}")
+            run()
+    reports = spark.read.parquet(f"{base}/out/reports").select("request_id", "report")
+    gone = spark.read.schema("request_id long, block_no int, content string").parquet(f"{base}/out/expired").select("request_id", F.lit(None).cast("string").alias("report"))
+    kept = stored(spark, f"{base}/store").groupBy("key").agg(F.count("*").alias("times"))
+    return reports.unionByName(gone).withColumn("key", key).join(kept, "key", "left").select("request_id", "report", F.coalesce("times", F.lit(0)).alias("times_stored"))
+
+
 def unread_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over requests of twenty files each, of which some are binary and some are not there: reports name them, with their reasons."""
     rows = fx.derived(spark, sf_dir, fx.FILES)
@@ -482,7 +518,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream
 """.split()
 
 

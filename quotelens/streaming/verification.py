@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,9 +12,21 @@ from ..operators.verify import flag_unformatted, parse_claims, verify
 
 RESPONSES = "request_id long, block_no int, content string"
 _STATE = "spark.sql.streaming.stateStore.providerClass"
+_STARTING = Lock()
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """A stream started with its state in RocksDB, so that a batch touches the state of its own keys only. The stream takes the session's setting as it starts; streams that start here wait for one another."""
+    with _STARTING:
+        before = spark.conf.get(_STATE)
+        spark.conf.set(_STATE, _ROCKSDB)
+        try:
+            return start()
+        finally:
+            spark.conf.set(_STATE, before)
+
+
 def verify_stream(spark: SparkSession, source: str, chunks: DataFrame, requests: DataFrame, target: str, checkpoint: str, watch: dict | None = None) -> StreamingQuery:
     """Verdicts of the response files (Parquet) in source, in target/verdicts/batch=N.
 
@@ -29,9 +44,4 @@ def verify_stream(spark: SparkSession, source: str, chunks: DataFrame, requests:
         fresh.unpersist()
 
     stream = spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", 100).parquet(source).dropDuplicates(["request_id", "block_no"])
-    before = spark.conf.get(_STATE)
-    spark.conf.set(_STATE, _ROCKSDB)  # the stream takes the session's settings as it starts
-    try:
-        return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(watch or {"availableNow": True})).start()
-    finally:
-        spark.conf.set(_STATE, before)
+    return with_rocksdb(spark, lambda: stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(watch or {"availableNow": True})).start())

@@ -441,6 +441,30 @@ def test_neighbours_in_several_shards(spark, monkeypatch, least, most, shards):
     assert sum(len({j for _, j in near} & got[q]) for q, near in want.items()) / (20 * len(want)) >= 0.95
 
 
+@pytest.mark.parametrize(("n", "low", "high"), [(6000, 0.2, 5.0), (2000, 1e-3, 1e3)])
+def test_neighbours_of_vectors_with_differing_norms(spark, n, low, high):
+    """The largest inner product favours long vectors: those of all lengths are asked for."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 64))
+    x *= (rng.uniform(low, high, n) / np.linalg.norm(x, axis=1))[:, None]
+    x = x.astype(np.float32)
+    asked = np.arange(0, n, 20)
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = {int(q): set(row.tolist()) for q, row in zip(asked, np.argsort(-scores, 1)[:, :20])}
+    got = collections.defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(near & got[q]) for q, near in want.items()) / (20 * len(want)) >= 0.97
+
+
+def test_bands_of_norms(spark):
+    rows = [([1.0, 0.0],), ([0.6, 0.8],), ([1e200, 1e200],), ([1e-200, 0.0],), ([5.0, 0.0],), ([0.999999, 0.0],)]
+    bands = [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(neighbours.band_of(F.col("v"))).collect()]
+    assert bands[0] == bands[1] == bands[5] == 0 and bands[3] < 0 < bands[4] < bands[2]
+
+
 # 6
 
 

@@ -249,6 +249,7 @@ ORACLE = {
     "split_cached": f"SELECT request_id, CASE WHEN request_id % 60 = 0 THEN concat('new ', question) END AS report FROM ({REQUESTS})",
     "to_store": f"WITH {CLAIMS} SELECT sha256(request_id::VARCHAR) AS key, sha256(content) AS report FROM responses WHERE request_id NOT IN (SELECT request_id FROM unformatted)",
     "prune_store": "SELECT sha256(event_id::VARCHAR) AS key FROM events ORDER BY ts DESC, key LIMIT 500",
+    "store_snapshots": "SELECT key, true AS before, row_number() OVER (ORDER BY ts DESC, key) <= (SELECT count(*) // 2 FROM events) AS after FROM (SELECT sha256(event_id::VARCHAR) AS key, ts FROM events)",
     "run_matrix": f"SELECT case_id, type, model, variant FROM ({CASES}), (VALUES ('m1'), ('m2')) m(model), (VALUES ('end'), ('start')) v(variant)",
     "score_runs": f"WITH {SCORED} SELECT case_id, model, variant, ok, discarded, unformatted FROM scored",
     "summarize_runs": f"WITH {SCORED} SELECT model, variant, type, count(*) FILTER (ok) AS hits, count(*) AS runs, sum(discarded)::BIGINT AS discarded, sum(unformatted)::BIGINT AS unformatted, count(error) AS errors, sum(seconds) AS seconds, sum(calls)::BIGINT AS calls FROM scored GROUP BY GROUPING SETS ((model, variant, type), (model, variant))",

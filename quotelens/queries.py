@@ -20,6 +20,7 @@ from .lineage import new_folder, remove_folder
 from .jobs.evaluation import evaluate as evaluate_cases
 from .jobs.grounded import to_prompts, to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
+from .operators.store import AnswerStore
 from .sources import files, sinks
 from .sources.big import read_big_lines
 from .streaming.answers import answer_stream as start_answers
@@ -349,6 +350,19 @@ def prune_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.prune_store(events.select(F.sha2(F.col("event_id").cast("string"), 256).alias("key"), F.col("ts").alias("written_at")), 500).select("key")
 
 
+def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store filled in three steps from all events, then pruned to half of them: what a reader from before still reads, and what a new one does."""
+    store = AnswerStore(spark, new_folder(spark, "store"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("key"), F.col("event_type").alias("report"), F.col("ts").alias("written_at"))
+    for part in range(3):
+        store.append(rows.where(F.col("event_id") % 3 == part))
+    old = store.read()
+    store.prune(events.count() // 2)
+    before, after = (df.select("key", F.lit(True).alias(name)) for df, name in ((old, "before"), (store.read(), "after")))
+    return rows.select("key").join(before, "key", "left").join(after, "key", "left").select("key", F.coalesce("before", F.lit(False)).alias("before"), F.coalesce("after", F.lit(False)).alias("after"))
+
+
 def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     models, variants = (spark.createDataFrame([(x,) for x in values], f"{name} string") for name, values in (("model", ("m1", "m2")), ("variant", ("end", "start"))))
     return evaluate.run_matrix(fx.derived(spark, sf_dir, fx.CASES).select("case_id", "type"), models, variants)
@@ -518,7 +532,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots
 """.split()
 
 

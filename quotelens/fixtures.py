@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BUDGET = 200
-#: documents with the first two lines of each text, split off once.
-_DOCS = "(SELECT *, split_part(text, chr(10), 1) AS l1, split_part(text, chr(10), 2) AS l2 FROM {docs})"
+#: documents with one of their lines, from anywhere in the text, and the line after it, split off once.
+_DOCS = "(SELECT *, split_part(text, chr(10), CAST(1 + (doc_id * 7) % n AS INT)) AS l1, split_part(text, chr(10), CAST(2 + (doc_id * 7) % n AS INT)) AS l2 FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM {docs}))"
 _FIRST, _SECOND = "d.l1", "d.l2"
 
 
@@ -25,7 +25,7 @@ REQUESTS = f"SELECT d.doc_id AS request_id, concat({_words(_FIRST, 1, 6)}, '?')
 _QUOTE = _words(_FIRST, 2, 8)
 _NEXT = _words(_FIRST.replace("d.", "n."), 1, 9)
 _ITEM = "concat('- ', {}, chr(10), '  > ', {})"
-#: One response for each document, by turns: verbatim quote and an unrelated claim; quote across a line break; digits added; short
+#: One response for each document about one of its lines, by turns: verbatim quote and an unrelated claim; quote across a line break; digits added; short
 #: quote; no quote; words of the next document; prose; nothing stated.
 RESPONSES = f"""
 SELECT d.doc_id AS request_id, CAST(0 AS INT) AS block_no, CASE d.doc_id % 8
@@ -43,7 +43,7 @@ QUESTIONS = f"SELECT d.doc_id AS request_id, CASE WHEN d.doc_id % 24 IN (8, 9) T
 #: Each document as the one chunk of its request; every fifth path is code.
 CHUNKS = "SELECT d.doc_id AS request_id, CAST(0 AS INT) AS block_no, concat(d.source, '/', CAST(d.doc_id AS STRING), CASE WHEN d.doc_id % 5 = 0 THEN '.py' ELSE '.md' END) AS path, CAST(0 AS INT) AS ord, CAST(1 AS INT) AS part, CAST(0 AS INT) AS first_line, d.doc_id % 5 = 0 AS is_code, d.text FROM {docs} d"
 _JSON = "replace(replace(replace({}, '\"', ''), chr(92), ''), chr(10), ' ')"
-_BODY = _JSON.format(_FIRST)
+_BODY = _JSON.format("d.text")
 #: Chat responses as JSON: with content; with reasoning alone, under either name; empty; cut off; without choices.
 ENVELOPES = f"""
 SELECT d.doc_id AS request_id, CAST(0 AS INT) AS block_no, CASE d.doc_id % 6
@@ -59,8 +59,8 @@ CODE = f"""
 SELECT d.doc_id, CASE d.doc_id % 8
   WHEN 0 THEN concat('```python', chr(10), 'x = ', CAST(d.doc_id AS STRING), chr(10), 'print(x)', chr(10), '```')
   WHEN 1 THEN concat('```', chr(10), 'def f():', chr(10), '    return ', CAST(d.doc_id AS STRING))
-  WHEN 2 THEN concat('```', chr(10), 'x = 1', chr(10), '```', chr(10), {_FIRST}, ' so')
-  WHEN 3 THEN concat('Here it is: ', {_FIRST})
+  WHEN 2 THEN concat('```', chr(10), 'x = 1', chr(10), '```', chr(10), d.text, ' so')
+  WHEN 3 THEN concat('Here it is: ', d.text)
   WHEN 4 THEN concat('x = ', CAST(d.doc_id AS STRING), chr(10), 'Done')
   WHEN 5 THEN concat('return ', CAST(d.doc_id AS STRING))
   WHEN 6 THEN concat('# ', CAST(d.doc_id AS STRING))
@@ -78,10 +78,8 @@ SELECT d.doc_id AS case_id, m.model, v.variant, CASE (d.doc_id + m.i + v.i) % 5
   CAST(d.doc_id % 7 AS DOUBLE) AS seconds, CAST(1 + d.doc_id % 2 AS BIGINT) AS calls
 FROM {_DOCS} d CROSS JOIN (SELECT 'm1' AS model, 0 AS i UNION ALL SELECT 'm2', 1) m CROSS JOIN (SELECT 'end' AS variant, 0 AS i UNION ALL SELECT 'start', 2) v"""
 
-#: documents with one of their lines, from anywhere in the text.
-_DEEP = "(SELECT *, split_part(text, chr(10), CAST(1 + (doc_id * 7) % n AS INT)) AS line FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM {docs}))"
 #: A case for each document: what the first words of a line are followed by.
-EVALUATED = f"SELECT d.doc_id AS case_id, {PATH} AS file, concat({_words('d.line', 1, 9)}, '?') AS question, CASE d.doc_id % 3 WHEN 0 THEN 'dato' WHEN 1 THEN 'orientacion' ELSE 'sin_respuesta' END AS type, {_words('d.line', 3, 7)} AS expected FROM {_DEEP} d"
+EVALUATED = f"SELECT d.doc_id AS case_id, {PATH} AS file, concat({_words(_FIRST, 1, 9)}, '?') AS question, CASE d.doc_id % 3 WHEN 0 THEN 'dato' WHEN 1 THEN 'orientacion' ELSE 'sin_respuesta' END AS type, {_words(_FIRST, 3, 7)} AS expected FROM {_DOCS} d"
 #: The cases' files: some are not there, some are binary.
 EVALUATED_FILES = f"SELECT {PATH} AS path, CASE WHEN d.doc_id % 13 = 4 THEN concat('a', chr(0), d.text) ELSE d.text END AS content FROM {{docs}} d WHERE d.doc_id % 17 <> 3"
 

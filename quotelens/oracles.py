@@ -230,8 +230,8 @@ ORACLE = {
         CASE WHEN d.doc_id % 6 = 0 AND {strip(fx._BODY)} <> '' THEN {strip(fx._BODY)} END AS content, CASE WHEN d.doc_id % 6 IN (0, 3) THEN 'stop' WHEN d.doc_id % 6 IN (1, 2) THEN 'length' END AS finish_reason FROM {fx.duck(fx._DOCS)} d""",
     "parse_claims": f"WITH {CLAIMS} SELECT request_id, claim_no, claim, quote FROM claims",
     "flag_unformatted": f"WITH {CLAIMS} SELECT request_id, 'sin_formato' AS reason FROM unformatted",
-    "quote_forms": f"WITH t AS (SELECT doc_id, text, concat(' …*“', split_part(text, chr(10), 1), '”_.. ') AS x FROM documents) SELECT doc_id, {norm('x')} AS norm, {clean('x')} AS shown, array_to_string({words('x')}, ' ') AS words, array_to_string(list_sort({digits('text')}), ' ') AS digits FROM t",
-    "word_overlap": f"WITH t AS (SELECT doc_id, {words('split_part(text, chr(10), 1)')} AS a, {words('split_part(text, chr(10), 2)')} AS b FROM documents) SELECT doc_id, round({share('a', 'b')}, 9) AS coverage, {touching('a', 'b')} AS touches FROM t",
+    "quote_forms": f"WITH t AS (SELECT doc_id, text, concat(' …*“', text, '”_.. ') AS x FROM documents) SELECT doc_id, {norm('x')} AS norm, {clean('x')} AS shown, array_to_string({words('x')}, ' ') AS words, array_to_string(list_sort({digits('text')}), ' ') AS digits FROM t",
+    "word_overlap": f"WITH t AS (SELECT doc_id, {words('substr(text, 1, length(text) // 2)')} AS a, {words('substr(text, length(text) // 2 + 1)')} AS b FROM documents) SELECT doc_id, round({share('a', 'b')}, 9) AS coverage, {touching('a', 'b')} AS touches FROM t",
     "document_forms": f"WITH t AS (SELECT doc_id, concat(' …*“', text, '”_.. ') AS x FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL) SELECT doc_id, sha256({norm('x')}) AS norm, sha256({clean('x')}) AS shown, sha256(array_to_string({words('x')}, ' ')) AS words FROM t",
     "line_overlap": f"WITH l AS (SELECT doc_id, {split('text')} AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(1, len(x))) AS k FROM l), w AS (SELECT doc_id, k, {words('x[k]')} AS a, {words('x[k + 1]')} AS b FROM p) SELECT doc_id, (k - 1)::INT AS line, round({share('a', 'b')}, 9) AS coverage, {touching('a', 'b')} AS touches FROM w",
     "numeric_values": "WITH t AS (SELECT doc_id, length(text) + doc_id AS n FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct([(n % 1000000)::VARCHAR, (n + 1000000)::VARCHAR, '3/5', concat((doc_id % 7 + 1)::VARCHAR, '/8'), '1/2'])), ' ') AS found FROM t",

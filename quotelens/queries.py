@@ -199,8 +199,8 @@ def flag_unformatted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal form, shown form and words of the first line; whether it says that nothing is stated."""
-    line = F.concat(F.lit(" …*“"), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("”_.. "))
+    """Normal form, shown form, words and digits of whole texts between marks."""
+    line = F.concat(F.lit(" …*“"), F.col("text"), F.lit("”_.. "))
     return fx.documents(spark, sf_dir).select(
         "doc_id", normalize(line).alias("norm"), clean_quote(line).alias("shown"), F.array_join(content_words(line), " ").alias("words"),
         F.array_join(F.array_sort(digit_strings(F.col("text"))), " ").alias("digits"),
@@ -208,8 +208,9 @@ def quote_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of each document's first line by its second, and whether they share a stem."""
-    one, two = (F.split_part("text", F.lit("\n"), F.lit(k)) for k in (1, 2))
+    """Coverage of the first half of each document's text by the second, and whether they share a stem."""
+    half = F.expr("length(text) div 2").cast("int")
+    one, two = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
     rows = fx.documents(spark, sf_dir).select("doc_id", content_words(one).alias("one"), stems(content_words(two)).alias("two"))
     return rows.select("doc_id", F.round(covered(F.col("one"), F.col("two")), 9).alias("coverage"), touches(F.col("one"), F.col("two")).alias("touches"))
 

@@ -240,11 +240,23 @@ ORACLE = {
     "tally_rejections": f"WITH {VERDICTS} SELECT reason, sum(n)::BIGINT AS n FROM tally GROUP BY ALL",
     "dedupe_verified": f"WITH {VERDICTS} SELECT request_id, 0::INT AS block_no, claim_no, path, shown AS quote FROM (SELECT *, row_number() OVER (PARTITION BY request_id, path, {norm('shown')} ORDER BY line, claim_no) AS k FROM verdicts WHERE reason IS NULL) WHERE k = 1",
     "compose_report": f"WITH {VERDICTS}, {_REPORT}",
+    "report_parts": f"""WITH {VERDICTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY request_id, path, {norm("shown")} ORDER BY line, claim_no) AS k FROM verdicts WHERE reason IS NULL),
+        said AS (SELECT request_id AS a, line AS b, claim_no AS c, concat('- ', claim, chr(10), '  > ', shown, chr(10), '  (', path, ':línea ', line::VARCHAR, ')') AS t FROM kept WHERE k = 1),
+        unread AS (SELECT doc_id AS a, 0 AS b, 0 AS c, concat('- ', path, ': no existe') AS t FROM ({FILES}) WHERE doc_id % 11 = 5),
+        begun AS (SELECT *, (sum(length(t) + 1) OVER (PARTITION BY section ORDER BY a, b, c) - length(t) - 1) // 2000 AS part FROM (SELECT 0 AS section, * FROM said UNION ALL SELECT 3, * FROM unread)),
+        parts AS (SELECT section, part, concat(CASE WHEN section = 3 AND part = 0 THEN concat('Archivos no leídos:', chr(10)) ELSE '' END, string_agg(t, chr(10) ORDER BY a, b, c)) AS text FROM begun GROUP BY section, part),
+        sums AS (SELECT sum(n) FILTER (reason <> 'sin_formato') AS total, sum(n) FILTER (reason = 'sin_formato') AS off,
+          concat_ws(', ', {", ".join(f"CASE WHEN sum(n) FILTER (reason = {q(r)}) > 0 THEN concat((sum(n) FILTER (reason = {q(r)}))::BIGINT::VARCHAR, {q(' ' + REASONS[r])}) END" for r in _OWN)}) AS detail FROM tally),
+        notes AS (SELECT 1 AS section, 0 AS part, CASE WHEN total = 1 THEN concat('Descartada 1 afirmación: ', detail, '.') WHEN total > 1 THEN concat('Descartadas ', total::BIGINT::VARCHAR, ' afirmaciones: ', detail, '.') END AS text FROM sums
+          UNION ALL SELECT 2, 0, CASE WHEN off > 0 THEN concat(off::BIGINT::VARCHAR, CASE WHEN off = 1 THEN ' respuesta' ELSE ' respuestas' END, ' sin el formato pedido.') END FROM sums)
+        SELECT section::INT AS section, part::BIGINT AS part, sha256(text) AS text FROM (SELECT * FROM parts UNION ALL SELECT * FROM notes) WHERE text IS NOT NULL""",
     "token_savings": f"""WITH RECURSIVE {BLOCKS}, d AS (SELECT request_id, sum({toks("content")})::BIGINT AS direct, sum(len(string_split(content, chr(10))))::BIGINT AS lines FROM files GROUP BY ALL), b AS (SELECT request_id, count(DISTINCT block_no) AS blocks FROM blocks GROUP BY ALL)
         SELECT request_id, direct, {toks("question")} AS reported, direct - {toks("question")} AS saved, CASE WHEN direct = 0 THEN 0.0 ELSE round(100.0::DOUBLE * (direct - {toks("question")}) / direct, 1) END AS percent, lines, blocks FROM d JOIN requests USING (request_id) JOIN b USING (request_id)""",
     "no_readable_input": f"WITH r AS ({REQUESTS}), f AS ({FILES}) SELECT request_id, string_agg(concat(path, ': no existe'), '; ' ORDER BY ord) AS reasons FROM r JOIN f USING (request_id) WHERE request_id % 80 <> 0 AND ord < 3 GROUP BY ALL",
     "locate_in_corpus": f"""WITH {_PASSAGES}
         SELECT item_id, doc_id, (length(head) + 1)::INT AS position FROM h WHERE head IS NOT NULL""",
+    "passage_index": f"""WITH {_PASSAGES}, p AS (SELECT item_id, doc_id, (length(head) + 1)::INT AS position FROM h WHERE head IS NOT NULL)
+        SELECT *, 1::INT AS search FROM p WHERE doc_id % 3 < 2 UNION ALL SELECT *, 2 FROM p""",
     "answer_key": f"WITH RECURSIVE {KEYS} SELECT request_id, key FROM keys",
     "split_cached": f"SELECT request_id, CASE WHEN request_id % 60 = 0 THEN concat('new ', question) END AS report FROM ({REQUESTS})",
     "to_store": f"WITH {CLAIMS} SELECT sha256(request_id::VARCHAR) AS key, sha256(content) AS report FROM responses WHERE request_id NOT IN (SELECT request_id FROM unformatted)",

@@ -16,10 +16,11 @@ from pyspark.sql.types import BinaryType
 from . import fixtures as fx
 from .functions.numbers import numeric_values as numbers_of
 from .functions.text import clean_quote, content_words, covered, digit_strings, is_code, lines, normalize, stems, tokens, touches, wrap
-from .lineage import new_folder, remove_folder
+from .lineage import cut, new_folder, remove_folder
 from .jobs.evaluation import evaluate as evaluate_cases
 from .jobs.grounded import to_prompts, to_reports, to_summary
 from .operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
+from .operators.passages import PassageIndex
 from .operators.store import AnswerStore
 from .sources import files, sinks
 from .sources.big import read_big_lines
@@ -302,6 +303,17 @@ def compose_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir).reports
 
 
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims about all documents as one request's, with every eleventh document among its unread files: its report in parts of 2,000 characters."""
+    one, ids = F.lit(0).cast("long").alias("request_id"), F.col("request_id")
+    verdicts = cut(_verdicts(spark, sf_dir).withColumn("pos", F.struct(ids.cast("int").alias("ord"), F.col("pos.line").alias("line"))).withColumn("block_no", ids.cast("int")).withColumn("request_id", one))
+    off = verify.flag_unformatted(fx.derived(spark, sf_dir, fx.RESPONSES), _claims(spark, sf_dir)).withColumn("request_id", one)
+    rows = fx.derived(spark, sf_dir, fx.FILES).where("doc_id % 11 = 5")
+    unread = rows.select(one, F.col("doc_id").cast("int").alias("ord"), "path", F.lit("no existe").alias("reason"))
+    request = spark.range(1).select(F.col("id").alias("request_id"))
+    return report.report_parts(request, report.dedupe_verified(verdicts), report.tally_rejections(verdicts, off), unread, 2000).select("section", "part", F.sha2("text", 256).alias("text"))
+
+
 def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.derived(spark, sf_dir, fx.FILES)
     answers = fx.derived(spark, sf_dir, fx.REQUESTS).select("request_id", F.col("question").alias("report"))
@@ -319,6 +331,16 @@ def locate_in_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.locate_in_corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), fx.documents(spark, sf_dir))
 
 
+def passage_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of two thirds of the documents, searched; then of all of them, searched again."""
+    index = PassageIndex(spark, new_folder(spark, "passages"))
+    docs, quotes = fx.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    index.add(docs.where("doc_id % 3 < 2"))
+    first = cut(index.locate(quotes).withColumn("search", F.lit(1)))
+    index.add(docs.where("doc_id % 3 = 2"))
+    return first.unionByName(index.locate(quotes).withColumn("search", F.lit(2)))
+
+
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.answer_key(fx.derived(spark, sf_dir, fx.REQUESTS), _blocks(spark, sf_dir), None, "end", "reads-text", "reads-code", 1024, 0.5)
 
@@ -533,7 +555,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots passage_index report_parts
 """.split()
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,10 +88,14 @@ def _hidden(attributes: dict[str, str]) -> bool:
 def blocks(page: str, by_name: bool = True) -> list[_Block]:
     """The page's non-empty blocks in order. article: number of the declared article it is in, 0 for none. by_name: class names and forms count."""
     out: list[_Block] = []
-    stack: list[list] = []  # open containers: tag, whether their text never counts, whether for good reason
+    stack: list[str] = []  # open containers
+    open_of: Counter[str] = Counter()
+    # Of the open containers those whose text never counts: place on the stack, and whether for good reason; how many for good reason.
+    bads: list[tuple[int, bool]] = []
+    sure_bad = 0
     articles: list[int] = []
     endless: set[str] = set()  # raw elements without an end tag from here on
-    count, never, links, at = 0, 0, 0, 0
+    count, links, at = 0, 0, 0
     passing = ""  # open element without text
     now = _Block(False, 0, "")
 
@@ -98,7 +103,7 @@ def blocks(page: str, by_name: bool = True) -> list[_Block]:
         nonlocal now
         if now.parts and any(not t.isspace() for t, _ in now.parts):
             out.append(now)
-        now = _Block(never > 0, articles[-1] if articles else 0, tag)
+        now = _Block(bool(bads), articles[-1] if articles else 0, tag)
 
     def add(raw: str) -> None:
         if raw and not passing:
@@ -138,13 +143,14 @@ def blocks(page: str, by_name: bool = True) -> list[_Block]:
         links = 0
         hide = False
         if name in _CONTAINERS and closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for tag, bad, _ in stack[k:]:
-                        never -= bad
-                        if tag in _BODY and articles:
-                            articles.pop()
-                    del stack[k:]
+            while open_of[name]:  # an end tag ends what it has a beginning of, and all that is open within
+                tag = stack.pop()
+                open_of[tag] -= 1
+                if bads and bads[-1][0] == len(stack):
+                    sure_bad -= bads.pop()[1]
+                if tag in _BODY and articles:
+                    articles.pop()
+                if tag == name:
                     break
         elif name in _CONTAINERS:
             attributes = _attributes(raw)
@@ -155,16 +161,17 @@ def blocks(page: str, by_name: bool = True) -> list[_Block]:
             if name in _BODY:
                 # An article is ruled out by what it is in, or as a reader's comment within another one, not by a name of its own.
                 bad = hide or bool(articles) and bool(_COMMENT.search(attributes.get("class", "")))
-                if not bad and not any(b and s for _, b, s in stack):
-                    for entry in stack:  # what holds an article is neither advert nor form
-                        never -= entry[1]
-                        entry[1] = False
+                if not bad and not sure_bad:
+                    bads.clear()  # what holds an article is neither advert nor form
                 count += 1
                 articles.append(count if not articles else articles[-1])
             else:
                 bad = hide or named or name in _NEVER and (by_name or name != "form") or name == "header" and not articles
-            stack.append([name, bad, sure])
-            never += bad
+            if bad:
+                bads.append((len(stack), bool(sure)))
+                sure_bad += bool(sure)
+            stack.append(name)
+            open_of[name] += 1
         elif name == "p" and not closing:
             hide = _hidden(_attributes(raw))
         close("" if closing else name)

@@ -320,9 +320,9 @@ def rare_words(docs: DataFrame, sent, buckets: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)])
                 n = np.diff(np.concatenate([new, [len(h)]]))
                 h, row = h[new], row[new]
-                # One entry more for each row, so that rows can be told how often they occur.
+                # One entry more for each row, so that rows can be told how often they occur; by document and text, as many documents may have one text.
                 mark = np.arange(len(off) - 1)
-                held.append((np.concatenate([h, text.astype(np.int64).view(np.uint64)]), np.concatenate([n, np.zeros(len(mark), np.int64)]), learnt[np.concatenate([row, mark])].astype(bool), doc[np.concatenate([row, mark])], text[np.concatenate([row, mark])]))
+                held.append((np.concatenate([h, mix(doc.astype(np.int64).view(np.uint64) + text.astype(np.int64).view(np.uint64))]), np.concatenate([n, np.zeros(len(mark), np.int64)]), learnt[np.concatenate([row, mark])].astype(bool), doc[np.concatenate([row, mark])], text[np.concatenate([row, mark])]))
                 size += len(flat)
                 if size >= BLOCK:
                     yield rows(held)

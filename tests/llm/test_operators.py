@@ -441,6 +441,29 @@ def test_neighbours_in_several_shards(spark, monkeypatch, least, most, shards):
     assert sum(len({j for _, j in near} & got[q]) for q, near in want.items()) / (20 * len(want)) >= 0.95
 
 
+def test_nested_pages_take_time_in_proportion():
+    """Open containers and end tags without a beginning cost the same each, however deep they are."""
+    import time
+
+    from quotelens.llm import html
+
+    began = time.monotonic()
+    assert [b.article for b in html.blocks("<article><div class='ad'>" * 20_000 + "x")] == [1]
+    assert len(html.blocks("<div>" * 20_000 + "</nav>" * 20_000 + "x")) == 1
+    assert time.monotonic() - began < 8
+
+
+def test_equal_texts_of_many_documents_fall_into_many_buckets():
+    """What tells rows of a text apart is dealt by document and text, so empty or equal texts don't gather."""
+    import numpy as np
+
+    from quotelens.llm.bytesets import mix
+
+    doc, text = np.arange(1000, dtype=np.int64), np.full(1000, 7, np.int64)
+    marks = mix(doc.view(np.uint64) + text.view(np.uint64))
+    assert len(np.unique(marks)) == 1000 and np.bincount((marks >> np.uint64(32)).astype(np.int64) % 16, minlength=16).max() < 120
+
+
 @pytest.mark.parametrize(("n", "low", "high"), [(6000, 0.2, 5.0), (2000, 1e-3, 1e3)])
 def test_neighbours_of_vectors_with_differing_norms(spark, n, low, high):
     """The largest inner product favours long vectors: those of all lengths are asked for."""

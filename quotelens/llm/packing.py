@@ -63,67 +63,101 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
+class Lengths:
+    """How many pieces are left of each length, and which sums two of them make: an index that is kept as lengths run out."""
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        self.left[: len(counts)] = counts
+        self.left[0] = 0
+        self.capacity = capacity
+        self.there = (self.left > 0).astype(np.int64)
+        #: For each sum, the number of pairs of different lengths that make it, both left, and one more if two pieces of half its length are.
+        self.pairs = np.convolve(self.there, self.there)[: capacity + 1]
+        halves = np.arange(0, capacity // 2 + 1)
+        self.pairs[2 * halves] -= self.there[halves]
+        self.pairs //= 2
+        self.pairs[2 * halves] += self.left[halves] > 1
+
+    def add(self, length: int, many: int) -> None:
+        """So many pieces more, or fewer, of a length; the index follows where the length runs out or comes back."""
+        before = int(self.left[length])
+        after = self.left[length] = before + many
+        if (before > 0) != (after > 0):
+            step = 1 if after > 0 else -1
+            self.there[length] = 0  # a length makes no pair of different lengths with itself
+            self.pairs[length:] += step * self.there[: self.capacity + 1 - length]
+            self.there[length] = after > 0
+        if (before > 1) != (after > 1) and 2 * length <= self.capacity:
+            self.pairs[2 * length] += 1 if after > 1 else -1
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """The two lengths of that sum that can be taken most often."""
+        if total < 2 or not self.pairs[total]:
+            return None
+        a = np.arange((total + 1) // 2, total)
+        often = np.minimum(self.left[a], self.left[total - a])
+        often[a == total - a] //= 2
+        best = int(a[often.argmax()])
+        return best, total - best
+
+    def fills(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths of that sum, as few as can be; of several pairs the one that can be taken most often, with the longest third length that leaves one."""
+        if self.left[gap]:
+            return (gap,)
+        two = self.pair(gap)
+        if two:
+            return two
+        third = np.flatnonzero(self.there[:gap])
+        for c in third[self.pairs[gap - third] > 0][::-1].tolist():
+            self.add(c, -1)  # held back, as the pair may want that length too
+            two = self.pair(gap - c)
+            self.add(c, 1)
+            if two:
+                return c, *two
+        return None
+
+
 def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
     """Rows (length, first rank, ranks, first sequence, offset): pieces of that length and those ranks lie at that offset of consecutive sequences.
 
-    Longest pieces first. For the gap that a piece leaves, one, two or three lengths that fill it exactly are taken, as
-    often as their counts allow; where none do, the longest that fits goes in, and what is left of the gap is tried again.
+    Longest pieces first. For the gap that a piece leaves, one, two or three lengths that fill it exactly are looked up, as
+    their counts allow; where none do, the longest that fits goes in, and what is left of the gap is tried again.
     Each step uses up a length, so steps are bounded by lengths, not by pieces.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    left[: len(counts)] = counts
+    lengths = Lengths(counts, capacity)
+    left = lengths.left
     used = np.zeros(capacity + 1, np.int64)
     rows: list[tuple[int, int, int, int, int]] = []
     sequence = 0
     longest = capacity
 
-    def fills(gap: int) -> tuple[int, ...] | None:
-        """The one, two or three available lengths of that sum that can be used most often."""
-        if left[gap]:
-            return (gap,)
-        a = np.arange((gap + 1) // 2, gap)
-        often = np.minimum(left[a], left[gap - a])
-        often[a == gap - a] //= 2
-        if len(a) and often.max() > 0:
-            best = int(a[often.argmax()])
-            return best, gap - best
-        there = np.flatnonzero(left[1:gap]) + 1
-        for c in there[::-1].tolist():
-            rest = gap - c
-            b = there[(there <= c) & (there < rest) & (2 * there >= rest)]
-            good = b[left[rest - b] > 0]
-            for x in good[::-1].tolist():
-                trio = (c, x, rest - x)
-                if all(left[v] >= trio.count(v) for v in set(trio)):
-                    return trio
-        return None
-
     while True:
         while longest and not left[longest]:
             longest -= 1
         if not longest:
             break
         parts, gap = [longest], capacity - longest
-        left[longest] -= 1  # held back while the gap is filled
+        lengths.add(longest, -1)  # held back while the gap is filled
         while gap:
-            found = fills(gap)
+            found = lengths.fills(gap)
             if found is None:
                 below = np.flatnonzero(left[1 : gap + 1])
                 if not len(below):
                     break
                 found = (int(below[-1]) + 1,)
             for v in found:
-                left[v] -= 1
+                lengths.add(v, -1)
             parts += found
             gap -= sum(found)
         for v in parts:
-            left[v] += 1
+            lengths.add(v, 1)
         times = min(int(left[v]) // parts.count(v) for v in set(parts))
         offset = 0
         for v in parts:
             rows.append((v, int(used[v]), times, sequence, offset))
             used[v] += times
-            left[v] -= times
+            lengths.add(v, -times)
             offset += v
         sequence += times
     out = np.array(rows, np.int64).reshape(-1, 5)

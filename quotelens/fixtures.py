@@ -20,6 +20,8 @@ def _words(line: str, a: int, b: int) -> str:
 PATH = "concat(d.source, '/', CAST(d.doc_id AS STRING), CASE d.doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' ELSE '.sql' END)"
 #: Twenty documents a request.
 FILES = f"SELECT d.doc_id, CAST(d.doc_id - d.doc_id % 20 AS BIGINT) AS request_id, CAST(d.doc_id % 20 AS INT) AS ord, {PATH} AS path, d.text AS content FROM {_DOCS} d"
+#: All documents in one request, far enough apart that it is packed in several ranges of files.
+ONE_REQUEST = f"SELECT d.doc_id, CAST(0 AS BIGINT) AS request_id, CAST(d.doc_id * 5 AS INT) AS ord, {PATH} AS path, d.text AS content FROM {{docs}} d"
 REQUESTS = f"SELECT d.doc_id AS request_id, concat({_words(_FIRST, 1, 6)}, '?') AS question FROM {_DOCS} d WHERE d.doc_id % 20 = 0"
 
 _QUOTE = _words(_FIRST, 2, 8)

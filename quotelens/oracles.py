@@ -216,13 +216,14 @@ ORACLE = {
     "office_lines": f"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, {q(SPACES + "+")}, ' ', 'g'))), lambda x: x <> '') AS p FROM documents)
         SELECT doc_id, (i - 1)::INT AS line_index, p[i] AS text, concat('párrafo ', i::VARCHAR) AS location FROM t, unnest(range(1, len(p) + 1)) u(i)""",
     "extract": f"""SELECT doc_id, concat(doc_id::VARCHAR, CASE doc_id % 4 WHEN 2 THEN '.HTM' WHEN 3 THEN '.docx' ELSE '.txt' END) AS path,
-        (CASE doc_id % 4 WHEN 0 THEN len({split("text")}) WHEN 2 THEN 3 END)::INT AS n_lines, CASE WHEN doc_id % 2 = 0 THEN 'línea' END AS unit,
+        (CASE doc_id % 4 WHEN 0 THEN len({split("text")}) WHEN 2 THEN len({_SQUEEZED}) END)::INT AS n_lines, CASE WHEN doc_id % 2 = 0 THEN 'línea' END AS unit,
         CASE doc_id % 4 WHEN 1 THEN {q(BINARY)} WHEN 3 THEN {q(INVALID)} END AS reason FROM documents""",
     "wrapped_files": f"SELECT doc_id, {CODE} AS is_code, {toks('w')} AS tokens, sha256(w) AS wrapped FROM (SELECT *, {WRAPPED.format(attributes=chr(39) * 2, text='content')} AS w FROM ({FILES}))",
     "large_sources": f"SELECT path, n_lines::INT AS n_lines FROM (SELECT path, len(string_split(content, chr(10))) - CASE WHEN right(content, 1) = chr(10) OR content = '' THEN 1 ELSE 0 END AS n_lines FROM ({FILES}) WHERE {CODE}) WHERE n_lines > 12",
     "request_budget": f"SELECT request_id, t AS question_tokens, 10 - t AS budget, CASE WHEN t >= 10 THEN concat('question takes ', t::VARCHAR, ' tokens and leaves no room for files') ELSE '' END AS reason FROM (SELECT request_id, {toks('question')} AS t FROM ({REQUESTS}))",
     "chunk_lines": f"WITH RECURSIVE {CHUNKS} SELECT request_id, ord, part::INT AS part, parts::INT AS parts, first_line::INT AS first_line, n_lines::INT AS n_lines, {toks('wrapped')} AS tokens, is_code, sha256(wrapped) AS wrapped FROM chunks",
     "pack_blocks": f"WITH RECURSIVE {BLOCKS} SELECT request_id, ord, part::INT AS part, block_no::INT AS block_no FROM packed",
+    "pack_one_request": f"WITH RECURSIVE {BLOCKS.replace(FILES, fx.duck(fx.ONE_REQUEST))} SELECT ord, part::INT AS part, block_no::INT AS block_no FROM packed",
     "build_blocks": f"WITH RECURSIVE {BLOCKS} SELECT request_id, block_no::INT AS block_no, is_code, n_chunks::INT AS n_chunks, sha256(text) AS text FROM blocks",
     "render_prompts": f"WITH RECURSIVE {BLOCKS} SELECT request_id, block_no::INT AS block_no, model, sha256({q(SYSTEM)}) AS system, sha256(user_text) AS \"user\" FROM prompts",
     "request_json": f"WITH RECURSIVE {BLOCKS} SELECT request_id, block_no::INT AS block_no, model, 0.5::DOUBLE AS temperature, 1024::INT AS max_tokens, 'false' AS stream, 'system' AS first_role, sha256(user_text) AS \"user\" FROM prompts",

@@ -9,7 +9,7 @@ import zipfile
 from html import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -57,11 +57,18 @@ def office_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.office_lines(made).select("doc_id", "line_index", "text", "location")
 
 
+def _as_html(text: Column) -> Column:
+    """A text as HTML gives it back, with a break for each line end."""
+    for raw, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br>")):
+        text = F.replace(text, F.lit(raw), F.lit(written))
+    return text
+
+
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By turns text, text with a NUL, HTML and a broken Word file: lines counted, reasons given."""
+    """Whole texts, by turns as text, as text with a NUL, as HTML and as a broken Word file: lines counted, reasons given."""
     docs, turn = fx.documents(spark, sf_dir), F.col("doc_id") % 4
     path = F.concat(F.col("doc_id").cast("string"), F.when(turn == 2, ".HTM").when(turn == 3, ".docx").otherwise(".txt"))
-    content = F.when(turn == 1, F.concat(F.lit("a\0"), F.col("text"))).when(turn == 2, F.concat(F.lit("<p>a<br>b</p><script>x</script>"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
+    content = F.when(turn == 1, F.concat(F.lit("a\0"), F.col("text"))).when(turn == 2, F.concat(F.lit("<p>"), _as_html(F.col("text")), F.lit("</p><script>x</script>"))).otherwise(F.col("text"))
     good, bad = files.extract(docs.select("doc_id", path.alias("path"), content.cast("binary").alias("content")))
     good = good.select("doc_id", "path", F.size("lines").alias("n_lines"), "unit", F.lit(None).cast("string").alias("reason"))
     return good.unionByName(bad.select("doc_id", "path", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("unit"), "reason"))
@@ -157,6 +164,12 @@ def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pack_blocks(_chunks(spark, sf_dir), fx.BUDGET).select("request_id", "ord", "part", "block_no")
 
 
+def pack_one_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the files of one request, packed in ranges."""
+    rows = fx.derived(spark, sf_dir, fx.ONE_REQUEST).withColumn("lines", lines(F.col("content")))
+    return chunking.pack_blocks(chunking.chunk_lines(rows, fx.BUDGET), fx.BUDGET).select("ord", "part", "block_no")
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.build_blocks(chunking.pack_blocks(_chunks(spark, sf_dir), fx.BUDGET))
 
@@ -555,7 +568,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots passage_index report_parts
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots passage_index report_parts pack_one_request
 """.split()
 
 

@@ -140,6 +140,8 @@ def fit(texts: dict[str, bytes]) -> dict:
 
 
 _STATE = np.int32(2**31 - 1)
+#: Times that lanes are parsed again side by side; what hasn't met by then (as in a long run of one letter) is walked straight through.
+PASSES = 12
 
 
 def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -170,7 +172,9 @@ def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.nda
         # Then from the state in which the lane before ends, until both are in the same state; from there on nothing differs.
         todo = np.flatnonzero(number > 0)
         alone = count.copy()
-        while len(todo):
+        for _ in range(PASSES):
+            if not len(todo):
+                break
             lane, at, more = todo, ends[todo - 1], np.zeros(len(todo), np.int64)
             left, was = np.arange(len(todo)), np.zeros(len(todo), np.int64)
             before = ends[todo]
@@ -190,11 +194,34 @@ def phrases(model: dict, tables: list[np.ndarray], flat: np.ndarray, off: np.nda
             # A lane that ends otherwise than was taken for true has its successor parsed again.
             moved = lane[ends[lane] != before] + 1
             todo = moved[(moved < len(row)) & (number[np.minimum(moved, len(row) - 1)] > 0)]
+        _walk(table, grid, row, todo, count, ends)
         np.add.at(out[:, i], row, count)
         out[sizes > 0, i] += 1
     return out
 
 
+def _walk(table: np.ndarray, grid: np.ndarray, row: np.ndarray, todo: np.ndarray, count: np.ndarray, ends: np.ndarray) -> None:
+    """Settle lanes that are still to be parsed again, and those after them in their rows as far as it matters: byte by byte, so in time proportional to the text."""
+    step_of, past, open_ = memoryview(np.ascontiguousarray(table)).cast("B").cast("i"), 0, set(todo.tolist())
+    for first in sorted(open_):
+        if first < past:  # settled with an earlier one
+            continue
+        lane, state = first, int(ends[first - 1])
+        while True:
+            more = 0
+            for c in grid[:, lane].tolist():
+                step = step_of[state + c]
+                if step < 0:
+                    more += 1
+                state = step & 0x7FFFFFFF
+            same, count[lane], ends[lane] = state == ends[lane], more, state
+            lane += 1
+            # It goes on within the row, unless the next lane was parsed from this very state.
+            if lane == len(row) or row[lane] != row[first] or same and lane not in open_:
+                break
+        past = lane
+
+
 def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; other columns play no part.
 

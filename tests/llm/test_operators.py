@@ -441,6 +441,29 @@ def test_neighbours_in_several_shards(spark, monkeypatch, least, most, shards):
     assert sum(len({j for _, j in near} & got[q]) for q, near in want.items()) / (20 * len(want)) >= 0.95
 
 
+def test_long_runs_are_parsed_in_time_in_proportion(monkeypatch):
+    """Lanes that never meet: the phrases of passes without end, and a megabyte of one letter in seconds."""
+    import time
+
+    import numpy as np
+
+    from quotelens.llm import language
+
+    model = language.fit({"a": (b"aaab abab aaaaaaaaaaaaaaaaaaaab " * 20), "b": b"bcbcbd aabba " * 30})
+    tables = [language.walker(*edges, model["classes"], model["width"]) for edges in model["edges"]]
+    texts = [b"a" * 20_000, b"ab" * 9_000 + b"zz", b"", b"bc" * 700, b"aaab" * 4_000 + b"q" * 3_000 + b"aaab" * 2_000]
+    flat, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = language.phrases(model, tables, flat, off)
+    monkeypatch.setattr(language, "PASSES", 10**6)
+    assert (language.phrases(model, tables, flat, off) == got).all()
+    monkeypatch.setattr(language, "PASSES", 0)
+    assert (language.phrases(model, tables, flat, off) == got).all()
+    monkeypatch.undo()
+    began = time.monotonic()
+    language.phrases(model, tables, np.full(1_000_000, 97, np.uint8), np.array([0, 1_000_000]))
+    assert time.monotonic() - began < 10
+
+
 def test_nested_pages_take_time_in_proportion():
     """Open containers and end tags without a beginning cost the same each, however deep they are."""
     import time

@@ -19,7 +19,7 @@ from .files import BINARY, LINE, PROBE
 #: Up to so many splits are sent to all tasks, about 100 bytes each; a table of more is joined by shuffling.
 SENT = 1 << 18
 #: What ends a line, but for what a line feed ends.
-_OTHER_END = "[\x0b\x0c\x1c\x1d\x1e\x85  ]\\z"
+_OTHER_END = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]\\z"
 _BOM = 3
 
 
@@ -89,6 +89,6 @@ def read_big_lines(spark: SparkSession, *paths: str, above: int = 0, without: li
     # What ends the last line of a file without a line feed leaves an empty line behind that is none.
     joined = joined.where(~(F.col("cut") & (F.col("number") == F.col("last"))))
     index = F.col("before") + F.col("number") - F.col("first")
-    own = F.when(F.col("mark") & (F.col("number") == F.col("first")), F.concat(F.lit("﻿"), "text")).otherwise(F.col("text"))
+    own = F.when(F.col("mark") & (F.col("number") == F.col("first")), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text"))
     lines = joined.select("path", index.alias("line_index"), own.alias("text"), F.concat(F.lit(LINE + " "), (index + 1).cast("string")).alias("location"))
     return BigLines(lines, binary.select("path", F.lit(BINARY).alias("reason")))

@@ -31,17 +31,17 @@ def plain(raw: bytes):
 
 
 def some_text(rng, n):
-    ends = ["\n", "\n", "\n", "\r\n", "\r", "\r\r\n", "\n\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " ", "\x1f"]
-    return "".join(rng.choice(["añ", "😀", "x y", "", "línea ", "﻿"]) * rng.randint(0, 9) + rng.choice(ends) for _ in range(n))
+    ends = ["\n", "\n", "\n", "\r\n", "\r", "\r\r\n", "\n\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\x1f"]
+    return "".join(rng.choice(["añ", "😀", "x y", "", "línea ", "\ufeff"]) * rng.randint(0, 9) + rng.choice(ends) for _ in range(n))
 
 
 def test_big_files(spark, tmp_path, tiny_splits):
     rng = random.Random(4)
     contents = {f"r{k}.txt": some_text(rng, rng.choice([1, 2, 40, 400])).encode() for k in range(12)}
     contents |= {
-        "empty.txt": b"", "one.txt": b"x", "feed.txt": b"\n", "cr.txt": b"a\r", "crlf.txt": b"a\r\nb\r\n", "vt.txt": b"a\x0b", "vt feed.txt": b"a\x0b\n", "only vt.txt": b"\x0b", "vt cr.txt": b"a\x0b\r", "sep.txt": "a ".encode(),
-        "mark.txt": "﻿a\nb".encode(), "mark end.txt": "﻿a\nb\n".encode(), "mark only.txt": "﻿a".encode(), "bad.txt": b"a\xff\xfe\xc3\nb\xe2\x82", "100% + ñ.txt": b"a\nb", "long line.txt": b"y" * 5000 + b"\r\n" + b"z" * 3000,
-        "nul first.txt": b"\0", "nul in time.txt": b"ab\n" * 2730 + b"c\0d\n", "nul at end of probe.txt": b"x" * 8191 + b"\0", "nul too late.txt": b"x" * 8192 + b"\0\ny", "nul later.txt": b"ab\n" * 2731 + b"\0\n", "nul and mark.txt": "﻿".encode() + b"x" * 8188 + b"\0", "nul after mark.txt": "﻿".encode() + b"x" * 8189 + b"\0",
+        "empty.txt": b"", "one.txt": b"x", "feed.txt": b"\n", "cr.txt": b"a\r", "crlf.txt": b"a\r\nb\r\n", "vt.txt": b"a\x0b", "vt feed.txt": b"a\x0b\n", "only vt.txt": b"\x0b", "vt cr.txt": b"a\x0b\r", "sep.txt": "a\u2028".encode(),
+        "mark.txt": "\ufeffa\nb".encode(), "mark end.txt": "\ufeffa\nb\n".encode(), "mark only.txt": "\ufeffa".encode(), "bad.txt": b"a\xff\xfe\xc3\nb\xe2\x82", "100% + ñ.txt": b"a\nb", "long line.txt": b"y" * 5000 + b"\r\n" + b"z" * 3000,
+        "nul first.txt": b"\0", "nul in time.txt": b"ab\n" * 2730 + b"c\0d\n", "nul at end of probe.txt": b"x" * 8191 + b"\0", "nul too late.txt": b"x" * 8192 + b"\0\ny", "nul later.txt": b"ab\n" * 2731 + b"\0\n", "nul and mark.txt": "\ufeff".encode() + b"x" * 8188 + b"\0", "nul after mark.txt": "\ufeff".encode() + b"x" * 8189 + b"\0",
     }
     for name, raw in contents.items():
         (tmp_path / name).write_bytes(raw)
@@ -72,7 +72,7 @@ def test_big_files_are_read_by_many_tasks(spark, tmp_path, tiny_splits):
 
 def test_documents_of_any_size(spark, tmp_path, tiny_splits):
     """Small and large files of all kinds in one call: the large texts by splits, large files of other kinds with a reason."""
-    text = "uno\r\ndos tres\n" * 300
+    text = "uno\r\ndos\u2028tres\n" * 300
     (tmp_path / "small.txt").write_bytes(b"a\nb")
     (tmp_path / "large.txt").write_bytes(text.encode())
     (tmp_path / "small.docx").write_bytes(_zip("word/document.xml", _word("p q\n\nr")))

@@ -134,7 +134,6 @@ def test_codes(spark):
     nan, inf = float("nan"), float("inf")
     odd = [(1, None, 1), (2, [nan] * 64, 1), (4, [inf] + [0.0] * 63, 1), (5, [None] + [0.0] * 63, 1), (7, [0.0] * 64, None), (8, [0.5] * 32, 1), (10, [], 1), (11, [0.1] * 17, 1), (-1, [0.25] * 64, 9), (None, [0.5] * 64, 9), rows[9], rows[9]]
     df = spark.createDataFrame(rows + odd, VECTORS).repartition(5)
-    assert rows_of(codes.op11(df)) == plain_codes(rows + odd)[0]
     assert rows_of(codes.op11(clashing(df))) == plain_codes(rows + odd)[0]
 
 
@@ -228,7 +227,6 @@ def test_alignment(spark, corpus):
     rows = [(r[0], r[1]) for r in corpus] + [(1000 + k, t) for k, t in enumerate(ODD)]
     want, pairs = plain_alignment(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert rows_of(alignment.align(df)) == want
     assert rows_of(alignment.align(clashing(df))) == want
     assert sum(w[1] == 0 for w in want) < 20  # most of them have tokens
     best = defaultdict(int)

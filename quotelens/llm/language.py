@@ -29,8 +29,10 @@ from .frames import fold_of, tidy
 
 #: Bounds of the sample that the automata are fitted on: documents for each language, bytes for each language and in all.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ALL = 64, 32_768, 262_144
-#: Languages that are learnt, those with the most labelled rows; ties in alphabetical order.
-MOST_LANGUAGES = 128
+#: Languages that are learnt unless the caller asks for more, those with the most labelled rows; ties in alphabetical order.
+MOST_LANGUAGES = 1024
+#: Languages whose tables a worker has at a time.
+GROUP = 128
 LANE = 512
 _WORDLIKE = re.compile(r"[^\W\d_]")
 
@@ -97,12 +99,12 @@ def walker(source: np.ndarray, byte: np.ndarray, target: np.ndarray, classes: np
     return table.ravel()
 
 
-def sample(docs: DataFrame, learn_from) -> dict[str, bytes]:
+def sample(docs: DataFrame, learn_from, languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
     """Bounded sample of labelled whole documents, by language: of SAMPLE_DOCS documents picked by hash as many as give SAMPLE_BYTES, short ones of
-    200 bytes and more first, so that many of them speak for the language; the last one is cut. So about twice SAMPLE_BYTES for each of MOST_LANGUAGES reach the driver.
+    200 bytes and more first, so that many of them speak for the language; the last one is cut. So about twice SAMPLE_BYTES for each of at most `languages` reach the driver.
     """
     known = docs.where(learn_from & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
     size = F.octet_length("text")
     before = Window.partitionBy("lang").orderBy(size < 200, size, "rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +118,7 @@ def sample(docs: DataFrame, learn_from) -> dict[str, bytes]:
     texts: dict[str, list[bytes]] = {}
     for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["before"], r["rank"])):
         texts.setdefault(row["lang"], []).append(row["text"].encode())
-    most = max(2048, min(SAMPLE_BYTES, SAMPLE_ALL // max(1, len(texts))))
+    most = max(2048, min(SAMPLE_BYTES, SAMPLE_ALL // max(1, min(GROUP, len(texts)))))
     return {lang: b" ".join(_fill(parts, most)) for lang, parts in sorted(texts.items())}
 
 
@@ -130,7 +132,7 @@ def _fill(parts: list[bytes], most: int) -> Iterator[bytes]:
 
 
 def fit(texts: dict[str, bytes]) -> dict:
-    """What tasks need: languages, byte classes, transitions, and what a phrase of each language weighs; its size is bounded by SAMPLE_ALL."""
+    """What tasks need of at most GROUP languages: their names, byte classes, transitions, and what a phrase of each weighs; its size is bounded by SAMPLE_ALL."""
     parts = {lang: folded(x := np.frombuffer(text, np.uint8), np.array([0, len(x)]))[0] for lang, text in texts.items()}
     used = np.unique(np.concatenate([*parts.values(), np.zeros(0, np.uint8)])).astype(np.uint8)
     classes = np.full(256, 1, np.int64)  # 0: padding, 1: a byte that no sample has
@@ -139,6 +141,12 @@ def fit(texts: dict[str, bytes]) -> dict:
     return {"langs": list(parts), "classes": classes, "width": len(used) + 2, "edges": [automaton(x) for x in parts.values()], "weights": weights}
 
 
+def fit_groups(texts: dict[str, bytes]) -> list[dict]:
+    """fit() for each GROUP languages."""
+    langs = list(texts)
+    return [fit({lang: texts[lang] for lang in langs[a : a + GROUP]}) for a in range(0, len(langs), GROUP)]
+
+
 _STATE = np.int32(2**31 - 1)
 #: Times that lanes are parsed again side by side; what hasn't met by then (as in a long run of one letter) is walked straight through.
 PASSES = 12
@@ -222,41 +230,48 @@ def _walk(table: np.ndarray, grid: np.ndarray, row: np.ndarray, todo: np.ndarray
         past = lane
 
 
-def identify(docs: DataFrame, learn_from=None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, learn_from=None, text: str = "text", languages: int = MOST_LANGUAGES) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; other columns play no part.
 
-    learn_from: condition on the rows that may be learnt from (with a non-null lang). Null text, or text without a letter:
+    learn_from: condition on the rows that may be learnt from (with a non-null lang). languages: how many are learnt at most; every one may be told of a row. Null text, or text without a letter:
     `und`, score 0. No labelled row at all: `und` for every row. Ties: the language first in alphabetical order. Repeated rows get equal
     results; a very long text is parsed whole. Empty table: no rows. The score is 0.5 where the two best languages need equally many
     normalised phrases, and nears 1 as the second needs more.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"), "lang")
-    out = _predict(docs.select("doc_id", "text"), sample(docs, F.lit(True) if learn_from is None else learn_from))
+    out = _predict(docs.select("doc_id", "text"), sample(docs, F.lit(True) if learn_from is None else learn_from, languages))
     return out.select("doc_id", "lang_pred", "score")
 
 
-def label(docs: DataFrame, learn_from=None) -> DataFrame:
+def label(docs: DataFrame, learn_from=None, languages: int = MOST_LANGUAGES) -> DataFrame:
     """The rows of docs with lang_pred and score added; learns as identify() does. Columns of those names in docs are replaced."""
     docs = docs.drop("lang_pred", "score")
-    return _predict(docs, sample(docs.select("doc_id", "text", "lang"), F.lit(True) if learn_from is None else learn_from))
+    return _predict(docs, sample(docs.select("doc_id", "text", "lang"), F.lit(True) if learn_from is None else learn_from, languages))
 
 
 def _predict(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
     """All columns of docs and the prediction from the column text."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(texts))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_groups(texts))
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        tables = [walker(*edges, model["classes"], model["width"]) for edges in model["edges"]]
-        langs = np.array([*model["langs"], "und"], object)
+        models, held = sent.value, {}
+        langs = np.array([*(lang for m in models for lang in m["langs"]), "und"], object)
+
+        def counted(model: dict, *row: np.ndarray) -> np.ndarray:
+            tables = held.get(id(model))
+            if tables is None:  # of several groups only one has its tables at a time
+                held.clear()
+                tables = held[id(model)] = [walker(*edges, model["classes"], model["width"]) for edges in model["edges"]]
+            return phrases(model, tables, *row) * model["weights"]
+
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, off = utf8(part.column("text"))
                 raw = flat.tobytes()
                 has_letter = np.array([has_a_letter(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], bool)
-                if tables:
-                    counts = phrases(model, tables, flat, off) * model["weights"]
+                if models:
+                    counts = np.concatenate([counted(m, flat, off) for m in models], 1)
                     best = counts.argmin(1)
                     ranked = np.sort(counts, 1)
                     second = ranked[:, min(1, ranked.shape[1] - 1)]
@@ -265,7 +280,7 @@ def _predict(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
                     score = score**2 / (score**2 + (1 - score) ** 2)
                 else:
                     best, score = np.zeros(len(off) - 1, int), np.zeros(len(off) - 1)
-                known = has_letter & bool(tables)
+                known = has_letter & bool(models)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(langs[np.where(known, best, len(langs) - 1)], pa.string()), pa.array(np.where(known, score, 0.0))],
                     [*part.schema.names, "lang_pred", "score"],

@@ -12,10 +12,11 @@ Which strings of LENGTH bytes repeat is found in shards that hold every string w
 
 Hashes only bring together what may be equal: no byte is removed but by a class of step 3 or a comparison of bytes.
 
-Shards are cut at anchors and bounded in bytes. Strings of a hot anchor, one with more than HOT units or more than HOT_HERE differing ones
-in one block of text, meet by 128-bit digests instead: each task sends the first of equal ones alone and names the others at
+Shards are cut at anchors and bounded in bytes. Strings of a hot anchor, one with more than HOT units, more than HOT_HERE differing ones
+in one block of text or about FREQUENT in all blocks, meet by 128-bit digests instead: each task sends the first of equal ones alone and names the others at
 once, and in the sorted rows of a digest all that equal the first one, byte by byte, are repeats, so that no key gathers more than a row from
-each task's HELD strings. Units of an anchor that is hot in a block are dealt by their digests, not by their anchor.
+each task's HELD strings. Units of an anchor that is hot in a block or in all blocks are dealt by their digests, not by their anchor.
+Which anchors are frequent in all blocks is told by every LOOKED-th document; this decides on the way that units take and never on a result.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ BLOCK, SHARD = 1 << 24, 1 << 20
 HOT = 10_000
 #: Differing units of an anchor within a block that make it hot, and strings of hot anchors that a task tells apart together.
 HOT_HERE, HELD = 512, 1 << 18
+#: Units of an anchor in all blocks together that make it hot, and the share of documents (one in so many) that are looked at for it.
+FREQUENT, LOOKED = 1 << 20, 64
+#: Text of a partition in which texts meet what was found in them.
+PARTITION = 1 << 28
 NULL_ID = -(2**63)
 
 
@@ -156,11 +161,35 @@ def same_bytes(flat: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.nda
     return out
 
 
-def dealt(docs: DataFrame, buckets: int) -> DataFrame:
+def frequent_anchors(docs: DataFrame, least: int, one_of: int) -> np.ndarray:
+    """Anchors of about `least` units or more, by a look at one document in `one_of`; sorted.
+
+    An anchor with few differing units in each block needs many documents to get so many, so its share of those looked at is close to its share of all. All bytes
+    over `least` bounds how many there can be.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = units(*utf8(batch.column("text")))
+            order = np.lexsort((u["digest"], u["anchor"]))
+            anchor, digest = u["anchor"][order], u["digest"][order]
+            differs = np.ones(len(order), bool)
+            differs[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+            found, n = np.unique(anchor[differs], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+    looked = docs.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(one_of)) == 0)
+    counted = looked.mapInArrow(tidy(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") * one_of >= least).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+
+
+def dealt(docs: DataFrame, buckets: int, frequent: np.ndarray | None = None) -> DataFrame:
     """The units of each block of text, by bucket of their anchors, as blobs. Repeats within a block are told apart at once, so
     that a group of copies sends one unit for each block. An anchor with over HOT_HERE differing units in the block has them in the
-    buckets below 0, by digest, and its own bucket is told so (common).
+    buckets below 0, by digest, and its own bucket is told so (common). So have the frequent anchors, of which no bucket is told, as all blocks have them there.
     """
+    sent = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
     schema = "bucket int, common binary, " + ", ".join(f"{k} binary" for k in _BLOBS) + ", " + ", ".join(f"again_{k} binary" for k in _REPEATS)
 
     def rows(held: list[dict[str, np.ndarray]], flat: np.ndarray) -> pa.RecordBatch:
@@ -172,9 +201,10 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
         anchors = u["anchor"][order[first]]
         heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(anchors)), bool), anchors[1:] != anchors[:-1]]))
         sizes = np.diff(np.concatenate([heads, [len(anchors)]]))
-        common = np.sort(anchors[heads[sizes > HOT_HERE]])
+        known = np.isin(anchors[heads], sent.value) if sent else np.zeros(len(heads), bool)
+        common = np.sort(anchors[heads[(sizes > HOT_HERE) & ~known]])
         spread = np.zeros(len(u["anchor"]), bool)
-        spread[order] = np.repeat(sizes > HOT_HERE, sizes)[np.cumsum(first) - 1]
+        spread[order] = np.repeat((sizes > HOT_HERE) | known, sizes)[np.cumsum(first) - 1]
         of = np.where(spread, np.uint64(buckets) + u["digest"] % np.uint64(buckets), u["anchor"] % np.uint64(buckets)).astype(np.int64)
         out: dict[str, list] = {name: [] for name in ("bucket", "common", *_BLOBS, *(f"again_{k}" for k in _REPEATS))}
         keep, again = keep[np.argsort(of[keep], kind="stable")], again[np.argsort(of[again], kind="stable")]
@@ -213,7 +243,7 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
 def judged(blobs: DataFrame) -> DataFrame:
     """doc, text_hash, pos, n, and the anchor where the unit's bytes must be looked at, as another unit has that anchor; without an anchor the unit
-    is a repeat. hot: its anchor has more than HOT units, or more than HOT_HERE differing ones in some block."""
+    is a repeat. hot: its anchor has more than HOT units, more than HOT_HERE differing ones in some block, or is frequent."""
 
     def run(group: pa.Table) -> pa.Table:
         u = {k: np.frombuffer(b"".join(group.column(k).to_pylist()), _KINDS[k]) for k in _BLOBS}
@@ -488,7 +518,9 @@ def remove(docs: DataFrame, text: str = "text", beside: tuple[str, ...] = ()) ->
     )
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = count * max(1, min(4, -(-total // (count << 22))), -(-total // (count << 25)))
-    verdicts = cut(judged(dealt(keyed.select("doc", "text_hash", "text"), buckets)))
+    plain = keyed.select("doc", "text_hash", "text")
+    verdicts = cut(judged(dealt(plain, buckets, frequent_anchors(plain, FREQUENT, LOOKED))))
+    count = max(count, -(-total // PARTITION))
     texts = keyed.repartition(count, "doc", "text_hash")
     look = verdicts.where("anchor IS NOT NULL").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "pos", "n", "hot")).alias("units"))
     again = verdicts.where("anchor IS NULL").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pos", "n")).alias("whole"))

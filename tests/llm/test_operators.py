@@ -144,6 +144,27 @@ def test_suffix_dedup_spreads_a_passage_in_many_contexts(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: want[i, t] for i, t in rows}
 
 
+def test_suffix_dedup_spreads_a_passage_over_many_blocks(spark, monkeypatch):
+    """A passage whose anchor has few differing units in each block, and many in all blocks together."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = letters(150)
+    rows = [(i, letters(140) + passage + letters(140)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24).cache()
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    most = lambda blobs: blobs.groupBy("bucket").agg(F.sum(F.length("anchor") / 8).alias("n")).agg(F.max("n")).first()[0]
+    assert most(suffixdedup.dealt(keyed, 64)) > 240
+    frequent = suffixdedup.frequent_anchors(keyed, 100, 1)
+    assert 1 <= len(frequent) < 40 and len(suffixdedup.frequent_anchors(keyed, 1000, 1)) == 0
+    assert len(np.intersect1d(suffixdedup.frequent_anchors(keyed, 100, 4), frequent)) >= 1
+    assert most(suffixdedup.dealt(keyed, 64, frequent)) < 240
+    monkeypatch.setattr(suffixdedup, "FREQUENT", 100)
+    monkeypatch.setattr(suffixdedup, "LOOKED", 1)
+    want = brute_repeats([(i, None, t) for i, t in rows])
+    got = suffixdedup.remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: want[i, t] for i, t in rows}
+
+
 def test_suffix_classes_equal_brute_force():
     rng = random.Random(1)
     for length in (3, 5, 9):
@@ -632,6 +653,19 @@ def test_a_small_sample_does_not_lose_to_a_large_one(spark):
     assert sum(got[200 + i] == "small" for i in range(20)) >= 18 and sum(got[300 + i] == "large" for i in range(20)) >= 18
 
 
+def test_more_languages_than_a_worker_holds_at_once(spark):
+    """Languages beyond a group, each of letters of its own, those with the fewest labelled rows among them; all but the most frequent stay unknown if only so many are asked for."""
+    rng = random.Random(21)
+    n = language.GROUP + 12
+    prose = lambda k, size: " ".join("".join(rng.choices([chr(0x4E00 + 40 * k + j) for j in range(12)], k=rng.randint(2, 4))) for _ in range(size))
+    rows = [(1000 * k + j, prose(k, 60), f"l{k:03}") for k in range(n) for j in range(2 if k < 20 else 1)] + [(1000 * k + 500, prose(k, 30), None) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert sum(got[1000 * k + 500] == f"l{k:03}" for k in range(n)) >= n - 2
+    some = {r["lang_pred"] for r in language.identify(docs, languages=20).collect()}
+    assert some <= {f"l{k:03}" for k in range(20)}
+
+
 def test_letters_by_category(spark):
     rows = [(1, "½ Ⅷ ② 12"), (2, "½ a"), (3, "你"), (4, "__ 5")] + [(10 + i, "some words of text here", "aa") for i in range(3)]
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame([(*r, None)[:3] for r in rows], "doc_id long, text string, lang string")).collect()}

@@ -269,15 +269,17 @@ def judged(blobs: DataFrame) -> DataFrame:
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Places of t in the order of their first `depth` symbols at least (symbols below 512, 0 ends a text)."""
+    """Places of t in the order of their first `depth` symbols at least (symbols below 512, 0 ends a text); those that have more symbols in common come in any order.
+    Ranks of parts that follow each other make the next key, three at once where they fit in 64 bits.
+    """
     n = len(t)
     padded = np.concatenate([t, np.zeros(8, t.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = key << np.uint64(9) | padded[k : k + n]
-    done = 7
+    done, parts = 7, 3 if (n + 1) ** 3 < 2**64 else 2
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if done >= depth:
             return order
         s = key[order]
@@ -285,10 +287,12 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])).astype(np.uint64)
         if int(rank[order[-1]]) == n - 1:
             return order
-        after = np.zeros(n, np.uint64)
-        after[: n - done] = rank[done:] + np.uint64(1)
-        key = rank * np.uint64(n + 1) + after
-        done *= 2
+        key = rank
+        for part in range(1, parts):
+            after = np.zeros(n, np.uint64)
+            after[: max(0, n - done * part)] = rank[done * part :] + np.uint64(1)
+            key = key * np.uint64(n + 1) + after
+        done *= parts
 
 
 def classes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -335,6 +339,12 @@ def classes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         place, interval = place[keep], number[keep]
         if not len(place):
             break
+    # A string with a 0 is alone. Extension alone doesn't tell that where what follows the 0 is in no certain order.
+    stops = np.flatnonzero(t == 0)
+    after = np.concatenate([stops, [n]])[np.searchsorted(stops, np.arange(n))]
+    short = (after - np.arange(n) < length)[order]
+    ended[:n] |= short
+    ended[1:] |= short
     return order, np.cumsum(ended[:n])
 
 

@@ -282,6 +282,10 @@ ORACLE = {
     "broken_files": f"""WITH t AS (SELECT doc_id, doc_id % 10 AS k, {_SQUEEZED} AS p FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
         SELECT doc_id, CASE WHEN k < 2 THEN len(p) END::INT AS n_lines, CASE WHEN k < 2 THEN sha256(array_to_string(p, chr(10))) END AS text, CASE WHEN k < 2 THEN 'párrafo' END AS unit,
         CASE WHEN k = 5 THEN {q(TOO_LARGE)} WHEN k = 9 THEN 'no se pudo extraer el texto (LookupError)' WHEN k > 1 THEN {q(INVALID)} END AS reason FROM t""",
+    "source_lines": f"""WITH g AS (SELECT doc_id // 50 AS bucket, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL),
+        t AS (SELECT bucket, bucket % 6 AS k, CASE bucket % 6 WHEN 3 THEN {split("text")} WHEN 4 THEN list_transform(string_split(text, chr(10)), lambda x: concat('| ', x)) ELSE {_SQUEEZED} END AS p FROM g)
+        SELECT bucket, (i - 1)::BIGINT AS line_index, p[i] AS text, concat(CASE WHEN k IN (2, 3) THEN 'línea ' ELSE 'párrafo ' END, i::VARCHAR) AS location, NULL::VARCHAR AS reason FROM t, unnest(range(1, len(p) + 1)) u(i) WHERE k < 5
+        UNION ALL SELECT bucket, NULL, NULL, NULL, {q(INVALID)} FROM t WHERE k = 5""",
     "big_file_lines": f"""WITH t AS (SELECT doc_id, {split("x")} AS p FROM (SELECT doc_id, concat(coalesce(text, ''), chr(10)) AS x FROM documents)),
         l AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS n, p[i] AS text FROM t, unnest(range(1, len(p) + 1)) u(i)) SELECT n - 1 AS line_index, text, concat('línea ', n::VARCHAR) AS location FROM l""",
     "quote_lines": f"WITH {VERDICTS} SELECT request_id, claim_no, path, (line - 1)::INT AS line FROM placed WHERE search <> '' AND head IS NOT NULL",

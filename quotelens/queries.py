@@ -9,6 +9,8 @@ import zipfile
 from html import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -24,6 +26,7 @@ from .operators.passages import PassageIndex
 from .operators.store import AnswerStore
 from .sources import files, sinks
 from .sources.big import read_big_lines
+from .sources.datasource import register
 from .streaming.answers import answer_stream as start_answers
 from .streaming.answers import stored
 from .streaming.verification import verify_stream as start_stream
@@ -127,6 +130,34 @@ def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad.select("doc_id", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("unit"), "reason"))
 
 
+def _marked(content: bytes) -> list[str]:
+    """A caller's own reader."""
+    return [f"| {x}" for x in content.decode().split("\n")]
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents a file, by turns Word, OpenDocument, HTML, text, a format of the caller's and no valid Word file, read by the data source in groups of files."""
+    folder, kinds = new_folder(spark, "source"), [".docx", ".odt", ".html", ".txt", ".own", ".docx"]
+
+    def write(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        text = "\n".join(x or "" for x in group.sort_by("doc_id").column("text").to_pylist())
+        turn = bucket % len(kinds)
+        html = "<p>" + escape(text, quote=False).replace("\n", "<br>") + "</p><script>x</script>"
+        made = (lambda: _zip("word/document.xml", _word(text)), lambda: _zip("content.xml", _odt(text)), html.encode, text.encode, text.encode, text.encode)[turn]()
+        where, path = fs.FileSystem.from_uri(folder)
+        where.create_dir(path, recursive=True)
+        with where.open_output_stream(f"{path}/{bucket}{kinds[turn]}", compression=None) as out:  # a task that is run again writes the same
+            out.write(made)
+        return pa.table({"bucket": pa.array([bucket], pa.int64())})
+
+    docs = fx.documents(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 50).cast("long").alias("bucket"), "text")
+    docs.groupBy("bucket").applyInArrow(write, "bucket long").count()
+    name = register(spark, files.READERS | {".own": (_marked, files.PARAGRAPH)})
+    read = spark.read.format(name).option("groupBytes", 1 << 20).load(folder)
+    return read.select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("bucket"), "line_index", "text", "location", "reason")
+
+
 def big_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents one after the other in one text file, with line ends of three kinds by turns, read in splits and numbered over the whole file."""
     folder = new_folder(spark, "big-file")
@@ -568,7 +599,7 @@ NAMES = """
     render_prompts request_json parse_responses parse_claims flag_unformatted quote_forms document_forms word_overlap line_overlap numeric_values
     locate_quotes verify_claims tally_rejections dedupe_verified compose_report token_savings no_readable_input locate_in_corpus
     answer_key split_cached to_store prune_store run_matrix score_runs summarize_runs triage_code code_statuses answer_blocks read_cases write_outputs verify_stream
-    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots passage_index report_parts pack_one_request
+    unread_report office_report broken_files big_file_lines quote_lines passage_lines evaluate_runs evaluation_summary answer_stream store_snapshots passage_index report_parts pack_one_request source_lines
 """.split()
 
 

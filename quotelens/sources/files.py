@@ -159,18 +159,23 @@ def read_odt(content: bytes) -> list[str]:
 READERS: dict[str, tuple[Callable[[bytes], list[str]], str]] = {".html": (read_html, LINE), ".htm": (read_html, LINE), ".docx": (read_docx, PARAGRAPH), ".odt": (read_odt, PARAGRAPH)}
 
 
+def outcome(read: Callable[[bytes], list[str]], content: bytes) -> tuple[list[str] | None, str | None]:
+    """What a reader makes of a file, and no reason; or nothing and a reason, whatever it raises or gives instead of a list of texts."""
+    try:
+        found = [None if x is None else str(x) for x in read(content)]
+        return [None if x is None else x.encode("utf-8", "replace").decode() for x in found], None
+    except Exception as e:  # noqa: BLE001
+        own = str(e) if isinstance(e, Unreadable) or str(e) in (BINARY, INVALID, TOO_LARGE) else ""
+        return None, own or f"no se pudo extraer el texto ({type(e).__name__})"
+
+
 def helper(readers: dict[str, Callable[[bytes], list[str]]]):
-    """Readers as one vectorized function of (extension, content) to struct<lines, reason>; whatever one raises, or gives instead of a list of texts, becomes the reason. Null content gives nulls."""
+    """Readers as one vectorized function of (extension, content) to struct<lines, reason>, by outcome(). Null content gives nulls."""
 
     def one(kind, content):
         if content is None:
             return None, None
-        try:
-            found = [None if x is None else str(x) for x in readers[kind](bytes(content))]
-            return [None if x is None else x.encode("utf-8", "replace").decode() for x in found], None
-        except Exception as e:  # noqa: BLE001
-            own = str(e) if isinstance(e, Unreadable) or str(e) in (BINARY, INVALID, TOO_LARGE) else ""
-            return None, own or f"no se pudo extraer el texto ({type(e).__name__})"
+        return outcome(lambda raw: readers[kind](raw), bytes(content))
 
     @F.pandas_udf(RESULT)
     def run(kind: pd.Series, content: pd.Series) -> pd.DataFrame:

@@ -179,6 +179,21 @@ def test_suffix_classes_equal_brute_force():
                 assert (a == b and len(a) == length and 0 not in a) == (number[i] == number[i - 1])
 
 
+def test_strings_with_an_end_are_alone_whatever_follows():
+    """Texts that come again and again, so that what follows an end ties."""
+    rng = random.Random(5)
+    for _ in range(400):
+        pool = [bytes(rng.choices(b"ab", k=rng.randint(1, 16))) for _ in range(3)]
+        raw = b"".join(rng.choice(pool) + b"\0" for _ in range(rng.randint(2, 9)))
+        flat = np.frombuffer(raw, np.uint8).astype(np.uint16) + 1
+        flat[np.frombuffer(raw, np.uint8) == 0] = 0
+        length = rng.choice((5, 9, 12))
+        order, number = suffixdedup.classes(flat, length)
+        for i in range(1, len(order)):
+            a, b = (raw[p : p + length] for p in order[i - 1 : i + 1])
+            assert (a == b and len(a) == length and 0 not in a) == (number[i] == number[i - 1])
+
+
 def test_units_cover_every_string_once_in_pieces(monkeypatch):
     x = np.frombuffer(bytes(random.Random(2).choices(b"abcd ", k=5000)), np.uint8)
     off = np.array([0, 30, 30, 2500, 2599, 2699, 5000])

@@ -273,6 +273,24 @@ def test_packing_by_ranges_equals_packing_in_one_go(spark, monkeypatch):
         assert {(r["request_id"], r["ord"], r["part"]): r["block_no"] for r in chunking.pack_blocks(chunks, 100).collect()} == want
 
 
+def test_packing_deals_groups_itself(spark):
+    """Blocks are numbered on rows dealt for that: the join's own dealing doesn't stand in for it, as a join that turns into a broadcast reads files where they lie."""
+    chunks = spark.range(0, 400, 1, 4).select((F.col("id") % 2).alias("request_id"), F.lit("a.md").alias("path"), F.floor(F.col("id") / 2).cast("int").alias("ord"), F.lit(1).alias("part"), F.lit(30).cast("long").alias("tokens"), (F.col("id") < 0).alias("is_code"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        packed = chunking.pack_blocks(chunks, 100)
+        plan = packed._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    number = next(i for i, line in enumerate(plan) if "MapInPandas" in line)
+    below = next(line for line in plan[number:] if "Exchange" in line or "Join" in line)
+    assert "Exchange" in below
+    assert {(r["request_id"], r["ord"]): r["block_no"] for r in packed.collect()} == {(request, i): i // 3 for request in (0, 1) for i in range(200)}
+
+
 def test_readers_of_the_callers_own(spark):
     def shouting(content: bytes) -> list[str]:
         if content == b"bad":

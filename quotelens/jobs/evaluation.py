@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import small_batches
 from ..lineage import cut
 from ..operators.chunking import build_blocks, chunk_lines, pack_blocks, request_budget
 from ..operators.evaluate import run_matrix, score_runs, summarize_runs
@@ -45,6 +46,7 @@ def ask(prompts: DataFrame, responder: Callable[[pd.DataFrame], pd.Series]) -> D
                 bodies = list(responder(some))
                 yield pd.DataFrame({"request_id": some["request_id"], "block_no": some["block_no"], "body": bodies, "seconds": (time.monotonic() - began) / len(some)})
 
+    small_batches(prompts.sparkSession)
     return cut(prompts.select("request_id", "block_no", "model", "variant", "system", "user", "body").mapInPandas(run, "request_id long, block_no int, body string, seconds double"))
 
 

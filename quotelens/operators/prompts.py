@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import small_batches
 from ..functions.text import strip
 
 SYSTEM = (
@@ -82,4 +83,5 @@ def answer_blocks(prompts: DataFrame, responder: Callable[[pd.DataFrame], pd.Ser
         for batch in batches:
             yield pd.DataFrame({"request_id": batch["request_id"], "block_no": batch["block_no"], "content": responder(batch)})
 
+    small_batches(prompts.sparkSession)
     return prompts.select("request_id", "block_no", "model", "system", "user").mapInPandas(run, "request_id long, block_no int, content string")

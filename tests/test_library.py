@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quotelens.batches import BATCH_ROWS
 from quotelens.jobs.grounded import Profile, split_known, to_prompts, to_reports
 from quotelens.operators import chunking, codecheck, evaluate, prompts, report, reuse, search, verify
 from quotelens.sources import files
@@ -291,6 +292,19 @@ def test_packing_deals_groups_itself(spark):
     assert {(r["request_id"], r["ord"]): r["block_no"] for r in packed.collect()} == {(request, i): i // 3 for request in (0, 1) for i in range(200)}
 
 
+def test_readers_get_small_batches(spark):
+    """Python sees no more than BATCH_ROWS files at once, whatever the session says."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for make in (lambda: files.extract(spark.createDataFrame([("a.html", b"x")], "path string, content binary")), lambda: files.html_lines(spark.createDataFrame([("x",)], "html string"))):
+            spark.conf.set(name, "10000")
+            make()
+            assert int(spark.conf.get(name)) == BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_readers_of_the_callers_own(spark):
     def shouting(content: bytes) -> list[str]:
         if content == b"bad":

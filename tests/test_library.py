@@ -292,6 +292,21 @@ def test_packing_deals_groups_itself(spark):
     assert {(r["request_id"], r["ord"]): r["block_no"] for r in packed.collect()} == {(request, i): i // 3 for request in (0, 1) for i in range(200)}
 
 
+def test_a_response_about_a_file_in_several_blocks(spark):
+    """A quote may lie in any block, or over the end of one."""
+    words = [f"uno{i} dos{i} tres{i} cuatro{i}" for i in range(60)]
+    documents = spark.createDataFrame([("a.md", words)], "path string, lines array<string>")
+    requests = spark.createDataFrame([(1, "uno50 cuatro50", ["a.md"])], "request_id long, question string, paths array<string>")
+    work = to_prompts(requests, documents, Profile(window=300, output=50, reserve=50))
+    last = work.chunks.where("part = 2").select(F.col("first_line")).first()[0]
+    assert work.blocks.count() > 1
+    quotes = [words[50], f"tres{last - 1} cuatro{last - 1} uno{last} dos{last}"]
+    responses = spark.createDataFrame([(1, 0, "\n".join(f"- {x} \n  > {x}" for x in quotes))], "request_id long, block_no int, content string")
+    asked = requests.withColumn("question", F.lit(""))
+    found = verify.verify(verify.parse_claims(responses), chunking.whole_files(work.chunks), asked).orderBy("claim_no").collect()
+    assert [(r["reason"], r["location"]) for r in found] == [(None, "línea 51"), (None, f"línea {last}")]
+
+
 def test_readers_get_small_batches(spark):
     """Python sees no more than BATCH_ROWS files at once, whatever the session says."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

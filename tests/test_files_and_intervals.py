@@ -134,3 +134,16 @@ def test_interval_join_makes_few_rows(spark):
     i = spark.createDataFrame([(0, 0, 10**15), (0, 1, 2)], "g int, start long, end long")
     p = spark.range(1000).select(F.lit(0).alias("g"), (F.col("id") * 10**12).alias("at"))
     assert interval_join(p, i, ["g"]).count() == 1000
+
+
+def test_big_file_lines_over_several_files(spark, monkeypatch):
+    """Lines are numbered over all files, and no task writes more than a file."""
+    from quotelens import queries
+
+    whole = sorted(queries.big_file_lines(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(queries, "FILE_BYTES", 100_000)
+    folders = []
+    made = queries.new_folder
+    monkeypatch.setattr(queries, "new_folder", lambda *x: folders.append(made(*x)) or folders[-1])
+    assert sorted(queries.big_file_lines(spark, "/root/testdata/sf0.001").collect()) == whole
+    assert spark.read.format("binaryFile").load(f"{folders[0]}/*.txt").count() > 3

@@ -169,3 +169,11 @@ def test_profiles_as_a_table(spark):
     got = route_model(blocks, profiles).select("request_id", "model", "output", "temperature").collect()
     assert sorted(map(tuple, got)) == [(1, "code", 10, 0.5), (2, "doc", 10, 0.5), (3, "c2", 20, 0.0)]
     assert prompts.LAYOUTS.keys() == {"end", "start"}
+
+
+def test_claims_told_three_times_are_verified_once(spark):
+    """The query's plan begins at kept verdicts: no join of claims and chunks is left in it."""
+    from quotelens.queries import dedupe_verified
+
+    plan = dedupe_verified(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens.operators.passages import PassageIndex
 from quotelens.operators.report import compose_report, in_parts, report_parts
-from quotelens.operators.search import locate_in_corpus
+from quotelens.operators.search import locate_in_corpus, runs
 
 
 @pytest.mark.parametrize("most", [1, 50, 700, 10**9])
@@ -48,3 +48,20 @@ def test_index_answers_as_a_search_of_everything(spark, tmp_path):
     want = sorted(map(tuple, locate_in_corpus(asked, frame).collect()))
     assert sorted(map(tuple, index.locate(asked).collect())) == want and len(want) > 40
     assert index.locate(asked.where("false")).count() == 0
+
+
+def test_runs_are_hashed_once_a_word(spark):
+    """Runs by plain Python: as many as there are distinct ones, of equal words the same hash in the corpus and in a quote; no table of counts beside the postings."""
+    texts = [(1, "a b a b a"), (2, "é"), (3, "a b"), (4, ""), (5, "x y z w")]
+    frame = spark.createDataFrame(texts, "doc_id long, words string").repartition(3)
+    got = runs(frame, "doc_id", [1, 2, 3]).collect()
+    want = {(i, k, tuple(w[j : j + k])) for i, t in texts for w in [t.split()] for k in (1, 2, 3) for j in range(len(w) - k + 1)}
+    assert len(got) == len(want) == len({tuple(r) for r in got})
+    by_size = {(r["doc_id"], r["size"]): {x["run"] for x in got if (x["doc_id"], x["size"]) == (r["doc_id"], r["size"])} for r in got}
+    assert by_size[3, 1] == by_size[1, 1] and by_size[3, 2] < by_size[1, 2] and not by_size[5, 2] & by_size[1, 2]
+    assert {tuple(r) for r in runs(frame, "doc_id").collect()} == {tuple(r) for r in got if r["size"] == min(3, len(dict(texts)[r["doc_id"]].split()))}
+
+
+def test_index_keeps_postings_and_texts_alone(spark, tmp_path):
+    PassageIndex(spark, str(tmp_path / "i")).add(spark.createDataFrame([(1, "uno dos tres")], "doc_id long, text string"))
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["postings", "texts"]

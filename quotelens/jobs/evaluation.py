@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..batches import small_batches
+from ..functions.text import is_code
 from ..lineage import cut
-from ..operators.chunking import build_blocks, chunk_lines, pack_blocks, request_budget
+from ..operators.chunking import file_blocks, request_budget, whole_tokens
 from ..operators.evaluate import run_matrix, score_runs, summarize_runs
 from ..operators.prompts import LAYOUTS, OK, SYSTEM, laid_out, parse_responses, request_json, route_model
 from ..operators.report import compose_report, dedupe_verified, no_readable_input, tally_rejections
@@ -54,8 +55,9 @@ def evaluate(cases: DataFrame, files: DataFrame, profiles: DataFrame, variants:
     """Every case with every profile and variant: asked, verified, reported, scored and summed up.
 
     cases (file, question, type, expected, ...), files (path, content), profiles as PROFILES has them, one for each model under test; its name is the run's
-    model. A file is read once, however many runs name it, and cut into chunks once for each budget that questions and profiles leave; runs share its
-    blocks and their index by a plan's number, and only prompts are there for each run. A run whose question leaves no room, whose file can't be read,
+    model. A file is read once, however many runs name it, and cut into blocks where it lies, once for each budget that questions and profiles leave and once
+    for all budgets that it fits in whole; runs share these blocks and their index, and only prompts are there for each run. Texts are moved three times: to be read, to
+    be asked about and to have quotes found in them. A run whose question leaves no room, whose file can't be read,
     or one of whose responses holds no content has an error, and is no hit. Variants name LAYOUTS; others are refused before anything runs.
     """
     unknown = [v for v in variants if v not in LAYOUTS]
@@ -66,17 +68,20 @@ def evaluate(cases: DataFrame, files: DataFrame, profiles: DataFrame, variants:
     runs = cut(matrix.withColumn("request_id", F.monotonically_increasing_id()))
     ready, rejected = request_budget(runs, F.col("window"), F.col("output"), F.col("reserve"))
 
+    # A file's plans, one for each budget, come along when it is read, so that blocks are cut where its lines lie. Plans that the whole file fits in have the same one block.
     plans = cut(ready.select("file", "budget").distinct().withColumn("plan_id", F.monotonically_increasing_id()))
-    wanted = plans.select(F.col("file").alias("path")).distinct()
-    read = cut(read_all(files.join(wanted, "path", "left_semi").select("path", "content"), readers))
-    documents = read.where("reason IS NULL")
-    named = plans.select(F.col("plan_id").alias("request_id"), F.col("file").alias("path"), F.lit(0).alias("ord"), "budget")
-    pieces = chunk_lines(named.join(documents.select("path", "lines", "unit"), "path")).join(named.select("request_id", "budget"), "request_id")
-    chunks = cut(pack_blocks(pieces))
-    blocks = cut(build_blocks(chunks).select(F.col("request_id").alias("plan_id"), "block_no", "is_code", "text"))
-
-    planned = cut(ready.join(plans, ["file", "budget"]).select("request_id", "plan_id", "profile", "variant", "question", "file"))
-    asked = route_model(planned.join(blocks, "plan_id"), profiles).withColumn("system", F.lit(SYSTEM))
+    wanted = plans.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("plan_id", "budget")).alias("plans"))
+    read = cut(read_all(files.join(wanted, "path").select("path", "content", "plans"), readers))
+    documents = read.where("reason IS NULL").withColumn("roomy", F.array_min(F.filter("plans", lambda p: p["budget"] >= whole_tokens("lines")))["plan_id"])
+    same = F.when(F.col("budget") >= F.col("need"), F.col("roomy")).otherwise(F.col("plan_id"))
+    layouts = cut(documents.select("roomy", whole_tokens("lines").alias("need"), F.inline("plans")).groupBy("plan_id").agg(F.min(same).alias("layout_id")))
+    apart = F.filter("plans", lambda p: (p["plan_id"] == F.col("roomy")) | (p["budget"] < whole_tokens("lines")))
+    blocks = file_blocks(documents.select("path", "lines", "unit", F.inline(apart)).withColumnRenamed("plan_id", "request_id"))
+
+    planned = ready.join(plans, ["file", "budget"]).join(layouts, "plan_id", "left")
+    planned = cut(planned.select("request_id", "layout_id", "profile", "variant", "question", "file"))
+    routed = route_model(planned.withColumn("is_code", is_code(F.col("file"))), profiles)  # before texts come to it
+    asked = routed.join(blocks.select(F.col("request_id").alias("layout_id"), "block_no", "text"), "layout_id").withColumn("system", F.lit(SYSTEM))
     asked = asked.withColumn("user", laid_out(F.col("text"), F.col("question"), F.col("variant")))
     prompts = request_json(asked, F.col("output"), F.col("temperature")).select("request_id", "block_no", "profile", "variant", "model", "system", "user", "body")
     answers = parse_responses(ask(prompts, responder))
@@ -84,14 +89,14 @@ def evaluate(cases: DataFrame, files: DataFrame, profiles: DataFrame, variants:
     fine = answers.where(F.col("status") == OK).select("request_id", "block_no", "content")
     claims = parse_claims(fine)
     requests = runs.select("request_id", "question")
-    verdicts = cut(verify(claims.join(planned.select("request_id", "plan_id"), "request_id"), chunks, requests, place="plan_id"))
+    chunks = blocks.select("request_id", "block_no", "path", F.lit(0).alias("ord"), "is_code", "unit", F.inline("chunks"))
+    verdicts = cut(verify(claims.join(planned.select("request_id", "layout_id"), "request_id"), chunks, requests, place="layout_id"))
     rejections = tally_rejections(verdicts, flag_unformatted(fine, claims))
-    unread = planned.join(documents.select(F.col("path").alias("file")), "file", "left_anti")
-    unread = unread.join(read.where("reason IS NOT NULL").groupBy(F.col("path").alias("file")).agg(F.min("reason").alias("reason")), "file", "left")
+    unread = planned.where("layout_id IS NULL").join(read.where("reason IS NOT NULL").groupBy(F.col("path").alias("file")).agg(F.min("reason").alias("reason")), "file", "left")
     unread = unread.select("request_id", F.lit(0).alias("ord"), F.col("file").alias("path"), F.coalesce("reason", F.lit(MISSING)).alias("reason"))
     reports = compose_report(requests, dedupe_verified(verdicts), rejections, unread)
 
-    failed = no_readable_input(planned.select("request_id"), planned.join(blocks, "plan_id", "left_semi"), unread).select("request_id", F.col("reasons").alias("unreadable"))
+    failed = no_readable_input(planned.select("request_id"), answers, unread).select("request_id", F.col("reasons").alias("unreadable"))
     silent = answers.where(F.col("status") != OK).groupBy("request_id").agg(F.min_by("status", "block_no").alias("silent"))
     spent = answers.groupBy("request_id").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("calls"))
     done = runs.join(reports, "request_id").join(rejected.select("request_id", F.col("reason").alias("full")), "request_id", "left")

@@ -37,7 +37,8 @@ PROFILES = "profile string, document_model string, code_model string, window int
 def route_model(blocks: DataFrame, code_model: str | DataFrame, document_model: str | None = None) -> DataFrame:
     """blocks with the model that reads them. With a table of profiles instead of a name: the model of the profile that each block names, with its output and temperature; a block that names none of them is left out."""
     if isinstance(code_model, DataFrame):
-        blocks = blocks.join(code_model.select("profile", "document_model", "code_model", "output", "temperature"), "profile")
+        # Sent to every task: dealt by profile, all texts would meet in as many tasks as there are profiles.
+        blocks = blocks.join(F.broadcast(code_model.select("profile", "document_model", "code_model", "output", "temperature")), "profile")
         return blocks.withColumn("model", F.when(F.col("is_code"), F.col("code_model")).otherwise(F.col("document_model"))).drop("code_model", "document_model")
     return blocks.withColumn("model", F.when(F.col("is_code"), code_model).otherwise(document_model))
 

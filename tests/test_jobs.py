@@ -154,6 +154,57 @@ def test_evaluation_over_several_blocks(spark, tmp_path):
     assert {r["model"] for r in done.prompts.where("model = 'code-m'").select("model").distinct().collect()} == {"code-m"}
 
 
+def test_evaluation_moves_texts_three_times(spark):
+    """Files in which nothing repeats: what is shuffled stays below five times their bytes, with eight runs of each; it was over forty times."""
+    import random
+
+    letters = random.Random(5)
+    files = {f"f{k}.txt": "\n".join(" ".join("".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8)) for _ in range(1500)) for k in range(16)}
+    cases = [(p, " ".join(t.split("\n")[3].split()[:4]) + "?", "dato", [t.split()[25]]) for p, t in files.items()]
+    profiles = [(f"p{k}", "m", "c", 900_000, 100 + k, 100, 0.0) for k in range(4)]
+
+    def respond(batch: pd.DataFrame) -> pd.Series:
+        words = batch["user"].str.extract(r"Question: (.*?)\?\n")[0]
+        return words.map(lambda w: json.dumps({"choices": [{"message": {"content": f"- {w}\n  > {w}"}, "finish_reason": "stop"}]}))
+
+    content = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary").cache()
+    content.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> dict[int, int]:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before, least = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        done = evaluate(spark.createDataFrame(cases, "file string, question string, type string, expected array<string>"), content, spark.createDataFrame(profiles, PROFILES), ["end", "start"], respond)
+        assert {(r["ok"], r["calls"]) for r in done.runs.collect()} == {(True, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    size = sum(map(len, files.values()))
+    moved = sum(n for k, n in written().items() if k not in before)
+    assert size < moved < 5 * size, moved / size
+
+
+def test_file_blocks_are_those_of_packing(spark):
+    """Blocks cut within a file's row equal those that chunks packed by requests of one file give: whole, in parts, lines over the budget, without lines."""
+    from quotelens.operators.chunking import build_blocks, chunk_lines, file_blocks, pack_blocks
+
+    texts = [[f"line {n} " + "x" * (n * k % 97) for n in range(3 * k)] for k in range(12)] + [[], ["y" * 2000], ["", "", "a"]]
+    rows = [(i * 10 + j, ("d.md", "long/" * 9 + "c.py")[i % 2], 0, lines, budget) for i, lines in enumerate(texts) for j, budget in enumerate((1, 45, 60, 120, 400, 100_000))]
+    docs = spark.createDataFrame(rows, "request_id long, path string, ord int, lines array<string>, budget long")
+    packed = pack_blocks(chunk_lines(docs).join(docs.select("request_id", "budget"), "request_id"))
+    key = ["request_id", "block_no", "is_code"]
+    want = {(*r[:3], r["text"]) for r in build_blocks(packed).select(*key, "text").collect()}
+    got = file_blocks(docs.drop("ord"))
+    assert {(*r[:3], r["text"]) for r in got.select(*key, "text").collect()} == want and len(want) > 200
+    places = ["request_id", "block_no", "part", "first_line", "lines"]
+    plain = lambda df: sorted((*r[:4], tuple(r["lines"])) for r in df.select(*places).collect())
+    assert plain(got.select("request_id", "block_no", F.inline("chunks"))) == plain(packed)
+
+
 def test_evaluation_refuses_what_it_does_not_know(spark):
     none = spark.createDataFrame([], "file string, question string, type string, expected array<string>")
     for variants in ([], ["sideways"]):

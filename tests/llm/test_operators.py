@@ -179,6 +179,35 @@ def test_suffix_classes_equal_brute_force():
                 assert (a == b and len(a) == length and 0 not in a) == (number[i] == number[i - 1])
 
 
+def test_suffix_classes_from_ranked_strings_on():
+    """Lengths on both sides of what sorting has ranked, with few and with all symbols: ranks tell those strings apart, and classes are those of brute force."""
+    rng = np.random.default_rng(3)
+    for length in (1, 2, 8, 13, 17, 24, 40) * 20:
+        symbols = int(rng.choice([1, 2, 3, 256]))
+        pool = [rng.integers(1, symbols + 1, int(rng.integers(1, 60))) for _ in range(3)]
+        flat = np.concatenate([np.concatenate([pool[rng.integers(3)], pool[rng.integers(3)], [0]]) for _ in range(int(rng.integers(1, 8)))]).astype(np.uint16)
+        padded = np.concatenate([flat, np.zeros(40, np.uint16)]).tolist()
+        order, begin, ranks = suffixdedup.suffix_order(flat, length, min(suffixdedup.BEGIN, length))
+        assert 1 <= begin <= length and len({(tuple(padded[i : i + begin]), int(ranks[i])) for i in range(len(flat))}) == len(set(ranks.tolist()))
+        assert [padded[i : i + length] for i in order.tolist()] == sorted(padded[i : i + length] for i in range(len(flat)))
+        order, number = suffixdedup.classes(flat, length)
+        for i in range(1, len(order)):
+            a, b = (padded[p : p + length] for p in order[i - 1 : i + 1].tolist())
+            assert (a == b and 0 not in a) == (number[i] == number[i - 1])
+
+
+def test_suffix_dedup_sends_no_digests_and_keeps_no_dead_shuffles(spark, docs, tmp_path):
+    from quotelens.lineage import CLEAR, cut
+
+    blobs = suffixdedup.dealt(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text"), 4)
+    assert "digest" not in blobs.columns
+    blocks = lambda: {str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, was = blocks(), spark.conf.get(CLEAR, "false")
+    done = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), clear=True)
+    assert not blocks() - before and spark.conf.get(CLEAR, "false") == was
+    assert done.count() == 7
+
+
 def test_strings_with_an_end_are_alone_whatever_follows():
     """Texts that come again and again, so that what follows an end ties."""
     rng = random.Random(5)

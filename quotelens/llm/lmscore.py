@@ -192,17 +192,26 @@ def _scatter(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[first], np.add.reduceat(rows[order], first, axis=0)
 
 
+def chances(odds: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-odds)), in place."""
+    np.clip(odds, -30, 30, out=odds)
+    np.negative(odds, out=odds)
+    np.exp(odds, out=odds)
+    odds += 1
+    return np.reciprocal(odds, out=odds)
+
+
 def learn(p: dict, squares: dict, noise_log: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, weight: np.ndarray, noise: np.ndarray) -> None:
     """One step of noise-contrastive estimation, noise shared by the batch; AdaGrad by row."""
-    k = len(noise)
+    log_k = float(np.log(len(noise)))  # a numpy scalar would make all of this double
     r1, r2 = p["R"][one], p["R"][two]
     predicted = r1 * p["C"][0] + r2 * p["C"][1]
     w = weight / weight.sum()
     q = p["Q"][target]
-    sure = (predicted * q).sum(1) + p["b"][target] - noise_log[target] - np.log(k)
+    sure = (predicted * q).sum(1) + p["b"][target] - noise_log[target] - log_k
     up = (w / (1 + np.exp(np.clip(sure, -30, 30)))).astype(np.float32)  # towards the data
-    doubt = predicted @ p["Q"][noise].T + p["b"][noise] - noise_log[noise] - np.log(k)
-    down = (w[:, None] / (1 + np.exp(np.clip(-doubt, -30, 30)))).astype(np.float32)
+    down = chances(predicted @ p["Q"][noise].T + (p["b"][noise] - noise_log[noise] - log_k))
+    down *= w[:, None]
     g_pred = up[:, None] * q - down @ p["Q"][noise]
     moves = [
         ("Q", *_scatter(np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted, -(down.T @ predicted)]))),

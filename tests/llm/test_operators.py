@@ -179,6 +179,20 @@ def test_suffix_classes_equal_brute_force():
                 assert (a == b and len(a) == length and 0 not in a) == (number[i] == number[i - 1])
 
 
+def test_lm_learns_in_single_precision(monkeypatch):
+    """The chances of a batch's noise, the largest matrix of a step, were worked out in double."""
+    kinds, chances = [], lmscore.chances
+    monkeypatch.setattr(lmscore, "chances", lambda odds: kinds.append(odds.dtype) or chances(odds))
+    rng = np.random.default_rng(0)
+    p = lmscore.fresh(np.arange(1, 41))
+    squares = {k: np.zeros_like(v) for k, v in p.items()}
+    one, two, target = rng.integers(0, 40, (3, 64))
+    lmscore.learn(p, squares, np.zeros(40, np.float32), one, two, target, np.ones(64, np.float32), rng.integers(0, 40, 16))
+    assert kinds == [np.float32] and all(v.dtype == np.float32 for v in (*p.values(), *squares.values()))
+    odds = np.array([-100.0, -2.0, 0.0, 3.0, 100.0], np.float32)
+    assert np.allclose(chances(odds.copy()), 1 / (1 + np.exp(-odds.astype(float).clip(-30, 30))), rtol=1e-5)
+
+
 def test_suffix_classes_from_ranked_strings_on():
     """Lengths on both sides of what sorting has ranked, with few and with all symbols: ranks tell those strings apart, and classes are those of brute force."""
     rng = np.random.default_rng(3)

@@ -754,6 +754,49 @@ def test_pieces_equal_brute_force_and_round_trip(docs, corpus, empty):
     assert pieces.op9(docs).count() == len(corpus)
 
 
+def test_chunks_are_solved_side_by_side(corpus, monkeypatch):
+    """Words of usual length never take the way of one chunk at a time, and come out as they do on it, also with a memory and batches so small that both are begun anew."""
+    rng = random.Random(9)
+    letters = list("abeinst é▁ \n\r\t你𝕏€ßтю.,12") + ["the", " the", "▁▁", "ing"]
+    texts = [t for _, t, *_ in corpus] + ["", "é" * 63, "x" * 63] + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(500)]
+    alone = pieces.Pieces()
+    want = []
+    for text in texts:
+        whole = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+        solved = [alone.chunk(c) for c in re.findall(f"{pieces.MARK}*[^{pieces.MARK}\n]+|{pieces.MARK}+|\n", whole)]
+        want.append((np.frombuffer(b"".join(s[0] for s in solved), np.int32).tolist(), sum(s[1] for s in solved), sum(s[2] for s in solved)))
+
+    def refused(self, text):
+        raise AssertionError(f"{text!r} was solved alone")
+
+    monkeypatch.setattr(pieces.Pieces, "chunk", refused)
+    for setting in ({}, {"MEMO": 50, "WINDOW": 100, "LANES": 16}):
+        for name, value in setting.items():
+            monkeypatch.setattr(pieces, name, value)
+        model = pieces.Pieces()
+        for text, hoped in zip(texts[:20], want, strict=False):
+            ids, *rest = model.encode(text)
+            assert (ids.tolist(), *rest) == hoped
+        for some, hoped in ((texts, want), (texts[::-1], want[::-1])):
+            ids, n, scores, n_bytes = model.encode_all(some)
+            ends = np.cumsum(n)
+            got = [(ids[a:b].tolist(), score, k) for a, b, score, k in zip([0, *ends], ends, scores, n_bytes, strict=False)]
+            assert got == hoped
+            assert model.decode_all(ids, ends) == [(t or "").replace(pieces.MARK, " ") for t in some]
+    monkeypatch.undo()
+    assert alone.encode("ab" * 400)[0].tobytes() == alone.chunk(pieces.MARK + "ab" * 400)[0]
+
+
+def test_rows_are_taken_by_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_BYTES", 10)
+    monkeypatch.setattr(pieces, "BATCH", 3)
+    texts = ["", None, "a", "b", "x" * 30, "cccc", "d" * 8, "eee", "f"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert [p.column("text").to_pylist() for p in pieces.parts([batch], "text")] == [["", None, "a"], ["b"], ["x" * 30], ["cccc"], ["d" * 8], ["eee", "f"]]
+    lists = pa.RecordBatch.from_pydict({"ids": pa.array([[1, 2, 3], None, [4], [5], []], pa.list_(pa.int32()))})
+    assert [p.column("ids").to_pylist() for p in pieces.parts([lists], "ids")] == [[[1, 2, 3]], [None, [4], [5]], [[]]]
+
+
 # 10
 
 

@@ -30,6 +30,33 @@ def words(norm: Column) -> Column:
     return F.trim(F.regexp_replace(norm, "[^\\p{L}\\p{N}]+", " "))
 
 
+def hashed_runs(rows: pa.RecordBatch, key: str, sizes: list[int] | None = None) -> pa.RecordBatch:
+    """runs() of the rows of a batch."""
+    split = pc.split_pattern(rows.column("words"), " ")
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    known = pc.list_flatten(split).dictionary_encode()
+    hashed = hash_array(known.dictionary.to_numpy(zero_copy_only=False), categorize=False)[known.indices.to_numpy()]
+    begins = np.concatenate([[0], ends[:-1]])
+    most = [RUN] if sizes is None else sizes
+    # For each size k, the hash of the k words from each place on; those that go over a text's end are never taken.
+    at, row, out = {}, [], []
+    for k in range(1, max(most) + 1):
+        before = at[k - 1][: len(hashed) - k + 1] if k > 1 else np.uint64(0)
+        x = (before ^ hashed[k - 1 :]) * _FACTOR
+        at[k] = x ^ (x >> np.uint64(29))
+    for i, (begin, end) in enumerate(zip(begins, ends, strict=True)):
+        for k in [min(RUN, end - begin)] if sizes is None else most:
+            if end - begin >= k:
+                own = np.unique(at[k][begin : end - k + 1])
+                row.append((i, k, len(own)))
+                out.append(own)
+    places, lengths, counts = np.array(row, np.int64).reshape(-1, 3).T
+    return pa.record_batch({
+        key: rows.column(key).take(pa.array(np.repeat(places, counts))), "size": pa.array(np.repeat(lengths, counts).astype(np.int32)),
+        "run": pa.array(np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)),
+    })
+
+
 def runs(texts: DataFrame, key: str, sizes: list[int] | None = None) -> DataFrame:
     """(key, size, run): the distinct runs of so many consecutive words of each row of texts (key, words), hashed; without sizes, of RUN words, or of all where they are fewer.
 
@@ -37,35 +64,10 @@ def runs(texts: DataFrame, key: str, sizes: list[int] | None = None) -> DataFram
     are arithmetic on whole columns: as functions over arrays they took most of a search's time, as Spark goes through these one element at a time.
     """
 
-    def one(rows: pa.RecordBatch) -> pa.RecordBatch:
-        split = pc.split_pattern(rows.column("words"), " ")
-        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        known = pc.list_flatten(split).dictionary_encode()
-        hashed = hash_array(known.dictionary.to_numpy(zero_copy_only=False), categorize=False)[known.indices.to_numpy()]
-        begins = np.concatenate([[0], ends[:-1]])
-        most = [RUN] if sizes is None else sizes
-        # For each size k, the hash of the k words from each place on; those that go over a text's end are never taken.
-        at, row, out = {}, [], []
-        for k in range(1, max(most) + 1):
-            before = at[k - 1][: len(hashed) - k + 1] if k > 1 else np.uint64(0)
-            x = (before ^ hashed[k - 1 :]) * _FACTOR
-            at[k] = x ^ (x >> np.uint64(29))
-        for i, (begin, end) in enumerate(zip(begins, ends, strict=True)):
-            for k in [min(RUN, end - begin)] if sizes is None else most:
-                if end - begin >= k:
-                    own = np.unique(at[k][begin : end - k + 1])
-                    row.append((i, k, len(own)))
-                    out.append(own)
-        places, lengths, counts = np.array(row, np.int64).reshape(-1, 3).T
-        return pa.record_batch({
-            key: rows.column(key).take(pa.array(np.repeat(places, counts))), "size": pa.array(np.repeat(lengths, counts).astype(np.int32)),
-            "run": pa.array(np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)),
-        })
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
-                yield one(batch.slice(at, AT_ONCE))
+                yield hashed_runs(batch.slice(at, AT_ONCE), key, sizes)
 
     small_batches(texts.sparkSession)
     own = texts.where("words <> ''").select(key, "words")

@@ -30,6 +30,6 @@ def test_keys_and_costs_are_taken_once(spark):
 
 
 def test_lines_of_every_kind(spark):
-    texts = [f"{a}{x}{b}{y}{c}" for x in "\n\r\x0b\x0c\x1c\x1d\x1e\x85  " for y in ("", "\n", "\r", "\r\n", "\r\r\n", "\n\r", " ", "\x85\r\n") for a in ("", "é") for b in ("", "b‧") for c in ("", " c")]
+    texts = [f"{a}{x}{b}{y}{c}" for x in "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029" for y in ("", "\n", "\r", "\r\n", "\r\r\n", "\n\r", "\u2028", "\x85\r\n") for a in ("", "é") for b in ("", "b‧") for c in ("", " c")]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", lines(F.col("t")).alias("x")).collect()
     assert {r["i"]: r["x"] for r in got} == {i: re.split(LINE_END, re.sub(f"(?:{LINE_END})\\Z", "", t)) for i, t in enumerate(texts)}
